@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runlens.sources.tables import scan
 
@@ -151,6 +152,35 @@ def _duck_text(text: str) -> str:
     return text.replace("NULL_STR", "CAST(NULL AS VARCHAR)").replace("AS STR)", "AS VARCHAR)")
 
 
+def run_events(runs: DataFrame) -> DataFrame:
+    """Begin and finish events of runs from one scan, batch or stream; its SQL form is a union."""
+    begin, failed = F.col("step") == 0, F.col("status") == "error"
+
+    def at(step_is_begin: bool, value: Column, only: Column | None = None) -> Column:
+        when = begin if step_is_begin else ~begin
+        return F.when(when if only is None else when & only, value)
+
+    steps = F.when(F.lower("status").isin("ready", "error"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return runs.select("*", F.explode(steps).alias("step")).select(
+        (F.col("id") * 2 + F.col("step")).alias("event_id"),
+        F.when(begin, F.col("start_time")).otherwise(F.col("last_activity")).alias("ts"),
+        F.when(begin, "begin").when(failed, "error").otherwise("end").alias("kind"),
+        "instance_id", "environment", "job_name",
+        at(True, F.col("event_text")).alias("event_text"),
+        at(True, F.col("dimension")).alias("dimension"),
+        at(False, F.col("records_total"), ~failed).alias("records_total"),
+        at(False, F.col("records_processed"), ~failed).alias("records_processed"),
+        at(False, F.col("msg")).alias("msg"),
+        at(False, F.lit("method"), failed).alias("origin"),
+        at(False, (F.col("id") % 7).cast("int"), failed).alias("code"),
+    )
+
+
+def runs_from(events: DataFrame) -> DataFrame:
+    """The runs adapter over any event rows, batch or stream."""
+    return events.selectExpr(*[_spark_text(e) for e in ADAPTERS["runs"][1]])
+
+
 class Tables:
     """Driver tables and adapters of one folder as attributes."""
 
@@ -158,9 +188,8 @@ class Tables:
         self.spark, self.directory = spark, directory
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in UNIONS:
-            a, b = (getattr(self, part) for part in UNIONS[name])
-            return a.unionByName(b)
+        if name == "run_events":
+            return run_events(self.runs)
         if name in ADAPTERS:
             base, exprs, where = ADAPTERS[name]
             df = getattr(self, base)

@@ -50,6 +50,11 @@ for _status in a.STATUSES:
         return a.runs_by_month_for_status(t.runs_o, status)
 
 
+@check("A3_runs_warning", MONTH_SQL.format(where="WHERE upper(status) = 'WARNING'").replace("runs_o", "runs"))
+def _(t):
+    return a.runs_by_month_for_status(t.runs, "warning")
+
+
 @check("A3_month_matrix", """
 SELECT CAST(month(last_activity) AS INT) AS month_no, monthname(last_activity) AS month, """ + ", ".join(
     f"count(*) FILTER (upper(status) = '{s.upper()}') AS {s}" for s in a.STATUSES

@@ -6,6 +6,7 @@ from runlens.operators import agents, changes, hosts, jobs, lifecycle, tree, val
 from runlens.session import work_dir
 from runlens.streaming import lifecycle as live
 
+from .adapters import run_events, runs_from
 from .registry import check
 from .tables_checks import DISKS_CTE, disks
 
@@ -209,29 +210,9 @@ def _(t):
 
 
 def event_stream(t):
-    """The run events as a stream that reads the event file; both events of a run come together."""
+    """The run events as a stream that reads the event file."""
     source = live.read_events(t.spark, t.directory, t.events.schema, "events.parquet")
-    runs = source.selectExpr(*_run_columns()).selectExpr("*", "explode(array(0, 1)) AS step")
-    begin = F.col("step") == 0
-    ended = F.lower("status").isin("ready", "error")
-    failed = F.col("status") == "error"
-    late = lambda value: F.when(~begin & ~failed, value)
-    return runs.where(begin | ended).select(
-        (F.col("id") * 2 + F.col("step")).alias("event_id"),
-        F.when(begin, F.col("start_time")).otherwise(F.col("last_activity")).cast("timestamp").alias("ts"),
-        F.when(begin, "begin").when(failed, "error").otherwise("end").alias("kind"),
-        "instance_id", "environment", "job_name", F.when(begin, F.col("event_text")).alias("event_text"),
-        F.when(begin, F.col("dimension")).alias("dimension"), late(F.col("records_total")).alias("records_total"),
-        late(F.col("records_processed")).alias("records_processed"), F.when(~begin, F.col("msg")).alias("msg"),
-        F.when(~begin & failed, "method").alias("origin"),
-        F.when(~begin & failed, (F.col("id") % 7).cast("int")).alias("code"),
-    )
-
-
-def _run_columns():
-    from .adapters import ADAPTERS, _spark_text
-
-    return [_spark_text(e) for e in ADAPTERS["runs"][1]]
+    return run_events(runs_from(source)).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_stream(t, df, name, mode="append"):
@@ -264,14 +245,25 @@ def _(t):
     return _ntz(rows.select("tmf_id", "job_name", "moment", "code"), "moment")
 
 
-@check("L4_stuck_stream")
+# A stream emits a missing end only once its watermark (latest event less 10 minutes) has passed.
+@check("L4_stuck_stream", """
+SELECT b.instance_id, b.environment, b.job_name, b.ts AS start_time FROM begins b
+WHERE NOT EXISTS (SELECT 1 FROM finishes f WHERE f.instance_id = b.instance_id AND f.environment = b.environment
+    AND f.job_name = b.job_name AND f.ts BETWEEN b.ts AND b.ts + INTERVAL 60 MINUTE)
+  AND b.ts + INTERVAL 60 MINUTE < least((SELECT max(ts) FROM begins), (SELECT max(ts) FROM finishes)) - INTERVAL 10 MINUTE
+""")
 def _(t):
-    return run_stream(t, live.stuck_after_stream(event_stream(t), 60), "stuck").drop("batch_id")
+    return _ntz(run_stream(t, live.stuck_after_stream(event_stream(t), 60), "stuck").drop("batch_id"), "start_time")
 
 
-@check("L4_silent_stream")
+@check("L4_silent_stream", """
+SELECT b.instance_id, b.environment, b.job_name, b.ts AS last_activity FROM begins b
+WHERE NOT EXISTS (SELECT 1 FROM finishes f WHERE f.instance_id = b.instance_id AND f.environment = b.environment
+    AND f.job_name = b.job_name AND f.ts < b.ts + INTERVAL 5400 SECOND)
+  AND b.ts + INTERVAL 5400 SECOND <= (SELECT max(ts) FROM run_events) - INTERVAL 10 MINUTE
+""")
 def _(t):
-    return run_stream(t, live.silent_runs_stream(event_stream(t), 5400), "silent").drop("batch_id")
+    return _ntz(run_stream(t, live.silent_runs_stream(event_stream(t), 5400), "silent").drop("batch_id"), "last_activity")
 
 
 @check("L5_live_status", f"SELECT status, count(*) AS amount FROM ({FOLD_SQL}) GROUP BY status")

@@ -97,10 +97,10 @@ def _(t):
 
 @check("J9_reports_for_user", """
 SELECT r.* FROM reports r WHERE upper(r.groups) IN (
-  SELECT upper(g.name) FROM users u JOIN user_groups g ON u.groupId = g.id WHERE upper(u.name) = 'CUSTOMER#000000026')
+  SELECT upper(g.name) FROM users u JOIN user_groups g ON u.groupId = g.id WHERE upper(u.name) = 'CUSTOMER#000000035')
 """)
 def _(t):
-    user = "Customer#000000026"
+    user = "Customer#000000035"
     return access.reports_for_user(t.reports, t.users, t.user_groups, user)
 
 
@@ -220,11 +220,11 @@ def _(t):
 
 @check("U1_visible_reports", """
 SELECT name, type FROM reports WHERE upper(groups) IN (
-  SELECT upper(g.name) FROM users u JOIN user_groups g ON u.groupId = g.id WHERE upper(u.name) = 'CUSTOMER#000000026')
+  SELECT upper(g.name) FROM users u JOIN user_groups g ON u.groupId = g.id WHERE upper(u.name) = 'CUSTOMER#000000035')
 UNION SELECT name, type FROM reports WHERE users LIKE '%*%'
 """)
 def _(t):
-    return access.visible_reports(t.reports, t.users, t.user_groups, "Customer#000000026")
+    return access.visible_reports(t.reports, t.users, t.user_groups, "Customer#000000035")
 
 
 @check("U1_visible_strict", """
