@@ -24,7 +24,7 @@ from runlens.operators.predicates import filter_runs  # noqa: E402
 from runlens.plans import trends  # noqa: E402
 from runlens.session import build_session  # noqa: E402
 
-REPEATS = 3
+REPEATS = int(os.environ.get("BENCH_REPEATS", "3"))
 AS_OF = "2024-01-31 12:00:00"
 PREP = [
     ("strip_tags", {}), ("to_ascii_letters", {}), ("censor_words", {"words": ["the", "que"]}),

@@ -249,6 +249,20 @@ def _(t):
     return p.filter_runs(p.with_keys(t.runs), ["ready"], environment=["dev"]).select("id", "status")
 
 
+@check("F1_filter_stored", """
+SELECT id, status, start_time FROM runs WHERE upper(status) IN ('READY', 'ERROR') AND upper(environment) = 'PROD'
+  AND start_time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 23:59:59'
+""")
+def _(t):
+    path = work_dir(t.spark, "runs")
+    tables.store_runs(t.runs, path)
+    found = p.filter_runs(
+        t.spark.read.parquet(path), ["ready", "error"], environment=["prod"],
+        from_date="05-01-2024", to_date="20-01-2024",
+    )
+    return found.select("id", "status", "start_time")
+
+
 @check("F2_by_status", "SELECT * FROM runs WHERE upper(status) = 'READY'")
 def _(t):
     return p.by_status(t.runs, "ready")

@@ -85,7 +85,9 @@ def to_epoch(c: Column) -> Column:
 
 
 def ms_to_ts(c: Column) -> Column:
-    return F.timestamp_millis(c).cast("timestamp_ntz")
+    """Milliseconds since 1970 as wall-clock time in UTC, whatever the session's time zone."""
+    seconds = (c.cast("decimal(18,0)") / 1000).cast("decimal(18,6)")
+    return ntz("1970-01-01 00:00:00") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def running_seconds(start: Column, end: Column) -> Column:

@@ -184,6 +184,8 @@ def filter_runs(
 
     Where the table has ``<column>_key`` columns (see ``with_keys``) the list filters use them;
     an equality on a stored column reaches the parquet scan, one on ``upper(column)`` does not.
+    Where it has ``start_day`` (see ``with_day``) the date range also names the days, so that a
+    table partitioned by day is read in part only.
     Dates are ``dd-mm-yyyy`` and include both days up to 23:59:59. ``as_of`` closes the range
     when only a start is given; by default the latest ``start_time`` of the log does.
     """
@@ -210,6 +212,8 @@ def filter_runs(
         else:
             last = latest(runs, "start_time")
         out = out.where(F.col("start_time").between(first, last))
+        if "start_day" in runs.columns:
+            out = out.where(F.col("start_day").between(first.cast("date"), last.cast("date")))
     return out
 
 
@@ -221,6 +225,11 @@ def with_keys(runs: DataFrame, columns: Sequence[str] = KEYED) -> DataFrame:
     return runs.withColumns({f"{c}_key": F.upper(F.col(c)) for c in columns})
 
 
+def with_day(runs: DataFrame) -> DataFrame:
+    """Add the day a run started, the partition column of a stored log."""
+    return runs.withColumn("start_day", F.to_date("start_time"))
+
+
 # ---------------------------------------------------------------- layers, mime types, mounts
 
 # Text in a job name or dimension that marks a warehouse layer.

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.predicates import with_day, with_keys
+
 
 def scan(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
@@ -24,6 +26,16 @@ def rewrite_partitions(df: DataFrame, path: str, partition_cols: Sequence[str])
     )
 
 
+def store_runs(runs: DataFrame, path: str) -> None:
+    """Append runs to a log prepared for the run filter: key columns, one partition per start day.
+
+    A start day never changes, so later updates of a run stay in its partition. The range shuffle by
+    start time gives tasks of equal size that each write few days, also when one day is very large.
+    """
+    rows = with_day(with_keys(runs)).repartitionByRange("start_time")
+    rows.write.mode("append").partitionBy("start_day").parquet(path)
+
+
 def touched_partitions(table: DataFrame, changes: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
     """Rows of the partitions that a table of changes names. Partition pruning at run time keeps
     the other partitions from being read, so an update costs what it touches."""

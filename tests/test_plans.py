@@ -12,6 +12,7 @@ from runlens.operators import joins
 from runlens.operators.lifecycle import stuck_runs
 from runlens.operators.predicates import filter_runs, login_history, recent, with_keys
 from runlens.plans import trends
+from runlens.sources.tables import store_runs
 
 
 def plan(df) -> str:
@@ -35,6 +36,14 @@ def test_filter_reaches_the_scan(stored_runs):
     assert "GreaterThanOrEqual(start_time" in text and "LessThanOrEqual(start_time" in text
 
 
+def test_days_outside_the_range_are_not_read(spark, tables, tmp_path):
+    store_runs(tables.runs, str(tmp_path / "log"))
+    stored = spark.read.parquet(str(tmp_path / "log"))
+    found = filter_runs(stored, from_date="05-01-2024", to_date="06-01-2024")
+    assert "start_day#" in plan(found).split("PartitionFilters:")[1].split("\n")[0]
+    assert found.count() == filter_runs(tables.runs, from_date="05-01-2024", to_date="06-01-2024").count()
+
+
 def test_only_needed_columns_are_read(stored_runs):
     text = plan(trends.dashboard(stored_runs, "2024-01-31 12:00:00"))
     assert "ReadSchema: struct<status:string,job_name:string,dimension:string,last_activity:timestamp_ntz>" in text
@@ -53,7 +62,7 @@ def test_time_ranges_reach_the_scan(stored_runs, tables):
 
 
 EAGER = ("J14", "V5", "V6_search_below", "L1_begin_stream", "L2_fold_runs_exact", "L2_fold_stream", "L3_error_stream",
-         "L4_stuck_stream", "L4_silent_stream", "L5", "L6", "L8", "S")
+         "L4_stuck_stream", "L4_silent_stream", "L5", "L6", "L8", "S", "F1_filter_stored")
 
 
 @pytest.mark.parametrize("key", [k for k in entry.queries() if not k.startswith(EAGER)])
