@@ -2,34 +2,38 @@
 
 Spark splits a skewed partition by itself only when both join inputs come straight out of a
 shuffle. A side that was just aggregated by the join key does not, so one hot key would send all
-its rows to one task. Here the rows of hot keys are cut into slices and the few matching rows of
-the one-row-per-key side are repeated once per slice. All other keys join as usual.
+its rows to one task. Here the rows of a hot key are cut into slices of bounded size and its one
+matching row is repeated once per slice. All other keys join as usual.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT = 64  # most keys treated as hot, so at most MAX_HOT * SLICES rows are added
-HOT_SHARE = 200  # a key is hot when it holds more than 1/HOT_SHARE of the rows
-SLICES = 64
+ROWS_PER_SLICE = 1_000_000  # a key with more rows is hot; its rows are cut into slices of this size
+TRACKED = 10_000  # keys a sketch keeps: the size bound of the list of hot keys
+MERGERS = 1_000  # sketches of the tasks are merged in this many groups first
 
 
-def hot_key_hashes(df: DataFrame, on: Sequence[str]) -> Column:
-    """Hashes of the hot keys as a scalar subquery of bounded size.
+def hot_keys(df: DataFrame, on: Sequence[str]) -> list[tuple[int, int]]:
+    """(hash, number of slices) of the hot keys; at most TRACKED entries (eager).
 
-    The sketch is approximate; it only decides which rows are sliced, never the join result.
+    Each task sketches the keys it reads, so only sketches are shuffled. A key is found for certain
+    when it holds more than about 1/2500 of all rows. Counts are approximate, which is enough: both
+    join sides use this one list, so it decides speed and never the result.
     """
-    keys = ", ".join(f"`{k}`" for k in on)
-    found = df.agg(
-        F.expr(f"approx_top_k(xxhash64({keys}), {MAX_HOT})").alias("top"),
-        F.count(F.lit(1)).alias("n"),
+    sketches = (
+        df.select(F.xxhash64(*on).alias("h"), (F.spark_partition_id() % MERGERS).alias("g"))
+        .groupBy("g").agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("s"))
     )
-    hot = F.filter("top", lambda x: x["count"] * HOT_SHARE > F.col("n"))
-    return found.select(F.transform(hot, lambda x: x["item"]).alias("hot")).scalar()
+    # grouped by a constant, so that an empty table gives no sketch instead of an empty one
+    merged = sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
+    top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {TRACKED})")).alias("t")).select("t.*")
+    hot = top.where(F.col("count") > ROWS_PER_SLICE)
+    return [(r["item"], -(-r["count"] // ROWS_PER_SLICE)) for r in hot.collect()]
 
 
 def join_on_unique(
@@ -41,15 +45,23 @@ def join_on_unique(
 ) -> DataFrame:
     """Join ``big`` with ``unique`` (at most one row per key).
 
-    ``spread_by`` names columns that tell rows of one key apart (default: all). The slice is a
-    hash of them, so a task that runs again puts each row into the same slice.
+    Looks for hot keys of ``big`` first, which reads its key columns once; without any it is a
+    plain join. ``spread_by`` names columns that tell rows of one key apart (default: all). The
+    slice is a hash of them, so a task that runs again puts each row into the same slice.
     """
     on = list(on)
-    is_hot = F.array_contains(hot_key_hashes(big, on), F.xxhash64(*on))
-    slice_no = F.pmod(F.xxhash64(*(spread_by or big.columns)), F.lit(SLICES)).cast("int")
-    left = big.withColumn("_slice", F.when(is_hot, slice_no).otherwise(F.lit(0)))
-    all_slices = F.sequence(F.lit(0), F.lit(SLICES - 1))
-    right = unique.withColumn(
-        "_slice", F.explode(F.when(is_hot, all_slices).otherwise(F.array(F.lit(0))))
-    )
-    return left.join(right, [*on, "_slice"], how).drop("_slice")
+    hot = hot_keys(big, on)
+    if not hot:
+        return big.join(unique, on, how)
+    # at most TRACKED rows of two numbers: small enough to broadcast whatever the data
+    slices = F.broadcast(big.sparkSession.createDataFrame(hot, "_key_hash long, _slices int"))
+
+    def with_slices(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key_hash", F.xxhash64(*on)).join(slices, "_key_hash", "left")
+
+    row_hash = F.xxhash64(*(spread_by or big.columns))
+    left = with_slices(big).withColumn("_slice", F.coalesce(F.pmod(row_hash, "_slices"), F.lit(0)).cast("int"))
+    every = F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)
+    right = with_slices(unique).withColumn("_slice", F.explode(every))
+    joined = left.drop("_key_hash", "_slices").join(right.drop("_key_hash", "_slices"), [*on, "_slice"], how)
+    return joined.drop("_slice")

@@ -1,3 +1,5 @@
+import contextlib
+import io
 import sys
 from pathlib import Path
 
@@ -32,3 +34,11 @@ def tables(spark):
 def rows(df, *cols):
     """Rows as a sorted list of tuples."""
     return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=repr)
+
+
+def plan(df) -> str:
+    """The formatted physical plan."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()

@@ -1,13 +1,10 @@
 """What the physical plans must and must not hold."""
 
-import contextlib
-import io
-
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from conftest import DATA
+from conftest import DATA, plan
 from runlens.operators import joins
 from runlens.operators.lifecycle import stuck_runs
 from runlens.operators.predicates import filter_runs, login_history, recent, with_keys
@@ -15,13 +12,6 @@ from runlens.plans import trends
 from runlens.sources.tables import store_runs
 
 
-def plan(df) -> str:
-    out = io.StringIO()
-    with contextlib.redirect_stdout(out):
-        df.explain("formatted")
-    return out.getvalue()
-
-
 @pytest.fixture(scope="module")
 def stored_runs(spark, tables, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("runs") / "runs")

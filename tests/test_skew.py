@@ -5,9 +5,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
-from runlens.operators import changes, joins, validation
-from runlens.operators.skew import SLICES, hot_key_hashes, join_on_unique
+from conftest import plan, rows
+from runlens.operators import changes, joins, skew, validation
+from runlens.operators.skew import hot_keys, join_on_unique
 
 
 @pytest.fixture(scope="module")
@@ -23,21 +23,41 @@ def unique(skewed):
     return skewed.where("k <> 'k17'").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
+@pytest.fixture(autouse=True)
+def small_slices(monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 500)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_same_result_as_a_plain_join(skewed, unique, how):
-    assert rows(join_on_unique(skewed, unique, ["k"], how)) == rows(skewed.join(unique, "k", how).select(
-        join_on_unique(skewed, unique, ["k"], how).columns))
+    got = join_on_unique(skewed, unique, ["k"], how)
+    assert "_slice" in plan(got)
+    assert rows(got) == rows(skewed.join(unique, "k", how).select(got.columns))
+
+
+def test_only_hot_keys_are_found(skewed):
+    found = dict(hot_keys(skewed, ["k"]))
+    names = {r.k: found[r.h] for r in skewed.select("k", F.xxhash64("k").alias("h")).distinct().collect() if r.h in found}
+    assert names == {"hot": 20, None: 6}
+
+
+def test_any_list_of_hot_keys_gives_the_same_result(skewed, unique, monkeypatch):
+    want = rows(skewed.join(unique, "k", "left"), "id", "k", "n")
+    some = [r.h for r in skewed.select(F.xxhash64("k").alias("h")).distinct().limit(40).collect()]
+    for hot in ([], some, [1, 2, 3]):
+        monkeypatch.setattr(skew, "hot_keys", lambda df, on, hot=hot: [(h, 7) for h in hot])
+        assert rows(join_on_unique(skewed, unique, ["k"]), "id", "k", "n") == want
 
 
-def test_only_hot_keys_are_found(spark, skewed):
-    found = set(spark.range(1).select(hot_key_hashes(skewed, ["k"])).first()[0])
-    names = {r.k for r in skewed.select("k", F.xxhash64("k").alias("h")).distinct().collect() if r.h in found}
-    assert names == {"hot", None}
+def test_without_hot_keys_it_is_a_plain_join(spark):
+    df = spark.range(5000)
+    joined = join_on_unique(df, df.withColumn("n", F.lit(1)), ["id"])
+    assert "_slice" not in plan(joined)
 
 
-def test_hot_rows_are_spread(skewed, unique):
-    slices = skewed.where("k = 'hot'").groupBy(F.pmod(F.xxhash64("id", "k"), F.lit(SLICES)).alias("s")).count().collect()
-    assert len(slices) == SLICES and max(r["count"] for r in slices) < 400
+def test_slices_are_of_bounded_size(skewed):
+    per_slice = skewed.where("k = 'hot'").groupBy(F.pmod(F.xxhash64("id", "k"), F.lit(20)).alias("s")).count().collect()
+    assert len(per_slice) == 20 and max(r["count"] for r in per_slice) < 600
 
 
 def test_empty_sides(skewed, unique):
