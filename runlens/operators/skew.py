@@ -30,7 +30,7 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> list[tuple[int, int]]:
         .groupBy("g").agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("s"))
     )
     # grouped by a constant, so that an empty table gives no sketch instead of an empty one
-    merged = sketches.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
+    merged = sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
     top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {TRACKED})")).alias("t")).select("t.*")
     hot = top.where(F.col("count") > ROWS_PER_SLICE)
     return [(r["item"], -(-r["count"] // ROWS_PER_SLICE)) for r in hot.collect()]
