@@ -141,7 +141,7 @@ DRIVER_TABLES = (
 
 def _spark_text(text: str) -> str:
     text = re.sub(r"SECS\(([^()]*)\)", r"make_dt_interval(0, 0, 0, \1)", text)
-    text = re.sub(r"EPOCH_MS\(([^()]*)\)", r"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', \1)", text)
+    text = re.sub(r"EPOCH_MS\(([^()]*)\)", r"CAST(CAST(CAST(\1 - TIMESTAMP_NTZ '1970-01-01 00:00:00' AS INTERVAL SECOND) AS DECIMAL(18, 6)) * 1000 AS BIGINT)", text)
     text = text.replace('"to"', "`to`").replace('"from"', "`from`")
     return text.replace("NULL_STR", "CAST(NULL AS STRING)").replace("AS STR)", "AS STRING)")
 

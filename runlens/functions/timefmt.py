@@ -79,29 +79,39 @@ def fmt_ts(c: Column, style: str = "short") -> Column:
     )
 
 
+EPOCH = "1970-01-01 00:00:00"
+
+
 def to_epoch(c: Column) -> Column:
-    """Seconds since 1970 of a wall-clock timestamp or of text ``YYYY-MM-DD HH:MM:SS``."""
-    return F.timestamp_diff("SECOND", ntz("1970-01-01 00:00:00"), c.cast("timestamp_ntz"))
+    """Whole seconds since 1970 of a wall-clock timestamp or of text ``YYYY-MM-DD HH:MM:SS``.
+
+    Wall-clock times are subtracted as such, so daylight saving of the session's zone plays no part.
+    """
+    since = (c.cast("timestamp_ntz") - ntz(EPOCH)).cast("interval second")
+    return F.floor(since.cast("decimal(18,6)")).cast("bigint")
 
 
 def ms_to_ts(c: Column) -> Column:
     """Milliseconds since 1970 as wall-clock time in UTC, whatever the session's time zone."""
     seconds = (c.cast("decimal(18,0)") / 1000).cast("decimal(18,6)")
-    return ntz("1970-01-01 00:00:00") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+    return ntz(EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def running_seconds(start: Column, end: Column) -> Column:
     """Whole seconds between two moments, fractions of both sides dropped."""
-    return F.abs(to_epoch(F.date_trunc("second", end)) - to_epoch(F.date_trunc("second", start)))
+    return F.abs(to_epoch(end) - to_epoch(start))
+
+
+def _second_start(c: Column) -> Column:
+    return ntz(EPOCH) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), to_epoch(c).cast("decimal(18,6)"))
 
 
 def running_text(start: Column, end: Column) -> Column:
     """``D days, HH hours, MM minutes, SS seconds`` where whole months are left out of D."""
-    a, b = F.date_trunc("second", F.least(start, end)), F.date_trunc("second", F.greatest(start, end))
-    a, b = a.cast("timestamp_ntz"), b.cast("timestamp_ntz")
+    a, b = _second_start(F.least(start, end)), _second_start(F.greatest(start, end))
     span = (F.year(b) - F.year(a)) * 12 + F.month(b) - F.month(a)
     months = span - F.when(a + F.make_ym_interval(F.lit(0), span) > b, 1).otherwise(0)
-    rest = F.timestamp_diff("SECOND", a + F.make_ym_interval(F.lit(0), months), b)
+    rest = to_epoch(b) - to_epoch(a + F.make_ym_interval(F.lit(0), months))
     return F.format_string(
         "%d days, %02d hours, %02d minutes, %02d seconds",
         F.floor(rest / 86400), F.floor(rest % 86400 / 3600), F.floor(rest % 3600 / 60), rest % 60,
