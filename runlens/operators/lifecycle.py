@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.timefmt import ntz
 from ..session import cut
 from .predicates import latest
+from .skew import join_on_unique
 
 RUN_KEY = ["instance_id", "environment", "job_name"]
 
@@ -99,7 +100,7 @@ def fold_runs_exact(events: DataFrame) -> DataFrame:
     """One row per begin event, ambiguous keys resolved.
 
     The folded state is checkpointed (eager). Only if it holds keys with several begins are the
-    events read again, and then only those keys: the first run takes the updates up to the second
+    events read again and those of such keys kept: the first run takes the updates up to the second
     begin, later runs stay as they began because their updates match several rows.
     """
     state = cut(fold_state(events))
@@ -109,10 +110,11 @@ def fold_runs_exact(events: DataFrame) -> DataFrame:
     )
     if unclear.isEmpty():
         return clear
-    rows = events.join(unclear, RUN_KEY)
+    # a key may hold very many events: both joins are safe for hot keys
+    rows = cut(join_on_unique(events, unclear, RUN_KEY, "inner", ["event_id"]))
     begins = rows.where(_is("begin") & (_order() > F.col("_first")))
     second = begins.groupBy(*RUN_KEY).agg(F.min(_order()).alias("_second"))
-    early = rows.join(second, RUN_KEY).where(_order() < F.col("_second"))
+    early = join_on_unique(rows, second, RUN_KEY, "inner", ["event_id"]).where(_order() < F.col("_second"))
     heads = run_rows(fold_state(early.drop("_first", "_second"))).drop("n_begin", "ambiguous")
     heads = heads.join(unclear.select(*RUN_KEY, F.col("_n").alias("n_begin")), RUN_KEY)
     heads = heads.withColumn("ambiguous", F.lit(True))
