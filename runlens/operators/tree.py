@@ -122,9 +122,10 @@ def child_edges(jobs: DataFrame) -> DataFrame:
 def job_closure(edges: DataFrame, root: str) -> DataFrame:
     """Jobs that a job starts directly or through others, with the fewest steps to each.
 
-    Jobs already reached are left out of the next level, so cycles end.
+    Jobs already reached are left out of the next level, so cycles end. The edges usually come out
+    of job documents; they are checkpointed, so the documents are read once and not per level.
     """
-    pairs = edges.select("job", "child")
+    pairs = cut(edges.select("job", "child"))
     start = pairs.where(F.col("job") == root).select(F.col("child").alias("job")).distinct()
     start = start.where(F.col("job") != root).withColumn("depth", F.lit(1))
 
