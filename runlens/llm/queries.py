@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .packing import pack_documents
 from .token_files import read_tokens, write_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,8 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     folder, ranks = write_tokens(docs, public_tokenizers.path(VOCABULARY))
     return read_tokens(spark, folder, ranks, digest=True)
+
+
+@query("op2_best_fit_packing")
+def _(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
