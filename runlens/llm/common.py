@@ -75,8 +75,3 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         total += size
     if start < len(sizes):
         yield batch.slice(start)
-
-
-def columns_apart(df: DataFrame, taken: list[str]) -> DataFrame:
-    """Drop columns whose names an operator adds itself, so extra columns can't clash."""
-    return df.drop(*[c for c in df.columns if c in taken])
