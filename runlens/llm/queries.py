@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .edit_fingerprints import edit_fingerprints
 from .packing import pack_documents
 from .quality import quality_scores
 from .token_files import read_tokens, write_tokens
@@ -84,3 +85,8 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEF
 def _(spark, sf_dir):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op3_edit_fingerprints")
+def _(spark, sf_dir):
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
