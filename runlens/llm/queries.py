@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .edit_fingerprints import edit_fingerprints
+from .minhash import near_duplicate_classes
 from .packing import pack_documents
 from .quality import quality_scores
 from .token_files import read_tokens, write_tokens
@@ -90,3 +91,8 @@ def _(spark, sf_dir):
 @query("op3_edit_fingerprints")
 def _(spark, sf_dir):
     return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op8_dart_minhash")
+def _(spark, sf_dir):
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("row")
