@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .edit_fingerprints import edit_fingerprints
@@ -15,6 +16,7 @@ from .quality import quality_scores
 from .token_files import read_tokens, write_tokens
 from .topk import top_k
 from .url_rules import judge_urls
+from .warc import capture_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +98,18 @@ def _(spark, sf_dir):
 @query("op8_dart_minhash")
 def _(spark, sf_dir):
     return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("row")
+
+
+@query("op1_warc_index_merge", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+g AS (SELECT payload, max(page_id) AS kept FROM p WHERE octet_length(payload) >= 1000 GROUP BY payload)
+SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN g USING (payload)
+""")
+def _(spark, sf_dir):
+    # the table has no time of capture: one second a page
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
+    index = capture_index(table(spark, sf_dir, "pages").withColumn("captured", captured))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
