@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .backoff import backoff_scores
 from .common import table
 from .edit_fingerprints import edit_fingerprints
 from .minhash import near_duplicate_classes
+from .mixing import OTHER, mix
 from .packing import pack_documents
 from .quality import quality_scores
 from .token_files import read_tokens, write_tokens
@@ -113,3 +115,102 @@ def _(spark, sf_dir):
     captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id"))
     index = capture_index(table(spark, sf_dir, "pages").withColumn("captured", captured))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+MIX_TARGETS = {
+    "source": {"src0": 0.2, "src1": 0.06, "src2": 0.06, OTHER: 0.68},
+    "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
+    "topic": {"prose": 0.8, "figures": 0.13, "table": 0.04, "licence": 0.03},
+}
+
+
+def topic_of(text):
+    """What a text looks like, as its topic: the test corpus has no topic of its own."""
+    kind = F.when(F.contains(text, F.lit("|")), "table").when(F.contains(text, F.lit("License")), "licence")
+    return kind.when(text.rlike("[0-9]"), "figures").otherwise("prose")
+
+
+def mix_sql(docs: str, rounds: int = 60) -> str:
+    """The mix as CTEs over a table: raking as a recursion over the cells, three axes a round."""
+    goals = " UNION ALL ".join(
+        f"SELECT '{axis}' AS axis, '{name}' AS name, CAST({share} AS DOUBLE) AS share" for axis, shares in MIX_TARGETS.items() for name, share in shares.items()
+    )
+    named = {axis: ", ".join(f"'{n}'" for n in shares if n != OTHER) for axis, shares in MIX_TARGETS.items()}
+    return f"""
+goals AS ({goals}),
+mix_docs AS (
+  SELECT *, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n]+'), lambda w: w <> '')) AS BIGINT) AS tokens,
+    CASE WHEN contains(text, '|') THEN 'table' WHEN contains(text, 'License') THEN 'licence'
+      WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic FROM {docs}
+), mix_keyed AS (
+  SELECT *, CASE WHEN source IN ({named['source']}) THEN source ELSE '{OTHER}' END AS s,
+    CASE WHEN lang IN ({named['lang']}) THEN lang ELSE '{OTHER}' END AS l,
+    CASE WHEN topic IN ({named['topic']}) THEN topic ELSE '{OTHER}' END AS t FROM mix_docs
+), mix_cells AS (SELECT s, l, t, CAST(sum(tokens) AS DOUBLE) AS n FROM mix_keyed GROUP BY ALL HAVING sum(tokens) > 0),
+mix_goals AS (
+  SELECT axis, name, share / sum(share) OVER (PARTITION BY axis) * (SELECT sum(n) FROM mix_cells) AS goal FROM goals
+  WHERE (axis = 'source' AND name IN (SELECT s FROM mix_cells)) OR (axis = 'lang' AND name IN (SELECT l FROM mix_cells))
+    OR (axis = 'topic' AND name IN (SELECT t FROM mix_cells))
+), mix_start AS (
+  SELECT c.*, coalesce(gs.goal, 0) AS gs, coalesce(gl.goal, 0) AS gl, coalesce(gt.goal, 0) AS gt FROM mix_cells c
+  LEFT JOIN mix_goals gs ON gs.axis = 'source' AND gs.name = s LEFT JOIN mix_goals gl ON gl.axis = 'lang' AND gl.name = l
+  LEFT JOIN mix_goals gt ON gt.axis = 'topic' AND gt.name = t
+), raked AS (
+  SELECT 0 AS i, s, l, t, n, gs, gl, gt, CAST(1 AS DOUBLE) AS w FROM mix_start
+  UNION ALL
+  SELECT i + 1, s, l, t, n, gs, gl, gt, CASE WHEN zt > 0 THEN w2 * gt / zt ELSE w2 END AS w FROM (
+    SELECT *, sum(n * w2) OVER (PARTITION BY t) AS zt FROM (
+      SELECT *, CASE WHEN zl > 0 THEN w1 * gl / zl ELSE w1 END AS w2 FROM (
+        SELECT *, sum(n * w1) OVER (PARTITION BY l) AS zl FROM (
+          SELECT *, CASE WHEN zs > 0 THEN w * gs / zs ELSE w END AS w1 FROM (
+            SELECT *, sum(n * w) OVER (PARTITION BY s) AS zs FROM raked WHERE i < {rounds})))))
+), mix_weights AS (SELECT s, l, t, w, max(w) OVER () AS most FROM raked WHERE i = {rounds}),
+mixed AS (
+  SELECT d.*, w AS weight, least(w / most, 1.0) AS probability,
+    CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
+  FROM mix_keyed d LEFT JOIN mix_weights USING (s, l, t)
+)"""
+
+
+@query("op4_source_mixing", f"""
+WITH RECURSIVE {mix_sql('documents')}
+SELECT doc_id, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, CAST(u < probability AS INT) AS selected FROM mixed
+""")
+def _(spark, sf_dir):
+    mixed = mix(table(spark, sf_dir, "documents"), MIX_TARGETS, topic_of(F.col("text")))
+    return mixed.select("doc_id", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "selected")
+
+
+def backoff_sql(order: int = 3) -> str:
+    """Counts of all n-grams less the document's own, joined to each word's n-grams."""
+    gram = lambda n: " || ' ' || ".join(f"w{k}" for k in range(n - 1, -1, -1))
+    words = ", ".join(f"lag(w, {k}) OVER (PARTITION BY k ORDER BY i) AS w{k}" for k in range(order))
+    ctes = [
+        "d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x00-\x20]+'), lambda w: w <> '') AS ws FROM documents)",
+        "e AS (SELECT k, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM d)",
+        f"p AS (SELECT k, i, {words} FROM e)",
+        "t AS (SELECT count(*) AS total FROM e)",
+    ]
+    for n in range(1, order + 1):
+        ctes += [
+            f"o{n} AS (SELECT k, {gram(n)} AS g, count(*) AS c FROM p WHERE w{n - 1} IS NOT NULL GROUP BY ALL)",
+            f"a{n} AS (SELECT k, g, sum(c) OVER (PARTITION BY g) - c AS c FROM o{n})",
+        ]
+    joins = ""
+    for n in range(1, order + 1):
+        joins += f" LEFT JOIN a{n} ON a{n}.k = p.k AND a{n}.g = {gram(n).replace('w', 'p.w')}"
+    shifted = ", ".join(f"lag(c{n}) OVER (PARTITION BY k ORDER BY i) AS x{n}" for n in range(1, order))
+    cases = " ".join(f"WHEN c{n} > 0 THEN ln(c{n} / x{n - 1}) + {order - n} * ln(0.4)" for n in range(order, 1, -1))
+    ctes += [
+        "j AS (SELECT p.k, p.i, " + ", ".join(f"CAST(a{n}.c AS DOUBLE) AS c{n}" for n in range(1, order + 1)) + f" FROM p{joins})",
+        f"s AS (SELECT *, {shifted} FROM j)",
+        f"m AS (SELECT s.k, CASE {cases} ELSE ln(greatest(c1, 1) / greatest(total - len(ws), 1)) + {order - 1} * ln(0.4) END AS v FROM s JOIN d USING (k), t)",
+        "r AS (SELECT k, avg(v) AS score FROM m GROUP BY k)",
+    ]
+    return "WITH " + ", ".join(ctes) + " SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(CASE WHEN total > len(ws) THEN score END, 6) AS score FROM d LEFT JOIN r USING (k), t"
+
+
+@query("op9_backoff_scores", backoff_sql())
+def _(spark, sf_dir):
+    scores = backoff_scores(table(spark, sf_dir, "documents"))
+    return scores.withColumn("score", F.round("score", 6))
