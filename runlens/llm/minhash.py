@@ -148,10 +148,10 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def sketch(docs: DataFrame, k: int = BANDS * ROWS, n: int = SHINGLE) -> DataFrame:
-    """One row a document: ``row`` (a number of its own), doc_id, k1 and k2 (digest of the words),
+    """One row a document: ``row`` (a number of its own), doc_id, text_key (hash of the text), k1 and k2 (digest of the words),
     ``signature`` and ``elements``; the last two are null for texts without words."""
     prepare(docs.sparkSession)
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("signature", pa.binary()), ("elements", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("signature", pa.binary()), ("elements", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,11 +163,12 @@ def sketch(docs: DataFrame, k: int = BANDS * ROWS, n: int = SHINGLE) -> DataFram
                 keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
                 packed = [pack_elements(elements[s:e], weights[s:e]) if e > s else None for s, e in zip(at, at[1:])]
                 signed_bytes = [signed[i].tobytes() if e > s else None for i, (s, e) in enumerate(zip(at, at[1:]))]
-                cols = [part.column("row"), part.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(signed_bytes, pa.binary()), pa.array(packed, pa.binary())]
+                cols = [part.column("row"), part.column("doc_id"), part.column("text_key"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(signed_bytes, pa.binary()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return numbered.mapInArrow(run, "row long, doc_id long, k1 long, k2 long, signature binary, elements binary")
+    key = F.xxhash64("text").alias("text_key")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key, "text")
+    return numbered.mapInArrow(run, "row long, doc_id long, text_key long, k1 long, k2 long, signature binary, elements binary")
 
 
 def checked(pairs: DataFrame, sketches: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -227,7 +228,7 @@ def _cross_pairs(members: DataFrame, sketches: DataFrame, k: int, least: float)
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``row`` number, doc_id, class_id, class_size of every document (doc_id, text).
+    """``row`` number, doc_id, text_key, label, class_id, class_size of every document (doc_id, text).
 
     Two documents are linked if the weighted Jaccard similarity of their five-word shingles is at least
     ``least``; classes are the connected components and are named by their smallest doc_id (null if all
@@ -236,7 +237,7 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: in
     k = bands * rows
     sketches = saved(sketch(docs, k), "sketches")
     alike = saved(sketches.groupBy("k1", "k2").agg(F.min("row").alias("first")), "equal-texts")
-    members = saved(sketches.select("row", "doc_id", "k1", "k2").join(alike, ["k1", "k2"]).select("row", "doc_id", "first"), "members")
+    members = saved(sketches.select("row", "doc_id", "text_key", "k1", "k2").join(alike, ["k1", "k2"]).select("row", "doc_id", "text_key", "first"), "members")
     single = sketches.join(alike.select(F.col("first").alias("row")), "row", "left_semi").where("signature is not null")
     single = saved(single.select("row", "signature", "elements"), "single-sketches")
 
@@ -261,7 +262,23 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: in
     more = saved(checked(crossed, single, least), "cross-links")
 
     labels = saved(components(links.unionByName(more)), "labels")
-    named = members.join(labels, F.col("first") == F.col("node"), "left").select("row", "doc_id", F.coalesce("label", "first").alias("label"))
+    named = members.join(labels, F.col("first") == F.col("node"), "left").select("row", "doc_id", "text_key", F.coalesce("label", "first").alias("label"))
     named = saved(named, "named")
     classes = saved(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    return named.join(classes, "label").select("row", "doc_id", "class_id", "class_size")
+    return named.join(classes, "label").select("row", "doc_id", "text_key", "label", "class_id", "class_size")
+
+
+def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row of each class of ``near_duplicate_classes``, with all its columns: that of the smallest
+    doc_id (null comes last), and among rows with this doc_id that of the smallest text hash."""
+    rows = saved(near_duplicate_classes(docs, least), "classes-of-rows")
+    # null ids last, by a number beyond every other
+    rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    first = saved(rows.groupBy("label").agg(F.min("_id").alias("_id")), "first-ids")
+    named = rows.join(first, ["label", "_id"], "left_semi").groupBy("label", "_id").agg(F.min("text_key").alias("_key"))
+    kept = saved(named.select("_id", "_key").distinct(), "kept-rows")
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_key": F.xxhash64("text")})
+    left = keyed.join(kept, ["_id", "_key"], "left_semi")
+    if rows.groupBy("_id", "text_key").count().where("count > 1").isEmpty():
+        return left.select(*docs.columns)
+    return left.dropDuplicates(["_id", "_key"]).select(*docs.columns)  # the same document more than once

@@ -2,9 +2,8 @@
 
 Tokens are counted in cells of (source, language, topic); categories without a target of their own
 share one. So the number of cells is bounded by the targets the caller gives, never by the data: the
-cells reach the driver, are raked to the three marginals in turn, and give one factor a category. A
-document's weight is the product of its three factors, looked up in literal maps without a join, and
-the document is drawn by a hash of its id against its calibrated probability.
+cells reach the driver and are raked to the three marginals in turn. The fitted weight of its cell is
+a document's probability, found by a join with the small table of cells, and a hash of its id draws it.
 """
 
 from __future__ import annotations
@@ -16,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OTHER = "(other)"  # every category without a target of its own, and null
-MAX_CELLS = 1_000_000
-ROUNDS = 500
+MAX_CELLS = 100_000  # cells of a set of targets; more are refused, so the table of cells may be broadcast
+ROUNDS = 200
 CLOSE = 1e-12  # largest relative error of a marginal at which raking ends
+LARGEST = 1e6  # bound of a weight, for targets that can't be reached
 
 
 def token_count(text: Column) -> Column:
@@ -31,34 +31,35 @@ def category(column: Column, targets: Mapping[str, float]) -> Column:
     return F.when(column.isin(named), column).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
 
 
-def rake(cells: np.ndarray, marginals: list[np.ndarray], rounds: int = ROUNDS) -> list[np.ndarray]:
-    """Factors for each axis so that ``cells`` times their product has the ``marginals``.
+def rake(cells: np.ndarray, marginals: list[np.ndarray], keep: float, rounds: int = ROUNDS) -> np.ndarray:
+    """A weight for each cell so that ``cells * min(weight, 1)`` has ``keep`` of all tokens and the
+    ``marginals``.
 
     A category without tokens can't get any: its share goes to the others of its axis in proportion.
-    Where the targets contradict empty cells, the last round's factors come closest in turn."""
+    Where more is asked of a category than it has, all of it is kept, and the marginals come as close as
+    raking gets. Axes are fitted in their order."""
     total = cells.sum()
     axes = range(cells.ndim)
-    factors = [np.ones(n) for n in cells.shape]
+    weights = np.full(cells.shape, float(keep))
     if not total:
-        return factors
-    sums = [cells.sum(axis=tuple(a for a in axes if a != k)) for k in axes]
-    goals = [np.where(s > 0, m, 0.0) for s, m in zip(sums, marginals)]
-    if any(g.sum() <= 0 for g in goals):
-        raise ValueError("no category with a target has any tokens")
-    goals = [g / g.sum() * total for g in goals]
+        return weights
+    goals = []
+    for k in axes:
+        has = cells.sum(axis=tuple(a for a in axes if a != k)) > 0
+        goal = np.where(has, marginals[k], 0.0)
+        if goal.sum() <= 0:
+            raise ValueError("no category with a target has any tokens")
+        goals.append(goal / goal.sum() * total * keep)
     for _ in range(rounds):
         worst = 0.0
         for k in axes:
-            fitted = cells.astype(float)
-            for a, f in enumerate(factors):
-                fitted = fitted * f.reshape([-1 if i == a else 1 for i in axes])
-            now = fitted.sum(axis=tuple(a for a in axes if a != k))
+            now = (cells * np.minimum(weights, 1.0)).sum(axis=tuple(a for a in axes if a != k))
             ratio = np.divide(goals[k], now, out=np.ones_like(now), where=now > 0)
-            worst = max(worst, float(np.abs(ratio[now > 0] - 1).max(initial=0)))
-            factors[k] = factors[k] * ratio
+            worst = max(worst, float(np.abs(ratio - 1).max(initial=0)))
+            weights = np.minimum(weights * ratio.reshape([-1 if a == k else 1 for a in axes]), LARGEST)
         if worst < CLOSE:
             break
-    return factors
+    return weights
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -67,15 +68,15 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], topic: Column, seed: str = "mix", keep: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], topic: Column, keep: float = 0.5, seed: str = "mix") -> DataFrame:
     """``docs`` (doc_id, text, lang, source) with ``tokens``, ``weight``, ``probability`` and ``selected``.
 
     ``targets`` has shares by category for ``source``, ``lang`` and ``topic``; shares of an axis are
-    scaled to one. The expected tokens of the selected documents have exactly these marginals. The
-    largest weight has probability 1; with ``keep``, the expected share of tokens kept, lower ones, and
-    a ``keep`` that the weights don't allow is an error. Documents without tokens take the probability
-    of their cell. Nulls count as other; repeated rows are drawn alike, since the id decides; an empty
-    table gives no rows. Columns of ``docs`` with the four new names are replaced."""
+    scaled to one. The selected documents are expected to have ``keep`` of all tokens with these
+    marginals, as far as there are enough (see ``rake``). Documents without tokens take the
+    probability of their cell, and ``keep`` where it has no tokens at all. Nulls count as other;
+    repeated rows are drawn alike, since the id decides; an empty table gives no rows. Columns of
+    ``docs`` with the four new names are replaced."""
     axes = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
     names = {a: sorted({*targets[a], OTHER}) for a in axes}
     if np.prod([len(n) for n in names.values()]) > MAX_CELLS:
@@ -83,26 +84,15 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], topic: Colu
     keyed = docs.select(*[category(c, targets[a]).alias(a) for a, c in axes.items()], token_count(F.col("text")).alias("tokens"))
     counted = keyed.groupBy(*axes).agg(F.sum("tokens").alias("tokens")).collect()  # at most the cells of the targets
     cells = np.zeros([len(n) for n in names.values()])
-    for r in counted:
-        cells[tuple(names[a].index(r[a]) for a in axes)] = r["tokens"]
-    factors = rake(cells, [np.array([targets[a].get(c, 0.0) for c in names[a]]) for a in axes])
-
-    weights = cells > 0
-    grid = np.ones(cells.shape)
-    for a, f in enumerate(factors):
-        grid = grid * f.reshape([-1 if i == a else 1 for i in range(3)])
-    most = float(grid[weights].max()) if weights.any() else 1.0
-    scale = 1 / most if most > 0 else 0.0
-    if keep is not None:
-        if keep > scale * (1 + 1e-9):
-            raise ValueError(f"the weights allow to keep {scale:.6f} of the tokens at most")
-        scale = keep
-
-    def factor(axis: str, values: np.ndarray) -> Column:
-        pairs = F.create_map(*[F.lit(x) for c, v in zip(names[axis], values.tolist()) for x in (c, v)])
-        return pairs[category(axes[axis], targets[axis])]
-
-    weight = factor("source", factors[0]) * factor("lang", factors[1]) * factor("topic", factors[2])
-    out = docs.withColumns({"tokens": token_count(F.col("text")), "weight": weight})
-    out = out.withColumn("probability", F.least(F.col("weight") * scale, F.lit(1.0)))
+    at = [tuple(names[a].index(r[a]) for a in axes) for r in counted]
+    for place, r in zip(at, counted):
+        cells[place] = r["tokens"]
+    weights = rake(cells, [np.array([targets[a].get(c, 0.0) for c in names[a]]) for a in axes], keep)
+
+    rows = [(*(names[a][i] for a, i in zip(axes, place)), float(weights[place]) if cells[place] else keep) for place in at]
+    fitted = docs.sparkSession.createDataFrame(rows, "_source string, _lang string, _topic string, weight double")
+    own = [c for c in docs.columns if c not in ("tokens", "weight", "probability", "selected")]
+    placed = docs.select(*own, token_count(F.col("text")).alias("tokens"), *[category(c, targets[a]).alias(f"_{a}") for a, c in axes.items()])
+    out = placed.join(F.broadcast(fitted), ["_source", "_lang", "_topic"], "left").select(*own, "tokens", "weight")
+    out = out.withColumn("probability", F.least(F.col("weight"), F.lit(1.0)))
     return out.withColumn("selected", (uniform(F.col("doc_id"), seed) < F.col("probability")).cast("int"))

@@ -99,7 +99,7 @@ def _(spark, sf_dir):
 
 @query("op8_dart_minhash")
 def _(spark, sf_dir):
-    return near_duplicate_classes(table(spark, sf_dir, "documents")).drop("row")
+    return near_duplicate_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
 @query("op1_warc_index_merge", """
@@ -118,9 +118,9 @@ def _(spark, sf_dir):
 
 
 MIX_TARGETS = {
-    "source": {"src0": 0.2, "src1": 0.06, "src2": 0.06, OTHER: 0.68},
+    "source": {"src0": 0.09, "src1": 0.06, "src2": 0.06, OTHER: 0.79},
     "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
-    "topic": {"prose": 0.8, "figures": 0.13, "table": 0.04, "licence": 0.03},
+    "topic": {"prose": 0.87, "figures": 0.06, "table": 0.04, "licence": 0.03},
 }
 
 
@@ -130,12 +130,13 @@ def topic_of(text):
     return kind.when(text.rlike("[0-9]"), "figures").otherwise("prose")
 
 
-def mix_sql(docs: str, rounds: int = 60) -> str:
+def mix_sql(docs: str, keep: float = 0.5, rounds: int = 200) -> str:
     """The mix as CTEs over a table: raking as a recursion over the cells, three axes a round."""
     goals = " UNION ALL ".join(
         f"SELECT '{axis}' AS axis, '{name}' AS name, CAST({share} AS DOUBLE) AS share" for axis, shares in MIX_TARGETS.items() for name, share in shares.items()
     )
     named = {axis: ", ".join(f"'{n}'" for n in shares if n != OTHER) for axis, shares in MIX_TARGETS.items()}
+    step = lambda w, goal, now: f"least({w} * CASE WHEN {now} > 0 THEN {goal} / {now} ELSE 1 END, 1e6)"
     return f"""
 goals AS ({goals}),
 mix_docs AS (
@@ -148,7 +149,7 @@ mix_docs AS (
     CASE WHEN topic IN ({named['topic']}) THEN topic ELSE '{OTHER}' END AS t FROM mix_docs
 ), mix_cells AS (SELECT s, l, t, CAST(sum(tokens) AS DOUBLE) AS n FROM mix_keyed GROUP BY ALL HAVING sum(tokens) > 0),
 mix_goals AS (
-  SELECT axis, name, share / sum(share) OVER (PARTITION BY axis) * (SELECT sum(n) FROM mix_cells) AS goal FROM goals
+  SELECT axis, name, share / sum(share) OVER (PARTITION BY axis) * (SELECT sum(n) FROM mix_cells) * {keep} AS goal FROM goals
   WHERE (axis = 'source' AND name IN (SELECT s FROM mix_cells)) OR (axis = 'lang' AND name IN (SELECT l FROM mix_cells))
     OR (axis = 'topic' AND name IN (SELECT t FROM mix_cells))
 ), mix_start AS (
@@ -156,17 +157,17 @@ mix_goals AS (
   LEFT JOIN mix_goals gs ON gs.axis = 'source' AND gs.name = s LEFT JOIN mix_goals gl ON gl.axis = 'lang' AND gl.name = l
   LEFT JOIN mix_goals gt ON gt.axis = 'topic' AND gt.name = t
 ), raked AS (
-  SELECT 0 AS i, s, l, t, n, gs, gl, gt, CAST(1 AS DOUBLE) AS w FROM mix_start
+  SELECT 0 AS i, s, l, t, n, gs, gl, gt, CAST({keep} AS DOUBLE) AS w FROM mix_start
   UNION ALL
-  SELECT i + 1, s, l, t, n, gs, gl, gt, CASE WHEN zt > 0 THEN w2 * gt / zt ELSE w2 END AS w FROM (
-    SELECT *, sum(n * w2) OVER (PARTITION BY t) AS zt FROM (
-      SELECT *, CASE WHEN zl > 0 THEN w1 * gl / zl ELSE w1 END AS w2 FROM (
-        SELECT *, sum(n * w1) OVER (PARTITION BY l) AS zl FROM (
-          SELECT *, CASE WHEN zs > 0 THEN w * gs / zs ELSE w END AS w1 FROM (
-            SELECT *, sum(n * w) OVER (PARTITION BY s) AS zs FROM raked WHERE i < {rounds})))))
-), mix_weights AS (SELECT s, l, t, w, max(w) OVER () AS most FROM raked WHERE i = {rounds}),
+  SELECT i + 1, s, l, t, n, gs, gl, gt, {step('w2', 'gt', 'zt')} AS w FROM (
+    SELECT *, sum(n * least(w2, 1)) OVER (PARTITION BY t) AS zt FROM (
+      SELECT *, {step('w1', 'gl', 'zl')} AS w2 FROM (
+        SELECT *, sum(n * least(w1, 1)) OVER (PARTITION BY l) AS zl FROM (
+          SELECT *, {step('w', 'gs', 'zs')} AS w1 FROM (
+            SELECT *, sum(n * least(w, 1)) OVER (PARTITION BY s) AS zs FROM raked WHERE i < {rounds})))))
+), mix_weights AS (SELECT s, l, t, w FROM raked WHERE i = {rounds}),
 mixed AS (
-  SELECT d.*, w AS weight, least(w / most, 1.0) AS probability,
+  SELECT d.*, coalesce(w, {keep}) AS weight, least(coalesce(w, {keep}), 1.0) AS probability,
     CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
   FROM mix_keyed d LEFT JOIN mix_weights USING (s, l, t)
 )"""
