@@ -64,17 +64,22 @@ def _(t):
     return a.month_status_matrix(t.runs_o)
 
 
-@check("A4_runs_by_status", "SELECT status, count(status) AS amount FROM runs GROUP BY status")
+@check("A4_runs_by_status", "SELECT min(status) AS status, count(status) AS amount FROM runs GROUP BY upper(status)")
 def _(t):
     return a.runs_by_status(t.runs)
 
 
-@check("A5_runs_by_job", "SELECT job_name, dimension, count(job_name) AS amount FROM runs GROUP BY 1, 2")
+@check("A5_runs_by_job", """
+SELECT min(job_name) AS job_name, min(dimension) AS dimension, count(job_name) AS amount FROM runs GROUP BY upper(job_name), upper(dimension)
+""")
 def _(t):
     return a.runs_by_job(t.runs)
 
 
-@check("A6_runs_by_job_status", "SELECT job_name, dimension, status, count(status) AS amount FROM runs GROUP BY 1, 2, 3")
+@check("A6_runs_by_job_status", """
+SELECT min(job_name) AS job_name, min(dimension) AS dimension, min(status) AS status, count(status) AS amount
+FROM runs GROUP BY upper(job_name), upper(dimension), upper(status)
+""")
 def _(t):
     return a.runs_by_job_status(t.runs)
 
@@ -98,7 +103,7 @@ def _(t):
 for _layer, (_column, _) in LAYER_PATTERNS.items():
 
     @check(f"A8_executions_{_layer}", f"""
-    SELECT {_column} AS {_layer}, count({_column}) AS amount FROM runs WHERE {LAYER_TESTS[_layer]} GROUP BY 1
+    SELECT min({_column}) AS {_layer}, count({_column}) AS amount FROM runs WHERE {LAYER_TESTS[_layer]} GROUP BY upper({_column})
     """)
     def _(t, layer=_layer):
         return a.executions_by_layer(t.runs, layer)
@@ -126,16 +131,21 @@ def _(t):
     return a.summary(t.orders, "o_totalprice", ["max"])
 
 
-@check("A12_group_count", "SELECT count(*) AS amount FROM (SELECT o_custkey, o_orderstatus FROM orders GROUP BY 1, 2)")
+@check("A12_group_count", "SELECT count(*) AS amount FROM (SELECT o_custkey, upper(o_orderstatus) FROM orders GROUP BY 1, 2)")
 def _(t):
     return a.group_count(t.orders, "o_custkey", "o_orderstatus")
 
 
-@check("A12_group_count_null", "SELECT count(*) AS amount FROM (SELECT dimension FROM runs GROUP BY 1)")
+@check("A12_group_count_null", "SELECT count(*) AS amount FROM (SELECT upper(dimension) FROM runs GROUP BY 1)")
 def _(t):
     return a.group_count(t.runs, "dimension")
 
 
+@check("A12_group_count_text", "SELECT count(*) AS amount FROM (SELECT upper(job_name), upper(status) FROM runs GROUP BY 1, 2)")
+def _(t):
+    return a.group_count(t.runs, "job_name", "status")
+
+
 @check("A13_date_span", "SELECT min(last_activity) AS first_date, max(last_activity) AS last_date FROM runs")
 def _(t):
     return a.date_span(t.runs)
@@ -160,7 +170,7 @@ PANEL = ["status", "job_name", "dimension", "environment"]
 
 
 @check("A16_distinct_values", " UNION ALL ".join(
-    f"SELECT '{c}' AS field, {c} AS value, count(*) AS amount FROM runs GROUP BY {c}" for c in PANEL
+    f"SELECT '{c}' AS field, min({c}) AS value, count(*) AS amount FROM runs GROUP BY upper({c})" for c in PANEL
 ))
 def _(t):
     return a.distinct_values(t.runs, PANEL)
@@ -171,6 +181,11 @@ def _(t):
     return a.distinct_count(t.orders, "o_custkey")
 
 
+@check("A17_distinct_count_text", "SELECT count(DISTINCT upper(status)) AS amount FROM runs")
+def _(t):
+    return a.distinct_count(t.runs, "status")
+
+
 @check("A18_active_count", "SELECT count(*) AS amount FROM ctx WHERE IsActive = 1")
 def _(t):
     return context.active_contexts(t.ctx)
@@ -209,6 +224,11 @@ def _(t):
     return a.reprocess_jobs(t.runs)
 
 
+@check("A22_distinct_rows_text", "SELECT min(status) AS status, min(environment) AS environment FROM runs GROUP BY upper(status), upper(environment)")
+def _(t):
+    return a.distinct_rows(t.runs, ["status", "environment"])
+
+
 @check("A23_context_panel", " UNION ALL ".join(
     f"SELECT '{k}' AS kind, count(DISTINCT {c}) AS available, count(*) FILTER (IsActive = 1) AS active FROM {n}"
     for k, n, c in (("project", "proj", "ProjectName"), ("environment", "env", "Environment"), ("context", "ctx", "ContextKey"))
@@ -277,7 +297,7 @@ def _(t):
 
 
 @check("R3_filter_panel", " UNION ALL ".join(
-    f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value, count(*) AS amount FROM runs GROUP BY {c}"
+    f"SELECT '{c}' AS field, min(CAST({c} AS VARCHAR)) AS value, count(*) AS amount FROM runs GROUP BY upper(CAST({c} AS VARCHAR))"
     for c in [*PANEL, "reprocess"]
 ))
 def _(t):
@@ -285,9 +305,12 @@ def _(t):
 
 
 def _dash(series, where="TRUE", days="NULL", label="NULL", month="NULL", job="NULL", dim="NULL"):
-    return f"""SELECT '{series}' AS series, CAST({days} AS INT) AS days, CAST({label} AS VARCHAR) AS label,
-    CAST({month} AS INT) AS month_no, CAST({job} AS VARCHAR) AS job_name, CAST({dim} AS VARCHAR) AS dimension,
-    count(*) AS amount, max(last_activity) AS date FROM spread WHERE {where} GROUP BY 1, 2, 3, 4, 5, 6 HAVING count(*) > 0"""
+    texts = {n: f"CAST({e} AS VARCHAR)" for n, e in (("label", label), ("job_name", job), ("dimension", dim))}
+    shown = {n: f"min({e}) AS {n}" for n, e in texts.items()}
+    return f"""SELECT '{series}' AS series, CAST({days} AS INT) AS days, {shown['label']},
+    CAST({month} AS INT) AS month_no, {shown['job_name']}, {shown['dimension']},
+    count(*) AS amount, max(last_activity) AS date FROM spread WHERE {where}
+    GROUP BY CAST({month} AS INT), {", ".join(f"upper({e})" for e in texts.values())} HAVING count(*) > 0"""
 
 
 _KNOWN = "upper(status) IN ('READY', 'ERROR', 'WARNING', 'RUNNING')"

@@ -120,11 +120,15 @@ FOLD_ONE = f"SELECT * EXCLUDE (id) FROM ({FOLD_SQL})"
 
 
 @check("L1_begin_rows", """
-SELECT instance_id, environment, job_name, 'running' AS status, event_text, dimension, 0 AS reprocess,
-  '0' AS records_total, '0' AS records_processed, start_time, start_time AS last_activity FROM runs
+SELECT instance_id, environment, job_name, '1' AS interface_id, 'running' AS status, event_text, dimension, 0 AS reprocess,
+  '0' AS records_total, '0' AS records_processed, start_time, start_time AS last_activity, NULL::VARCHAR AS no_running_time,
+  NULL::INT AS distict_errors, NULL::VARCHAR AS warnings, 'host' || CAST(id % 5 AS VARCHAR) AS hostname, NULL::VARCHAR AS username,
+  NULL::VARCHAR AS msg FROM runs
 """)
 def _(t):
-    return lifecycle.begin_rows(t.run_events)
+    host = F.concat(F.lit("host"), (F.floor(F.col("event_id") / 2) % 5).cast("string"))
+    rows = lifecycle.begin_rows(t.run_events.withColumn("hostname", host))
+    return rows.withColumn("no_running_time", F.col("running_time").cast("string")).drop("running_time")
 
 
 @check("L2_fold_runs", FOLD_ONE)
@@ -173,6 +177,18 @@ def _(t):
     return lifecycle.error_rows(t.run_events)
 
 
+# errors of keys with several runs count only between the first and the second begin, orphans never
+@check("L3_error_rows_shared", """
+SELECT e.instance_id AS tmf_id, e.job_name, e.ts AS moment, e.code FROM shared e WHERE e.kind = 'error' AND e.event_id % 5 <> 0
+  AND (SELECT count(*) FROM b WHERE b.instance_id = e.instance_id AND (b.ts, b.event_id) < (e.ts, e.event_id)) = 1
+UNION ALL SELECT 'orphan', 'pyjob', ts, code FROM shared WHERE FALSE
+""", ctes=EXACT_CTE)
+def _(t):
+    events = shared_events(t).where("kind <> 'error' OR event_id % 5 <> 0")
+    orphans = shared_events(t).where("kind = 'error' AND event_id % 5 = 0").withColumn("instance_id", F.lit("orphan"))
+    return lifecycle.error_rows(events.unionByName(orphans)).select("tmf_id", "job_name", "moment", "code")
+
+
 @check("L4_stuck_absolute", """
 SELECT id, job_name FROM runs WHERE upper(status) = 'RUNNING' AND start_time < (SELECT max(last_activity) FROM runs) - INTERVAL 6000 MINUTE
 """)

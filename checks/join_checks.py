@@ -46,7 +46,7 @@ def _(t):
 @check("J4_user_listing", """
 SELECT u.userId, r.role, g.name AS "group" FROM users u LEFT JOIN roles r ON r.roleId = u.roleId
 LEFT JOIN user_groups g ON g.id = u.groupId
-WHERE u.isDeleted = 0 AND u.roleId <> 1 AND (upper(u.email) LIKE '%7%' OR upper(u.name) LIKE '%7%')
+WHERE u.isDeleted = 0 AND u.roleId <> 1 AND (upper(u.email) LIKE '%7%' OR upper(u.name) LIKE '%7%' OR upper(u.mobile) LIKE '%7%')
 """)
 def _(t):
     return joins.user_listing(t.users, t.roles, t.user_groups, "7").select("userId", "role", "group")

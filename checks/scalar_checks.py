@@ -274,9 +274,13 @@ def _(t):
     )
 
 
-@check("C25_instance_id")
+@check("C25_instance_id", "SELECT count(*) AS n, count(*) AS well_formed, count(*) AS far_apart FROM runs")
 def _(t):
-    return t.runs.select("id", nested.instance_id().alias("new_id"))
+    ids = t.runs.select(nested.instance_id().alias("short"), nested.instance_id(20).alias("long"))
+    return ids.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("short").rlike("^[A-Z]{8}$")).alias("well_formed"),
+        F.count_distinct("long").alias("far_apart"),
+    )
 
 
 # ---------------------------------------------------------------- text preparation
@@ -315,7 +319,7 @@ def _(t):
 @check("V7_ellipsize", f"""
 SELECT doc_id, CASE WHEN length(s) <= 120 THEN s ELSE s[1:120] || '&hellip;' END AS at_end,
   CASE WHEN length(s) <= 120 THEN s ELSE s[1:60] || '...' || right(s, 60) END AS middle
-FROM (SELECT doc_id, {_sql_trim("regexp_replace(text, '<[^>]*>', '', 'g')")} AS s FROM documents)
+FROM (SELECT doc_id, {_sql_trim("regexp_replace(text, '<([^\\s>][^>]*)?>', '', 'g')")} AS s FROM documents)
 """)
 def _(t):
     return t.documents.select(
@@ -334,7 +338,11 @@ def _(t):
     )
 
 
-@check("V7_censor_wildcard")
+_APART = f"regexp_replace(' ' || text || ' ', '({_BORDER})(tion\\w*?)({_BORDER})', '\\1' || chr(65535) || '\\2' || chr(65535) || '\\3', 'gi')"
+_HIDDEN = f"array_to_string(list_transform(string_split({_APART}, chr(65535)), lambda p, i: CASE WHEN i % 2 = 0 THEN repeat('#', octet_length(encode(p))) ELSE p END), '')"
+
+
+@check("V7_censor_wildcard", f"SELECT doc_id, {_sql_trim(_sql_censor(_HIDDEN, 'the', '###'))} AS masked FROM documents")
 def _(t):
     return t.documents.select("doc_id", tx.censor_words(C("text"), ["tion*", "the"]).alias("masked"))
 

@@ -11,6 +11,7 @@ from runlens.session import work_dir
 from runlens.sources import builds as build_source
 from runlens.sources import exports, registry, tables
 
+from .adapters import DRIVER_TABLES
 from .registry import check
 
 # ---------------------------------------------------------------- scans, sources, sinks
@@ -122,11 +123,11 @@ def _(t):
 
 @check("S12_row_counts", " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS amount FROM {n}"
-    for n in ("customer", "documents", "events", "lineitem", "orders", "part")
+    for n in DRIVER_TABLES
 ))
 def _(t):
     return tables.row_counts(**{
-        n: getattr(t, n) for n in ("customer", "documents", "events", "lineitem", "orders", "part")
+        n: getattr(t, n) for n in DRIVER_TABLES
     })
 
 
@@ -386,7 +387,7 @@ def _(t):
 SELECT userId, email FROM users WHERE upper(email) LIKE '%99_@%' OR upper(name) LIKE '%99_@%' OR upper(mobile) LIKE '%99_@%'
 """)
 def _(t):
-    return p.search_users(t.users, "99_@", ["email", "name", "mobile"]).select("userId", "email")
+    return p.search_users(t.users, "99_@").select("userId", "email")
 
 
 @check("F16_active", "SELECT userId, name FROM users WHERE isDeleted = 0")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_list
+from .aggregates import distinct_rows
 from .skew import join_on_unique
 
 # Texts stored when no user or no group was chosen.
@@ -52,7 +53,7 @@ def visible_reports(
         own = reports_for_user(reports, users, groups, user).select("name", "type")
     else:
         own = _own_reports(reports, users, groups, user)
-    return own.union(reports.where(is_public()).select("name", "type")).distinct()
+    return distinct_rows(own.union(reports.where(is_public()).select("name", "type")), ["name", "type"])
 
 
 def has_permission(

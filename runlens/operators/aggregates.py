@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import text_key
 from ..functions.timefmt import month_name, percent_of
 from .predicates import LAYER_PATTERNS, in_layer
 
@@ -81,19 +82,25 @@ def month_status_matrix(runs: DataFrame, statuses: Sequence[str] = STATUSES, gra
     )
 
 
+def counts_by_text(df: DataFrame, cols: Sequence[str], counted: str) -> DataFrame:
+    """Rows per group of text columns without regard to case; each column shows its smallest spelling.
+
+    Spellings are counted first by hash aggregation, so only the few spellings are folded."""
+    spelled = df.groupBy(*cols).agg(F.count(counted).alias("_n"))
+    folded = spelled.groupBy(*[text_key(spelled, c).alias(f"_{c}") for c in cols])
+    return folded.agg(*[F.min(c).alias(c) for c in cols], F.sum("_n").alias("amount")).select(*cols, "amount")
+
+
 def runs_by_status(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("status").agg(F.count("status").alias("amount")).orderBy("status")
+    return counts_by_text(runs, ["status"], "status").orderBy("status")
 
 
 def runs_by_job(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("job_name", "dimension").agg(F.count("job_name").alias("amount")).orderBy("dimension")
+    return counts_by_text(runs, ["job_name", "dimension"], "job_name").orderBy("dimension")
 
 
 def runs_by_job_status(runs: DataFrame) -> DataFrame:
-    return (
-        runs.groupBy("job_name", "dimension", "status")
-        .agg(F.count("status").alias("amount")).orderBy("dimension")
-    )
+    return counts_by_text(runs, ["job_name", "dimension", "status"], "status").orderBy("dimension")
 
 
 def layer_counts(runs: DataFrame) -> DataFrame:
@@ -104,10 +111,7 @@ def layer_counts(runs: DataFrame) -> DataFrame:
 def executions_by_layer(runs: DataFrame, layer: str) -> DataFrame:
     """Runs per job (or per dimension, for ``dw`` and ``dm``) of one layer."""
     column = LAYER_PATTERNS[layer][0]
-    return (
-        runs.where(in_layer(layer)).groupBy(F.col(column).alias(layer))
-        .agg(F.count(column).alias("amount"))
-    )
+    return counts_by_text(runs.where(in_layer(layer)), [column], column).withColumnRenamed(column, layer)
 
 
 # ---------------------------------------------------------------- column statistics
@@ -137,8 +141,8 @@ def date_span(df: DataFrame, column: str = "last_activity") -> DataFrame:
 
 
 def group_count(df: DataFrame, *cols: str, name: str = "amount") -> DataFrame:
-    """Number of groups; NULL forms a group of its own."""
-    return df.select(*cols).distinct().agg(_n(name))
+    """Number of groups, text without regard to case; NULL forms a group of its own."""
+    return df.select(*[text_key(df, c).alias(c) for c in cols]).distinct().agg(_n(name))
 
 
 def distinct_count(df: DataFrame, column: str, name: str = "amount") -> DataFrame:
@@ -146,11 +150,15 @@ def distinct_count(df: DataFrame, column: str, name: str = "amount") -> DataFram
 
 
 def distinct_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols).distinct()
+    """Distinct rows, text without regard to case and in its smallest spelling."""
+    spelled = df.select(*cols).distinct()
+    folded = spelled.groupBy(*[text_key(spelled, c).alias(f"_{c}") for c in cols])
+    return folded.agg(*[F.min(c).alias(c) for c in cols]).select(*cols)
 
 
 def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The distinct values of several columns as rows (field, value, amount), in one scan.
+    """The distinct values of several columns as rows (field, value, amount), in one scan; text without
+    regard to case and in its smallest spelling.
 
     Values stay rows instead of being collected into one list, so a column with very many
     values is no problem. Rows are counted per combination first, which keeps the unpivot small.
@@ -159,9 +167,9 @@ def distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = F.array(*[
         F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in cols
     ])
-    return (
-        combos.select(F.inline(pairs), "n").groupBy("field", "value").agg(F.sum("n").alias("amount"))
-    )
+    spelled = combos.select(F.inline(pairs), "n").groupBy("field", "value").agg(F.sum("n").alias("n"))
+    folded = spelled.groupBy("field", F.upper("value").alias("_value"))
+    return folded.agg(F.min("value").alias("value"), F.sum("n").alias("amount")).select("field", "value", "amount")
 
 
 def reprocess_jobs(runs: DataFrame) -> DataFrame:

@@ -51,10 +51,10 @@ POSITION_BLOCK = 100_000  # build numbers per block
 
 
 def build_range(
-    builds: DataFrame, job: str | None = None, lo: int = 0, hi: int = 999_999,
+    builds: DataFrame, job: str | None = None, lo: int = 0, hi: int | None = None,
     block: int = POSITION_BLOCK,
 ) -> DataFrame:
-    """Builds at positions ``lo`` (included) to ``hi`` (excluded), newest first, 0 = newest.
+    """Builds at positions ``lo`` (included) to ``hi`` (excluded, None: to the oldest), newest first, 0 = newest.
 
     Positions are counted in two steps so that no task sorts a whole job: rows per block of build
     numbers, then the order inside each block. Blocks outside the range are left out before the
@@ -67,12 +67,14 @@ def build_range(
         Window.unboundedPreceding, -1
     )
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
-    needed = starts.where((F.col("_before") < hi) & (F.col("_before") + F.col("_n") > lo))
+    ends = F.lit(True) if hi is None else F.col("_before") < hi
+    needed = starts.where(ends & (F.col("_before") + F.col("_n") > lo))
     inside = Window.partitionBy("job", "_block").orderBy(F.col("number").desc())
     placed = rows.join(needed.drop("_n"), ["job", "_block"]).withColumn(
         "position", (F.col("_before") + F.row_number().over(inside) - 1).cast("bigint")
     )
-    return placed.where((F.col("position") >= lo) & (F.col("position") < hi)).drop("_block", "_before")
+    found = placed.where(F.col("position") >= lo) if hi is None else placed.where(F.col("position").between(lo, hi - 1))
+    return found.drop("_block", "_before")
 
 
 def build_table(builds: DataFrame, wrap: bool = True) -> DataFrame:

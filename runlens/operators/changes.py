@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.text import text_key
 from ..functions.timefmt import ntz
 from .skew import join_on_unique
 
@@ -21,7 +22,12 @@ def last_change(changes: DataFrame, keys: Sequence[str], order_by: str | None) -
     if order_by is None:
         return changes
     picked = F.max_by(F.struct(*changes.columns), F.col(order_by)).alias("row")
-    return changes.groupBy(*keys).agg(picked).select("row.*").drop(order_by)
+    return changes.groupBy(*[text_key(changes, k).alias(f"_{k}") for k in keys]).agg(picked).select("row.*").drop(order_by)
+
+
+def _folded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The key columns, text in upper case."""
+    return df.select(*[text_key(df, k).alias(k) for k in keys])
 
 
 def update_by_key(
@@ -69,7 +75,7 @@ def delete_rows(
     """
     if keys is not None:
         on = keys.columns
-        flagged = join_on_unique(df, keys.distinct().withColumn("_hit", F.lit(True)), on, "left")
+        flagged = join_on_unique(df, _folded(keys, on).distinct().withColumn("_hit", F.lit(True)), on, "left")
     else:
         flagged = df.withColumn("_hit", condition)
     flagged = flagged.withColumn("_hit", F.coalesce(F.col("_hit"), F.lit(False)))
@@ -102,7 +108,7 @@ def increment(
     df: DataFrame, arrivals: DataFrame, keys: Sequence[str], column: str
 ) -> DataFrame:
     """Add the number of arriving rows per key to a counter; keys without arrivals keep theirs."""
-    counted = arrivals.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counted = _folded(arrivals, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     joined = join_on_unique(df, counted, keys, "left")
     new = (F.coalesce(F.col(column), F.lit(0)) + F.coalesce(F.col("_n"), F.lit(0))).alias(column)
     return joined.select(*[new if c == column else F.col(c) for c in df.columns])

@@ -63,9 +63,10 @@ def resolve_context(
         rows = rows.where(F.col("IsActive") == 1)
     n = F.count(F.lit(1))
     only: Column = F.when(n == 1, F.min("ContextValue"))
-    return rows.groupBy(F.upper("ContextKey").alias("context_key"), "Environment").agg(
-        n.alias("n_matches"), only.alias("context_value")
-    )
+    found = rows.groupBy(F.upper("ContextKey").alias("context_key"), F.upper("Environment").alias("_environment"))
+    return found.agg(
+        F.min("Environment").alias("Environment"), n.alias("n_matches"), only.alias("context_value")
+    ).drop("_environment")
 
 
 def context_matrix(

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import same_text, text_key
 from .skew import join_on_unique
 
 # ---------------------------------------------------------------- general forms
@@ -63,9 +64,9 @@ def errors_for_instance(
     instance cannot multiply its rows. ``distinct_errors`` leaves the column out.
     """
     if instance_id is not None:
-        errs = errs.where(F.col("tmf_id") == instance_id)
-        runs = runs.where(F.col("instance_id") == instance_id)
-    per_instance = runs.groupBy(F.col("instance_id").alias("tmf_id")).agg(F.count(F.lit(1)).alias("copies"))
+        errs = errs.where(same_text(F.col("tmf_id"), instance_id))
+        runs = runs.where(same_text(F.col("instance_id"), instance_id))
+    per_instance = runs.groupBy(text_key(runs, "instance_id").alias("tmf_id")).agg(F.count(F.lit(1)).alias("copies"))
     out = join_on_unique(errs, per_instance, ["tmf_id"], "inner")
     return out.drop("copies") if distinct_errors else out
 
@@ -101,9 +102,9 @@ def user_profile(users: DataFrame, roles: DataFrame, groups: DataFrame) -> DataF
 def templates_with_smtp(email: DataFrame, smtp: DataFrame) -> DataFrame:
     """Mail templates with the server they name; ``smtp`` names are unique."""
     server = smtp.select(
-        F.col("name").alias("smtp"), "smtp_host", "smtp_port", "username", "password", "ssl"
+        F.upper("name").alias("_name"), "smtp_host", "smtp_port", "username", "password", "ssl"
     )
-    return email.join(server, "smtp")
+    return email.join(server, F.upper("smtp") == F.col("_name")).drop("_name")
 
 
 # ---------------------------------------------------------------- existence tests
@@ -121,8 +122,8 @@ def new_rows(
     keys = list(keys)
     if first_by is not None:
         picked = F.min_by(F.struct(*incoming.columns), F.col(first_by)).alias("row")
-        incoming = incoming.groupBy(*keys).agg(picked).select("row.*")
-        return incoming.join(existing.select(*keys).distinct(), keys, "left_anti")
+        folded = [text_key(incoming, k).alias(f"_{k}") for k in keys]
+        incoming = incoming.groupBy(*folded).agg(picked).select("row.*")
     return join_on_unique(incoming, existing.select(*keys).distinct(), keys, "left_anti")
 
 

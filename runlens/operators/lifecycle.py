@@ -21,6 +21,7 @@ RUN_KEY = ["instance_id", "environment", "job_name"]
 RUNNING, READY, ERROR = "running", "ready", "error"
 ERROR_TEXT = "Error(s) Found"
 ERROR_TYPE = "Python Exception"
+INTERFACE = "1"
 
 
 def _is(kind: str) -> Column:
@@ -33,16 +34,35 @@ def _order() -> Column:
 
 
 def begin_rows(events: DataFrame) -> DataFrame:
-    """Begin events → new run rows."""
+    """Begin events → new, complete run rows. Host and user are NULL where events don't name them."""
+    none = F.lit(None)
+    who = [F.col(c) if c in events.columns else none.cast("string").alias(c) for c in ("hostname", "username")]
     return events.where(_is("begin")).select(
-        *RUN_KEY, F.lit(RUNNING).alias("status"), "event_text", "dimension",
+        *RUN_KEY, F.lit(INTERFACE).alias("interface_id"), F.lit(RUNNING).alias("status"), "event_text", "dimension",
         F.lit(0).alias("reprocess"), F.lit("0").alias("records_total"), F.lit("0").alias("records_processed"),
         F.col("ts").alias("start_time"), F.col("ts").alias("last_activity"),
+        none.cast("interval day to second").alias("running_time"), none.cast("int").alias("distict_errors"),
+        none.cast("string").alias("warnings"), *who, none.cast("string").alias("msg"),
     )
 
 
 def error_rows(events: DataFrame) -> DataFrame:
-    """Error events → rows of the error table."""
+    """Error events → rows of the error table.
+
+    Error and run are written together, so an error counts only if exactly one run of its key had
+    begun by then: from the first begin on, up to the second one."""
+    begins = events.where(_is("begin")).select(*RUN_KEY, _order().alias("_at"))
+    first = begins.groupBy(*RUN_KEY).agg(F.min("_at").alias("_first"))
+    after = join_on_unique(begins, first, RUN_KEY, "inner", fold=False).where(F.col("_at") > F.col("_first"))
+    second = after.groupBy(*RUN_KEY).agg(F.min("_at").alias("_second"))
+    bounds = first.join(second, RUN_KEY, "left")
+    placed = join_on_unique(events.where(_is("error")), bounds, RUN_KEY, "inner", fold=False)
+    one = (_order() > F.col("_first")) & (F.col("_second").isNull() | (_order() < F.col("_second")))
+    return error_events(placed.where(one))
+
+
+def error_events(events: DataFrame) -> DataFrame:
+    """All error events in the form of error rows, whether or not a run takes them."""
     return events.where(_is("error")).select(
         F.col("instance_id").alias("tmf_id"), "job_name", F.col("ts").alias("moment"),
         F.lit(ERROR_TYPE).alias("type"), "origin", F.col("msg").alias("message"), "code",
@@ -111,10 +131,10 @@ def fold_runs_exact(events: DataFrame) -> DataFrame:
     if unclear.isEmpty():
         return clear
     # a key may hold very many events: both joins are safe for hot keys
-    rows = cut(join_on_unique(events, unclear, RUN_KEY, "inner", ["event_id"]))
+    rows = cut(join_on_unique(events, unclear, RUN_KEY, "inner", fold=False))
     begins = rows.where(_is("begin") & (_order() > F.col("_first")))
     second = begins.groupBy(*RUN_KEY).agg(F.min(_order()).alias("_second"))
-    early = join_on_unique(rows, second, RUN_KEY, "inner", ["event_id"]).where(_order() < F.col("_second"))
+    early = join_on_unique(rows, second, RUN_KEY, "inner", fold=False).where(_order() < F.col("_second"))
     heads = run_rows(fold_state(early.drop("_first", "_second"))).drop("n_begin", "ambiguous")
     heads = heads.join(unclear.select(*RUN_KEY, F.col("_n").alias("n_begin")), RUN_KEY)
     heads = heads.withColumn("ambiguous", F.lit(True))

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import in_texts, like_contains, or_like, same_text, upper_lit
+from ..functions.text import in_texts, like_contains, or_like, same_text, text_key, upper_lit
 from ..functions.timefmt import day_end, day_start, days, next_day_start, ntz
 
 # ---------------------------------------------------------------- single predicates
@@ -65,9 +65,11 @@ def _in(df: DataFrame, column: str, values: Iterable[object]) -> Column:
 
 
 def where_in(df: DataFrame, column: str, values: Iterable[object] | DataFrame) -> DataFrame:
-    """IN. Values may be a one-column DataFrame, which becomes a semi join."""
+    """IN, text without regard to case. Values may be a one-column DataFrame, which becomes a semi join."""
     if isinstance(values, DataFrame):
-        return df.join(values.toDF(column), column, "left_semi")
+        wanted = values.toDF("_wanted")
+        keys = wanted.select(text_key(wanted, "_wanted").alias("_wanted")).distinct()
+        return df.join(keys, text_key(df, column) == F.col("_wanted"), "left_semi")
     return df.where(_in(df, column, values))
 
 
@@ -138,7 +140,7 @@ def active(df: DataFrame) -> DataFrame:
     return df.where(F.col("isDeleted") == 0)
 
 
-def search_users(df: DataFrame, text: str, columns: Sequence[str] = ("email", "name")) -> DataFrame:
+def search_users(df: DataFrame, text: str, columns: Sequence[str] = ("email", "name", "mobile")) -> DataFrame:
     """One text looked for in several columns; ``%`` and ``_`` act as wildcards."""
     return df.where(or_like([F.col(c) for c in columns], text, escape=False))
 

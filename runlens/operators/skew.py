@@ -1,67 +1,45 @@
 """Join of a large side with a side that holds one row per key, safe for hot keys.
 
-Spark splits a skewed partition by itself only when both join inputs come straight out of a
-shuffle. A side that was just aggregated by the join key does not, so one hot key would send all
-its rows to one task. Here the rows of a hot key are cut into slices of bounded size and its one
-matching row is repeated once per slice. All other keys join as usual.
+Spark splits an oversized partition of a join by itself, at run time and by its measured size, but only
+when both sides come straight out of a shuffle made for the join. A side that was just reduced to one
+row per key is already partitioned by that key, so Spark would not shuffle it again and could not split
+the other side either. Here the sides meet on a struct of the keys, which no earlier partitioning
+covers: both are shuffled once for the join, whatever was done to them before, and a key of any share
+of the rows is cut as finely as its partition demands. Nothing is counted or collected beforehand, and
+the large side is planned once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 1_000_000  # a key with more rows is hot; its rows are cut into slices of this size
-TRACKED = 10_000  # keys a sketch keeps: the size bound of the list of hot keys
-MERGERS = 1_000  # sketches of the tasks are merged in this many groups first
+from ..functions.text import text_key
 
 
-def hot_keys(df: DataFrame, on: Sequence[str]) -> list[tuple[int, int]]:
-    """(hash, number of slices) of the hot keys; at most TRACKED entries (eager).
+def meeting_key(df: DataFrame, on: Sequence[str], like: DataFrame | None = None, fold: bool = True) -> Column:
+    """The key columns as one value, text without regard to case; NULL if any of them is NULL.
 
-    Each task sketches the keys it reads, so only sketches are shuffled. A key is found for certain
-    when it holds more than about 1/2500 of all rows. Counts are approximate, which is enough: both
-    join sides use this one list, so it decides speed and never the result.
-    """
-    sketches = (
-        df.select(F.xxhash64(*on).alias("h"), (F.spark_partition_id() % MERGERS).alias("g"))
-        .groupBy("g").agg(F.expr(f"approx_top_k_accumulate(h, {TRACKED})").alias("s"))
-    )
-    # grouped by a constant, so that an empty table gives no sketch instead of an empty one
-    merged = sketches.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s"))
-    top = merged.select(F.explode(F.expr(f"approx_top_k_estimate(s, {TRACKED})")).alias("t")).select("t.*")
-    hot = top.where(F.col("count") > ROWS_PER_SLICE)
-    return [(r["item"], -(-r["count"] // ROWS_PER_SLICE)) for r in hot.collect()]
+    ``like``: the other side of the join, whose types count."""
+    parts = []
+    for c in on:
+        key = text_key(df, c) if fold else F.col(c)
+        if like is not None and like.schema[c].dataType != df.schema[c].dataType:
+            key = key.cast(like.schema[c].dataType)
+        parts.append(key)
+    known = reduce(lambda a, b: a & b, [p.isNotNull() for p in parts])
+    return F.when(known, F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]))
 
 
-def join_on_unique(
-    big: DataFrame,
-    unique: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    spread_by: Sequence[str] | None = None,
-) -> DataFrame:
-    """Join ``big`` with ``unique`` (at most one row per key).
-
-    Looks for hot keys of ``big`` first, which reads its key columns once; without any it is a
-    plain join. ``spread_by`` names columns that tell rows of one key apart (default: all). The
-    slice is a hash of them, so a task that runs again puts each row into the same slice.
-    """
+def join_on_unique(big: DataFrame, unique: DataFrame, on: Sequence[str], how: str = "left", fold: bool = True) -> DataFrame:
+    """Join ``big`` with ``unique`` (at most one row per key; text keys without regard to case unless
+    ``fold`` is False). A NULL key meets nothing. Columns: keys, rest of ``big``, rest of ``unique``."""
     on = list(on)
-    hot = hot_keys(big, on)
-    if not hot:
-        return big.join(unique, on, how)
-    # at most TRACKED rows of two numbers: small enough to broadcast whatever the data
-    slices = F.broadcast(big.sparkSession.createDataFrame(hot, "_key_hash long, _slices int"))
-
-    def with_slices(df: DataFrame) -> DataFrame:
-        return df.withColumn("_key_hash", F.xxhash64(*on)).join(slices, "_key_hash", "left")
-
-    row_hash = F.xxhash64(*(spread_by or big.columns))
-    left = with_slices(big).withColumn("_slice", F.coalesce(F.pmod(row_hash, "_slices"), F.lit(0)).cast("int"))
-    every = F.sequence(F.lit(0), F.coalesce("_slices", F.lit(1)) - 1)
-    right = with_slices(unique).withColumn("_slice", F.explode(every))
-    joined = left.drop("_key_hash", "_slices").join(right.drop("_key_hash", "_slices"), [*on, "_slice"], how)
-    return joined.drop("_slice")
+    rest = [c for c in big.columns if c not in on]
+    others = [] if how in ("left_semi", "left_anti") else [c for c in unique.columns if c not in on]
+    left = big.withColumn("_key", meeting_key(big, on, fold=fold))
+    right = unique.select(meeting_key(unique, on, big, fold).alias("_key"), *others)
+    return left.join(right, "_key", how).select(*on, *rest, *others)

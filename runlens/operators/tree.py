@@ -17,11 +17,13 @@ from ..session import cut
 from .predicates import mime_match
 from .skew import join_on_unique
 
-MAX_LEVELS = 1000  # deeper walks point to a cycle and raise an error
+COMPACT = 50  # levels after which the rows reached so far become one stored table
 
 
 def _walk(start: DataFrame, step) -> DataFrame:
-    """Union of ``start`` and all levels that ``step`` makes from the level before."""
+    """Union of ``start`` and all levels that ``step`` makes from the level before, of any number.
+
+    ``step`` leaves out what has been reached already, so a cycle ends the walk."""
     level = cut(start)
     levels = [level]
     while True:
@@ -29,32 +31,37 @@ def _walk(start: DataFrame, step) -> DataFrame:
         if level.isEmpty():
             return reduce(DataFrame.unionByName, levels)
         levels.append(level)
-        if len(levels) > MAX_LEVELS:
-            raise ValueError(f"more than {MAX_LEVELS} levels: does the table hold a cycle?")
+        if len(levels) == COMPACT:
+            levels = [cut(reduce(DataFrame.unionByName, levels))]
 
 
 def descendants(tree: DataFrame, root: int, directories_only: bool = False) -> DataFrame:
-    """The root and everything below it: (id, parent_id, name, depth, path)."""
+    """The root and everything below it: (id, parent_id, name, depth, path), each id once.
+
+    The edges are stored once, dealt by parent, so a level shuffles itself and not the table."""
     rows = tree.where(F.col("mime") == "directory") if directories_only else tree
-    rows = rows.select("id", "parent_id", "name").where(F.col("id") != F.col("parent_id"))
+    rows = cut(rows.select("id", "parent_id", "name").where(F.col("id") != F.col("parent_id")).repartition("parent_id"))
     start = tree.where(F.col("id") == root).select(
         "id", "parent_id", "name", F.lit(0).alias("depth"), F.col("name").alias("path")
     )
 
-    def step(level: DataFrame, _seen: DataFrame) -> DataFrame:
+    def step(level: DataFrame, seen: DataFrame) -> DataFrame:
         above = level.select(
             F.col("id").alias("parent_id"), F.col("depth").alias("_d"), F.col("path").alias("_p")
         )
-        return rows.join(above, "parent_id").select(
+        below = rows.join(above, "parent_id").select(
             "id", "parent_id", "name", (F.col("_d") + 1).alias("depth"),
             F.concat_ws("/", "_p", "name").alias("path"),
         )
+        return below.join(seen.select("id"), "id", "left_anti").select(*below.columns)
 
     return _walk(start, step)
 
 
 def ancestors(tree: DataFrame, ids: int | DataFrame) -> DataFrame:
-    """The chain of parents of one id or of a table of ids: (id, ancestor_id, depth)."""
+    """The chain of parents of one id or of a table of ids: (id, ancestor_id, depth).
+
+    One row for each id and ancestor: for all ids of a table that is rows times depth."""
     rows = tree.select("id", "parent_id")
     wanted = ids.toDF("id") if isinstance(ids, DataFrame) else rows.where(F.col("id") == ids).select("id")
     start = rows.join(wanted, "id").select(
@@ -64,15 +71,16 @@ def ancestors(tree: DataFrame, ids: int | DataFrame) -> DataFrame:
     # an id that is no row (above the root) ends the chain and is not an ancestor
     start = start.join(parents.select("ancestor_id"), "ancestor_id", "left_semi").select("id", "ancestor_id", "depth")
 
-    def step(level: DataFrame, _seen: DataFrame) -> DataFrame:
+    def step(level: DataFrame, seen: DataFrame) -> DataFrame:
         # many ids share few ancestors: the parent of each is looked up per distinct ancestor
         ups = parents.join(level.select("ancestor_id").distinct(), "ancestor_id").where(
             F.col("_up") != F.col("ancestor_id")
         )
         known = ups.join(rows.select(F.col("id").alias("_up")), "_up", "left_semi")
-        return join_on_unique(level, known, ["ancestor_id"], "inner").select(
+        found = join_on_unique(level, known, ["ancestor_id"], "inner").select(
             "id", F.col("_up").alias("ancestor_id"), (F.col("depth") + 1).alias("depth")
         )
+        return found.join(seen.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti")
 
     return _walk(start, step)
 

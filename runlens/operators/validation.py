@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import trim_ws
 from .skew import join_on_unique
 
 Rule = str | tuple
@@ -14,14 +15,14 @@ Rule = str | tuple
 # Patterns of the format rules.
 NUMBER = r"^[-+]?[0-9]*\.?[0-9]+$"
 PATTERNS = {
-    "alpha": r"^[A-Za-z]+$",
-    "alpha_numeric": r"^[A-Za-z0-9]+$",
+    "alpha": r"^[A-Za-z]+\z",
+    "alpha_numeric": r"^[A-Za-z0-9]+\z",
     "alpha_numeric_spaces": r"^[A-Za-z0-9 ]+$",
     "alpha_dash": r"^[A-Za-z0-9_-]+$",
     "numeric": NUMBER,
     "integer": r"^[-+]?[0-9]+$",
     "decimal": r"^[-+]?[0-9]+\.[0-9]+$",
-    "natural": r"^[0-9]+$",
+    "natural": r"^[0-9]+\z",
 }
 
 # Own patterns for addresses; all are ordinary forms, without quoted local parts.
@@ -58,7 +59,8 @@ def _emails(c: Column) -> Column:
 
 def _compare(op: str) -> Callable[[Column, object], Column]:
     def test(c: Column, bound: object) -> Column:
-        n = c.try_cast("double")
+        # texts such as 5d, NaN or Infinity cast to a double but are no numbers here
+        n = F.when(c.rlike(NUMBER), c.try_cast("double"))
         ok = {"<": n < bound, "<=": n <= bound, ">": n > bound, ">=": n >= bound}[op]
         return F.coalesce(ok, F.lit(False))
 
@@ -94,7 +96,7 @@ def _failed(column: str, rule: Rule) -> Column:
     c = F.col(column).cast("string")
     blank = c.isNull() | (c == "")
     if name == "required":
-        return F.coalesce(F.trim(c) == "", F.lit(True))
+        return F.coalesce(trim_ws(c) == "", F.lit(True))
     if name == "is_unique":
         return F.coalesce(F.col(_taken(column)), F.lit(False))
     passed = F.coalesce(TESTS[name](c, *args), F.lit(False))
@@ -107,16 +109,16 @@ def _taken(column: str) -> str:
 
 def _mark_taken(df: DataFrame, column: str, key: str, existing: DataFrame | None) -> DataFrame:
     """Mark values that exist already, or that an earlier row of the same table holds."""
-    value = F.col(column).cast("string").alias("_v")
+    value = F.upper(F.col(column).cast("string")).alias("_v")
     firsts = df.where(F.col(column).isNotNull() & (F.col(column).cast("string") != "")).groupBy(value)
     known = firsts.agg(F.min(key).alias("_first"), F.count(F.lit(1)).alias("_n"))
     if existing is None:
         known = known.where(F.col("_n") > 1).withColumn("_old", F.lit(False))
     else:
-        old = existing.select(F.col(column).cast("string").alias("_v")).distinct()
+        old = existing.select(F.upper(F.col(column).cast("string")).alias("_v")).distinct()
         known = known.join(old.withColumn("_old", F.lit(True)), "_v", "left")
         known = known.where((F.col("_n") > 1) | F.col("_old"))
-    joined = join_on_unique(df.withColumn("_v", value), known.drop("_n"), ["_v"], "left", [key])
+    joined = join_on_unique(df.withColumn("_v", value), known.drop("_n"), ["_v"], "left", fold=False)
     taken = F.coalesce("_old", F.lit(False)) | (F.col("_first").isNotNull() & (F.col(key) != F.col("_first")))
     return joined.withColumn(_taken(column), taken).drop("_v", "_first", "_old")
 

@@ -140,11 +140,15 @@ def dashboard(
         if layer in LISTED_LAYERS:
             name = {"job": F.col("job_name")} if column == "job_name" else {"dim": F.col("dimension")}
             rows.append(row("layer_runs", in_layer(layer), label=F.lit(layer), **name))
-    keys = ["series", "days", "label", "month_no", "job_name", "dimension"]
-    return (
-        small.select(F.inline(F.array_compact(F.array(*rows))), "n", "date").groupBy(*keys)
-        .agg(F.sum("n").alias("amount"), F.max("date").alias("date"))
+    keys, texts = ["series", "days", "month_no"], ["label", "job_name", "dimension"]
+    # spellings are summed by hash aggregation before the few that are left are folded
+    spelled = (
+        small.select(F.inline(F.array_compact(F.array(*rows))), "n", "date").groupBy(*keys, *texts)
+        .agg(F.sum("n").alias("n"), F.max("date").alias("date"))
     )
+    folded = spelled.groupBy(*keys, *[F.upper(c).alias(f"_{c}") for c in texts])
+    found = folded.agg(*[F.min(c).alias(c) for c in texts], F.sum("n").alias("amount"), F.max("date").alias("date"))
+    return found.select("series", "days", "label", "month_no", "job_name", "dimension", "amount", "date")
 
 
 def series(bundle: DataFrame, name: str) -> DataFrame:

@@ -82,10 +82,13 @@ def jdbc_options(entry: Mapping[str, str], driver: str = "mariadb") -> dict[str,
 
 def read_registered(
     spark: SparkSession, entry: Mapping[str, str], table: str, partition_column: str | None = None,
-    lower: object = None, upper: object = None, num_partitions: int = 64,
+    lower: object = None, upper: object = None, num_partitions: int = 64, driver: str = "mariadb",
 ) -> DataFrame:
-    """A table of a registered database, read in parallel ranges when a column is given."""
-    options = {**jdbc_options(entry), "dbtable": table}
+    """A table of a registered database, read in parallel ranges of ``partition_column``.
+
+    Without a column one task reads the whole table, which only suits small ones. ``driver`` names
+    the kind of a general database in its address."""
+    options = {**jdbc_options(entry, driver), "dbtable": table}
     if partition_column:
         options |= {
             "partitionColumn": partition_column, "lowerBound": str(lower), "upperBound": str(upper),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.lifecycle import RUN_KEY, begin_rows, error_rows, fold_runs
+from ..operators.lifecycle import RUN_KEY, begin_rows, error_events, fold_runs
 
 
 def read_events(spark: SparkSession, directory: str, schema: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -21,7 +21,7 @@ def read_events(spark: SparkSession, directory: str, schema: str, pattern: str =
 
 
 begin_stream = begin_rows
-error_stream = error_rows
+error_stream = error_events  # candidates: which run takes them is settled in batch, by ``error_rows``
 
 
 def fold_runs_stream(events: DataFrame) -> DataFrame:
@@ -55,10 +55,13 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The rows written so far, also before the first batch."""
+    """The rows written so far, also before the first batch; only a missing folder counts as that."""
+    full = spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("bigint")).schema
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        return spark.read.schema(full).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("bigint"))
 
 

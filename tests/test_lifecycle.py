@@ -23,7 +23,7 @@ def make(spark, *events):
          "7" if kind == "end" else None, "7" if kind == "end" else None, (rest or [None])[0], None, None)
         for i, (m, kind, inst, *rest) in enumerate(events)
     ]
-    return spark.createDataFrame(data, RUN_EVENTS)
+    return spark.createDataFrame([(*r, None, None) for r in data], RUN_EVENTS)
 
 
 def both(spark, *events):

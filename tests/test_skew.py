@@ -5,9 +5,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import plan, rows
-from runlens.operators import changes, joins, skew, validation
-from runlens.operators.skew import hot_keys, join_on_unique
+from conftest import rows
+from runlens.operators import changes, joins, validation
+from runlens.operators.skew import join_on_unique
 
 
 @pytest.fixture(scope="module")
@@ -23,41 +23,59 @@ def unique(skewed):
     return skewed.where("k <> 'k17'").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
 
 
-@pytest.fixture(autouse=True)
-def small_slices(monkeypatch):
-    monkeypatch.setattr(skew, "ROWS_PER_SLICE", 500)
-
-
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_same_result_as_a_plain_join(skewed, unique, how):
     got = join_on_unique(skewed, unique, ["k"], how)
-    assert "_slice" in plan(got)
     assert rows(got) == rows(skewed.join(unique, "k", how).select(got.columns))
 
 
-def test_only_hot_keys_are_found(skewed):
-    found = dict(hot_keys(skewed, ["k"]))
-    names = {r.k: found[r.h] for r in skewed.select("k", F.xxhash64("k").alias("h")).distinct().collect() if r.h in found}
-    assert names == {"hot": 20, None: 6}
+@pytest.fixture
+def finely_split(spark):
+    """Every partition is large enough to be split, and nothing is small enough to be broadcast."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "200",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+    }
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_key_is_split_though_the_other_side_was_aggregated_by_it(finely_split, skewed, unique):
+    big = skewed.repartition(8)
+    assert "skew=true" in executed(join_on_unique(big, unique, ["k"]))
+    assert "skew=true" not in executed(big.join(unique, "k", "left"))  # why the helper exists
 
 
-def test_any_list_of_hot_keys_gives_the_same_result(skewed, unique, monkeypatch):
-    want = rows(skewed.join(unique, "k", "left"), "id", "k", "n")
-    some = [r.h for r in skewed.select(F.xxhash64("k").alias("h")).distinct().limit(40).collect()]
-    for hot in ([], some, [1, 2, 3]):
-        monkeypatch.setattr(skew, "hot_keys", lambda df, on, hot=hot: [(h, 7) for h in hot])
-        assert rows(join_on_unique(skewed, unique, ["k"]), "id", "k", "n") == want
+def test_a_key_of_a_twentieth_is_split_too(finely_split):
+    big = finely_split.range(100_000).select("id", F.when(F.col("id") % 20 == 0, -1).otherwise(F.col("id")).alias("k")).repartition(8)
+    unique = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = join_on_unique(big, unique, ["k"], "inner")
+    assert "skew=true" in executed(got)
+    assert got.where("k = -1").agg(F.min("n"), F.count(F.lit(1))).first() == (5000, 5000)
 
 
-def test_without_hot_keys_it_is_a_plain_join(spark):
-    df = spark.range(5000)
-    joined = join_on_unique(df, df.withColumn("n", F.lit(1)), ["id"])
-    assert "_slice" not in plan(joined)
+def test_nothing_runs_when_the_plan_is_made(spark, skewed, unique):
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    join_on_unique(skewed, unique, ["k"])
+    assert len(tracker.getJobIdsForGroup(None)) == before
 
 
-def test_slices_are_of_bounded_size(skewed):
-    per_slice = skewed.where("k = 'hot'").groupBy(F.pmod(F.xxhash64("id", "k"), F.lit(20)).alias("s")).count().collect()
-    assert len(per_slice) == 20 and max(r["count"] for r in per_slice) < 600
+def test_text_keys_without_regard_to_case(spark):
+    big = spark.createDataFrame([(1, "Ab"), (2, "aB"), (3, "c"), (4, None)], "id int, k string")
+    unique = spark.createDataFrame([("AB", 7), (None, 8)], "k string, n int")
+    assert rows(join_on_unique(big, unique, ["k"]), "id", "n") == [(1, 7), (2, 7), (3, None), (4, None)]
+    assert rows(join_on_unique(big, unique, ["k"], "inner", fold=False)) == []
 
 
 def test_empty_sides(skewed, unique):

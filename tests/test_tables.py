@@ -235,11 +235,16 @@ def test_job_cycles_end(spark):
     assert rows(tree.job_closure(tree.child_edges(jobs), "a")) == [("b", 1), ("c", 1), ("d", 2)]
 
 
-def test_cycle_in_a_tree_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(tree, "MAX_LEVELS", 3)
-    t = spark.createDataFrame([(1, 2, "a", "d"), (2, 1, "b", "d")], "id long, parent_id long, name string, mime string")
-    with pytest.raises(ValueError):
-        tree.descendants(t, 1)
+def test_cycle_in_a_tree_ends(spark):
+    t = spark.createDataFrame([(1, 2, "a", "d"), (2, 1, "b", "d"), (3, 3, "c", "d")], "id long, parent_id long, name string, mime string")
+    assert rows(tree.descendants(t, 1), "id", "depth") == [(1, 0), (2, 1)]
+    assert rows(tree.ancestors(t, 1), "ancestor_id", "depth") == [(1, 2), (2, 1)]
+
+
+def test_deep_chain_has_no_level_limit(spark, monkeypatch):
+    monkeypatch.setattr(tree, "COMPACT", 4)
+    t = spark.createDataFrame([(i, i - 1, str(i), "d") for i in range(1, 14)], "id long, parent_id long, name string, mime string")
+    assert rows(tree.descendants(t, 1), "id", "depth") == sorted(((i, i - 1) for i in range(1, 14)), key=repr)
 
 
 def test_range_positions(spark):
