@@ -88,10 +88,9 @@ def _packed(df: DataFrame, size: int, total: int) -> DataFrame:
     return keyed.groupBy("part", "dims").applyInArrow(pack, "part int, dims int, ids binary, matrix binary")
 
 
-def _matrix(ids: bytes, matrix: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(ids: bytes, matrix: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, "<i8")
-    kind = "<i4" if len(matrix) % (4 * len(ids)) == 0 else "<i8"
-    return ids, np.frombuffer(matrix, kind).reshape(len(ids), -1)
+    return ids, np.frombuffer(matrix, f"<i{len(matrix) // (len(ids) * dims)}").reshape(len(ids), dims)
 
 
 def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -111,7 +110,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     """query_id, rank, vec_id, score: the k best of all other vectors for each one whose vec_id is
     divisible by ``every``; ties go to the smaller vec_id. Of rows with one vec_id the one with the smallest
     components takes part. Only vectors of equal length meet; vectors
-    of no components score 0 with each other. An empty table gives no rows."""
+    of no components score 0 with each other. Scores must fit into 64 bits. An empty table gives no rows."""
     prepare(vectors.sparkSession)
     rows = integers(vectors, scale)
     total = rows.count()
@@ -128,8 +127,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                     q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
                     queries, data = np.zeros((len(q_ids), 1), np.int64), np.zeros((len(ids), 1), np.int64)
                 else:
-                    q_ids, queries = _matrix(row["q_ids"], row["q_matrix"])
-                    ids, data = _matrix(row["ids"], row["matrix"])
+                    q_ids, queries = _matrix(row["q_ids"], row["q_matrix"], row["dims"])
+                    ids, data = _matrix(row["ids"], row["matrix"], row["dims"])
                 found = [(q_ids[i], ids[at], s) for i, at, s in search(queries, q_ids, data, ids, k)]
                 if found:
                     cols = [np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
