@@ -98,11 +98,18 @@ def main() -> None:
 
     tables = Tables(spark, folder)
     times = measure(headline(tables))
-    # the shape that one scan replaces: not part of the sum
-    comparison = measure({"D1_as_27_statements": lambda: separate_series(tables)})
+    # shapes to compare with: not part of the sum
+    statuses = [s.upper() for s in aggregates.STATUSES]
+    comparison = measure({
+        "D1_as_27_statements": lambda: separate_series(tables),
+        "D1_default_as_of": lambda: trends.dashboard(tables.runs),
+        "F1_unfused": lambda: [aggregates.count_where(tables.runs, F.upper("status") == s) for s in statuses],
+    })
+    sizes = {"L2_fold_runs": tables.run_events.count(), "V7_text_prep": tables.documents.count(), "D1_dashboard": tables.runs.count()}
+    rate = {k: round(n / times[k]) for k, n in sizes.items()}
     print(json.dumps({
         "metric": "run-log headline queries, sum of medians", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "comparison": comparison, "sf": Path(folder).name.removeprefix("sf"), "cores": int(CPUS),
+        "queries": times, "comparison": comparison, "rows_per_sec": rate, "sf": Path(folder).name.removeprefix("sf"), "cores": int(CPUS),
         "shuffle_partitions": int(CPUS), "spark": spark.version,
     }))
 

@@ -74,14 +74,14 @@ def _first_mark(agent: Column, marks: dict[str, str]) -> Column:
     return chain.otherwise(F.lit(None))
 
 
-def _browser(agent: Column) -> tuple[Column, Column]:
-    """Name and version of the first browser expression that is followed by a version."""
-    name = version = F
+def _browser(agent: Column) -> Column:
+    """Name and version of the first browser expression that is followed by a version, in one chain."""
+    found = F
     for expression, label in BROWSERS.items():
         pattern = f"(?i){expression}.*?([0-9.]+)"
-        name = name.when(agent.rlike(pattern), F.lit(label))
-        version = version.when(agent.rlike(pattern), F.regexp_extract(agent, pattern, 1))
-    return name.otherwise(F.lit(None)), version.otherwise(F.lit(None))
+        pair = F.struct(F.lit(label).alias("name"), F.regexp_extract(agent, pattern, 1).alias("version"))
+        found = found.when(agent.rlike(pattern), pair)
+    return found.otherwise(F.lit(None))
 
 
 def classify_agents(logins: DataFrame, column: str = "agentString") -> DataFrame:
@@ -91,16 +91,13 @@ def classify_agents(logins: DataFrame, column: str = "agentString") -> DataFrame
     """
     agent = F.col(column)
     robot = _first_mark(agent, ROBOTS)
-    name, version = _browser(agent)
     out = logins.withColumns({
         "platform_name": F.coalesce(_first_mark(agent, PLATFORMS), F.lit(UNKNOWN_PLATFORM)),
         "robot": robot,
         "mobile": _first_mark(agent, MOBILES),
     })
-    out = out.withColumns({
-        "browser": F.when(F.col("robot").isNull(), name),
-        "version": F.when(F.col("robot").isNull(), version),
-    })
+    out = out.withColumn("_b", F.when(F.col("robot").isNull(), _browser(agent)))
+    out = out.withColumns({"browser": F.col("_b.name"), "version": F.col("_b.version")}).drop("_b")
     label = F.coalesce(
         F.concat_ws(" ", F.col("browser"), F.col("version")), F.lit("")
     )
@@ -139,5 +136,5 @@ def logins_per_role_day(logins: DataFrame) -> DataFrame:
 def last_login(logins: DataFrame, user: int | None = None) -> DataFrame:
     """The login with the highest id of every user, or of one."""
     rows = logins if user is None else logins.where(F.col("userId") == user)
-    row = F.max_by(F.struct("id", "createdDtm"), F.col("id")).alias("l")
-    return rows.groupBy("userId").agg(row).select("userId", "l.id", "l.createdDtm")
+    # two buffers of fixed width, so rows are not sorted
+    return rows.groupBy("userId").agg(F.max("id").alias("id"), F.max_by("createdDtm", "id").alias("createdDtm"))

@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefmt import fmt_ts, ms_text, ms_to_ts
+from .skew import join_on_unique
 
 
 def latest_build(builds: DataFrame) -> DataFrame:
-    """The build with the highest number of every job."""
-    row = F.max_by(F.struct(*builds.columns), F.col("number")).alias("b")
-    return builds.groupBy("job").agg(row).select("b.*")
+    """The build with the highest number of every job: the number by hash aggregation, then its row."""
+    newest = builds.groupBy("job").agg(F.max("number").alias("_newest"))
+    found = join_on_unique(builds, newest, ["job"], "inner", fold=False)
+    return found.where(F.col("number") == F.col("_newest")).select(*builds.columns)
 
 
 # The "last …" builds of a job and the results that count for each.

@@ -44,6 +44,12 @@ def test_dashboard_reads_the_log_once(stored_runs):
     assert text.count("ReadSchema") == 1
 
 
+@pytest.mark.parametrize("key", ["W2_latest_build", "W5_last_login"])
+def test_newest_rows_are_found_by_hashing(spark, key):
+    text = plan(entry.QUERIES[key](spark, DATA))
+    assert "HashAggregate" in text and "SortAggregate" not in text
+
+
 def test_time_ranges_reach_the_scan(stored_runs, tables):
     assert "GreaterThanOrEqual(last_activity" in plan(recent(stored_runs, 7, "2024-01-31 00:00:00"))
     assert "LessThan(start_time" in plan(stuck_runs(stored_runs, "absolute", 5, "2024-01-31 00:00:00"))
@@ -55,9 +61,9 @@ EAGER = ("J14", "V5", "V6_search_below", "L1_begin_stream", "L2_fold_runs_exact"
          "L4_stuck_stream", "L4_silent_stream", "L5", "L6", "L8", "S", "F1_filter_stored")
 
 
-@pytest.mark.parametrize("key", [k for k in entry.queries() if not k.startswith(EAGER)])
+@pytest.mark.parametrize("key", [k for k in entry.QUERIES if not k.startswith(EAGER)])
 def test_no_query_pairs_all_rows(spark, key):
-    text = plan(entry.queries()[key](spark, DATA))
+    text = plan(entry.QUERIES[key](spark, DATA))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
