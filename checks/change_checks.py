@@ -287,6 +287,15 @@ def _(t):
     return live.live_status(run_stream(t, live.fold_runs_stream(event_stream(t)), "live", "update"))
 
 
+@check("L5_live_status_table", f"SELECT status, count(*) AS amount FROM ({FOLD_SQL}) GROUP BY status")
+def _(t):
+    path = work_dir(t.spark, "run-table")
+    live.start_available(
+        live.fold_runs_stream(event_stream(t)), live.upsert_writer(path), work_dir(t.spark, "upsert-state"), "update"
+    ).awaitTermination()
+    return t.spark.read.parquet(path).groupBy("status").agg(F.count(F.lit(1)).alias("amount"))
+
+
 @check("L6_daily_stream", """
 SELECT CAST(ts AS DATE) AS day, kind, count(*) AS amount FROM run_events GROUP BY 1, 2
 """)
@@ -301,6 +310,21 @@ def _(t):
     return run_stream(t, fresh, "absent").select("job_name", "environment")
 
 
+# a third of the keys lie in the table already, and a batch that runs again changes nothing
+@check("L8_insert_absent_table", """
+SELECT DISTINCT job_name, environment, CAST(CASE WHEN environment IN ('DEV', 'QA') THEN -1 ELSE 0 END AS BIGINT) AS batch_id FROM runs
+""")
+def _(t):
+    path, keys = work_dir(t.spark, "absent-table"), ["job_name", "environment"]
+    rows = t.run_events.select(*keys, "ts")
+    write = live.absent_writer(path, keys)
+    live.batch_writer(path)(rows.where("environment IN ('DEV', 'QA')").dropDuplicates(keys), -1)
+    for _ in range(2):
+        write(rows, 0)
+    write(rows.withColumn("job_name", F.lower("job_name")), 1)
+    return live.read_batches(t.spark, path, rows.schema).select(*keys, "batch_id")
+
+
 # ---------------------------------------------------------------- validation
 
 USER_RULES = {

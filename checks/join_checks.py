@@ -52,6 +52,16 @@ def _(t):
     return joins.user_listing(t.users, t.roles, t.user_groups, "7").select("userId", "role", "group")
 
 
+@check("J4_user_page", """
+SELECT u.userId, u.email, u.name, u.mobile, r.role, g.name AS "group" FROM users u LEFT JOIN roles r ON r.roleId = u.roleId
+LEFT JOIN user_groups g ON g.id = u.groupId
+WHERE u.isDeleted = 0 AND u.roleId <> 1 AND (upper(u.email) LIKE '%7%' OR upper(u.name) LIKE '%7%' OR upper(u.mobile) LIKE '%7%')
+ORDER BY u.userId DESC LIMIT 10 OFFSET 5
+""")
+def _(t):
+    return joins.user_page(t.users, t.roles, t.user_groups, "7", 10, 5)
+
+
 @check("J5_user_profile", """
 SELECT u.userId, u.name, r.role, g.name AS "group" FROM users u JOIN roles r ON r.roleId = u.roleId
 LEFT JOIN user_groups g ON g.id = u.groupId WHERE u.isDeleted = 0

@@ -403,6 +403,13 @@ def _(t):
     return p.login_history(t.logins, 0, 'u1_"', "10-01-2024", "20-01-2024")
 
 
+@check("F17_login_page", """
+SELECT userId, sessionData, agentString, createdDtm FROM logins WHERE upper(sessionData) LIKE '%U1%' ORDER BY id DESC LIMIT 10 OFFSET 20
+""")
+def _(t):
+    return p.login_page(t.logins, 0, "u1", offset=20)
+
+
 @check("F18_optional", "SELECT * FROM logins WHERE userId = 17")
 def _(t):
     return p.login_history(t.logins, 17, "", "", "")

@@ -74,6 +74,10 @@ def errors_for_instance(
 # ---------------------------------------------------------------- users
 
 
+# Columns of the user listing.
+LISTED = ("userId", "email", "name", "mobile", "createdDtm", "role", "group")
+
+
 def users_with_role(users: DataFrame, roles: DataFrame, groups: DataFrame) -> DataFrame:
     """Users with role and group names; a user without either is kept."""
     named = groups.select(F.col("id").alias("groupId"), F.col("name").alias("group"))
@@ -81,19 +85,30 @@ def users_with_role(users: DataFrame, roles: DataFrame, groups: DataFrame) -> Da
 
 
 def user_listing(users: DataFrame, roles: DataFrame, groups: DataFrame, text: str = "") -> DataFrame:
-    """Users that are neither deleted nor administrators (role 1), optionally searched."""
+    """Users that are neither deleted nor administrators (role 1), optionally searched, in the columns
+    that a listing shows."""
     from .predicates import active, not_equal, search_users
 
     found = search_users(users, text) if text else users
-    return users_with_role(not_equal(active(found), "roleId", 1), roles, groups)
+    named = users_with_role(not_equal(active(found), "roleId", 1), roles, groups)
+    return named.select(*[c for c in LISTED if c in named.columns])
+
+
+def user_page(
+    users: DataFrame, roles: DataFrame, groups: DataFrame, text: str = "", limit: int = 10, offset: int = 0
+) -> DataFrame:
+    """One page of the user listing, newest user first."""
+    from .paging import page
+
+    return page(user_listing(users, roles, groups, text), [("userId", "desc")], limit, offset)
 
 
 def user_profile(users: DataFrame, roles: DataFrame, groups: DataFrame) -> DataFrame:
-    """Active users with their role (required) and group (optional)."""
+    """Active users with their role (required) and group (optional), without passwords."""
     from .predicates import active
 
     named = groups.select(F.col("id").alias("groupId"), F.col("name").alias("group"))
-    return active(users).join(roles, "roleId").join(named, "groupId", "left")
+    return active(users).drop("password").join(roles, "roleId").join(named, "groupId", "left")
 
 
 # ---------------------------------------------------------------- settings

@@ -158,6 +158,20 @@ def login_history(
     return optional(out, F.col("userId") == user, user)
 
 
+# Columns of the login history.
+LOGIN_COLUMNS = ("userId", "sessionData", "machineIp", "userAgent", "agentString", "platform", "createdDtm")
+
+
+def login_page(
+    logins: DataFrame, user: int = 0, text: str = "", from_: str = "", to: str = "", limit: int = 10, offset: int = 0
+) -> DataFrame:
+    """One page of the login history, newest first."""
+    from .paging import page
+
+    found = page(login_history(logins, user, text, from_, to), [("id", "desc")], limit, offset)
+    return found.select(*[c for c in LOGIN_COLUMNS if c in found.columns])
+
+
 # ---------------------------------------------------------------- the run filter
 
 FILTER_START = "2010-01-01"  # fixed value: first day used when only an end day is given

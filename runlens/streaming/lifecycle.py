@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.changes import replace_rows
+from ..operators.joins import new_rows
 from ..operators.lifecycle import RUN_KEY, begin_rows, error_events, fold_runs
+from ..session import cut
 
 
 def read_events(spark: SparkSession, directory: str, schema: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -56,13 +59,49 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     """The rows written so far, also before the first batch; only a missing folder counts as that."""
-    full = spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("bigint")).schema
+    return _read_table(spark, path, spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("bigint")))
+
+
+def upsert_writer(path: str, keys: Sequence[str] = tuple(RUN_KEY), buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Writer that keeps a table of one row per key: the rows of a micro-batch replace those of their keys.
+
+    The table lies in ``bucket=N`` partitions by a hash of the key; a batch reads and rewrites the
+    buckets it touches, from a checkpoint, and no older version stays behind. A batch that runs again
+    puts the same rows in the same place."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        placed = [F.upper(c) if batch.schema[c].dataType.typeName() == "string" else F.col(c) for c in keys]
+        new = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*placed), F.lit(buckets)).cast("int")))
+        if new.isEmpty():
+            return
+        held = _read_table(spark, path, new).join(new.select("bucket").distinct(), "bucket", "left_semi").select(*new.columns)
+        merged = cut(replace_rows(held, new, list(keys)))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    return write
+
+
+def absent_writer(path: str, keys: Sequence[str], first_by: str = "ts") -> Callable[[DataFrame, int], None]:
+    """Writer that adds only rows whose key the table doesn't hold yet, of any age; of several rows with
+    one key in a micro-batch the first by ``first_by``. A batch that runs again replaces itself."""
+    own = batch_writer(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = read_batches(batch.sparkSession, path, batch.schema).where(F.col("batch_id") != batch_id)
+        own(new_rows(batch, held, list(keys), first_by), batch_id)
+
+    return write
+
+
+def _read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """A table in the columns of ``like``; empty as long as its folder is missing."""
     try:
-        return spark.read.schema(full).parquet(path)
+        return spark.read.schema(like.schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("bigint"))
+        return spark.createDataFrame([], like.schema)
 
 
 def current_rows(written: DataFrame, keys: Sequence[str] = tuple(RUN_KEY)) -> DataFrame:
@@ -118,5 +157,6 @@ def silent_runs_stream(events: DataFrame, seconds: int, delay: str = "10 minutes
 
 
 def insert_if_absent_stream(events: DataFrame, keys: Sequence[str], delay: str = "1 day") -> DataFrame:
-    """First row of every key; repeats within ``delay`` are dropped with bounded state."""
+    """First row of every key; repeats within ``delay`` are dropped with bounded state. Later ones, and
+    keys that the table held before, are left to ``absent_writer``."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
