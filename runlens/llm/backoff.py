@@ -9,7 +9,9 @@ are packed: documents form blocks of bounded size, a block's distinct n-grams go
 their hashes as sorted arrays with counts (the pre-aggregation), a partition adds up the counts of
 all its blocks and answers each of them with totals in the same order, and a block sums its documents'
 scores. A hash partition gets at most one entry of an n-gram from a block, so no frequent n-gram
-makes a partition large, and the number of partitions follows the number of words.
+makes a partition large, and the number of partitions follows the number of words. Blocks are stored
+in buckets, so only the answers move to them. Hashes have 24 bits more than the number of n-grams
+needs, at least 52: an n-gram shares its hash with another one with a probability below 2**-24.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, saved, slices
+from .common import prepare, saved_by, slices
 from .words import ngrams, word_hashes
 
 ORDER = 3
@@ -66,14 +68,19 @@ def _table(docs: bytes) -> pa.Table:
     return pa.ipc.open_stream(docs).read_all().combine_chunks()
 
 
-def _distinct(hashes: np.ndarray, offsets: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _grams(hashes: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    grams, gram_offsets = ngrams(hashes, offsets, n)
+    return grams >> np.uint64(64 - bits), gram_offsets
+
+
+def _distinct(hashes: np.ndarray, offsets: np.ndarray, order: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct n-grams of a block and their counts, for each order."""
-    return [np.unique(ngrams(hashes, offsets, n)[0], return_counts=True) for n in range(1, order + 1)]
+    return [np.unique(_grams(hashes, offsets, n, bits)[0], return_counts=True) for n in range(1, order + 1)]
 
 
-def _cuts(grams: np.ndarray, parts: int) -> np.ndarray:
+def _cuts(grams: np.ndarray, parts: int, bits: int) -> np.ndarray:
     """Places at which sorted hashes go over to the next of ``parts`` equal ranges."""
-    edges = np.array([(i << 64) // parts for i in range(1, parts)], dtype=np.uint64)
+    edges = np.array([(i << bits) // parts for i in range(1, parts)], dtype=np.uint64)
     return np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
 
 
@@ -98,17 +105,18 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
     gives no rows."""
     prepare(docs.sparkSession)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = saved(numbered.mapInArrow(_blocks(order), "block long, words long, docs binary"), "text-blocks")
+    blocks = saved_by(numbered.mapInArrow(_blocks(order), "block long, words long, docs binary"), "text-blocks", "block")
     total = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     parts = max(1, total * order // PART_ENTRIES)
+    bits = min(64, max(52, (total * order).bit_length() + 24))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("block", pa.int64()), ("grams", pa.binary()), ("counts", pa.binary())])
         for batch in batches:
             for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs")):
                 t = _table(docs.as_py())
-                for n, (grams, counts) in enumerate(_distinct(*word_hashes(t["text"]), order), 1):
-                    cuts = _cuts(grams, parts)
+                for n, (grams, counts) in enumerate(_distinct(*word_hashes(t["text"]), order, bits), 1):
+                    cuts = _cuts(grams, parts, bits)
                     used = np.flatnonzero(np.diff(cuts))
                     rows = [(int(p), n, block, _deltas(grams[cuts[p] : cuts[p + 1]]), _narrow(counts[cuts[p] : cuts[p + 1]])) for p in used]
                     if rows:
@@ -136,24 +144,24 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA) ->
             t = _table(docs)
             hashes, offsets = word_hashes(t["text"])
             found = []
-            for n, (grams, counts) in enumerate(_distinct(hashes, offsets, order), 1):
-                cuts = _cuts(grams, parts)
+            for n, (grams, counts) in enumerate(_distinct(hashes, offsets, order, bits), 1):
+                cuts = _cuts(grams, parts, bits)
                 others = [_wide(answered[n, int(p)]) for p in np.flatnonzero(np.diff(cuts))]
                 found.append((grams, counts + (np.concatenate(others) if others else np.zeros(0, np.int64))))
-            out.append(pa.table({"doc_id": t["doc_id"], "n_words": pa.array(np.diff(offsets)), "score": pa.array(_scores(hashes, offsets, found, total, alpha))}))
+            out.append(pa.table({"doc_id": t["doc_id"], "n_words": pa.array(np.diff(offsets)), "score": pa.array(_scores(hashes, offsets, found, total, alpha, bits), pa.float64())}))
         return pa.concat_tables(out)
 
     return blocks.select("block", "docs").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, n_words long, score double")
 
 
-def _scores(hashes: np.ndarray, offsets: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], total: int, alpha: float) -> list[float | None]:
+def _scores(hashes: np.ndarray, offsets: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], total: int, alpha: float, bits: int) -> list[float | None]:
     """Mean log scores; ``found`` has the sorted n-grams of the block and their counts in the corpus."""
     order = len(found)
     words = np.diff(offsets)
     doc = np.repeat(np.arange(len(words)), words)
     rest = []  # for each order: occurrences in other documents of the n-gram that ends at each word
     for n, (grams, counts) in enumerate(found, 1):
-        own, own_offsets = ngrams(hashes, offsets, n)
+        own, own_offsets = _grams(hashes, offsets, n, bits)
         docs = np.repeat(np.arange(len(words)), np.diff(own_offsets))
         at = np.searchsorted(grams, own)
         # the document's own occurrences

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,17 @@ from pyspark.sql import functions as F
 
 from runlens.session import work_dir
 
+ROOT = str(Path(__file__).resolve().parents[2])
 BATCH_BYTES = 16 << 20  # bound of one Arrow batch, whatever the number of rows
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes too: 10,000 very long texts don't fit into one."""
+    """Bound Arrow batches by bytes too: 10,000 very long texts don't fit into one. Workers on this
+    machine find the package wherever the driver was started; a cluster gets it with ``--py-files``."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +42,15 @@ def saved(df: DataFrame, name: str, compression: str = "snappy", partition_by: s
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``saved``, dealt into buckets by ``key``: a later grouping by it moves only its other side."""
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    table_name = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.option("path", path).bucketBy(shuffle_partitions(spark), key).sortBy(key).saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
