@@ -11,8 +11,8 @@ element plus the darts, not elements times coordinates.
 Equal texts (same words) count once. Signatures are banded; in a bucket each text meets the smallest
 and the largest id, pairs are checked exactly on their shingles, and links become components. Buckets
 that still hold several components go through all their cross pairs, block by block inside numpy, by
-the agreement of whole signatures; what may reach the similarity is checked exactly as well. So no
-bucket is capped, and no pairs within a group of copies are written out.
+the agreement of whole signatures; what may reach the similarity is checked exactly there as well. So
+no bucket is capped, and no pairs within a group of copies are written out.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .banding import linked_labels, named_classes
 from .common import prepare, saved, slices
-from .components import components
 from .words import mix, ngrams, word_hashes
 
 SHINGLE = 5
@@ -171,20 +171,6 @@ def sketch(docs: DataFrame, k: int = BANDS * ROWS, n: int = SHINGLE) -> DataFram
     return numbered.mapInArrow(run, "row long, doc_id long, text_key long, k1 long, k2 long, signature binary, elements binary")
 
 
-def checked(pairs: DataFrame, sketches: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose exact similarity reaches ``least``. Both joins meet one row a text with
-    stored pairs, so Spark can split the pairs of a text that meets very many others."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            likes = np.array([similarity(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"))], dtype=float)
-            keep = pa.array(likes >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    one = sketches.select(F.col("row").alias("a"), F.col("elements").alias("x"))
-    two = sketches.select(F.col("row").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def _band_keys(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
     """(key, row) of every band of every signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,34 +185,6 @@ def _band_keys(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
     return sketches.select("row", "signature").mapInArrow(run, "key long, row long")
 
 
-def _cross_pairs(members: DataFrame, sketches: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures may belong to similar texts.
-
-    ``members``: (key, row, label, main, size); rows of the main component don't meet each other. A
-    bucket is dealt into blocks; each pair of blocks is a group of bounded size."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "row", "label", "main")
-    signed = grouped.join(sketches.select("row", "signature"), "row")
-
-    def run(t: pa.Table) -> pa.Table:
-        rows, labels = np.array(t["row"]), np.array(t["label"])
-        main, block = np.array(t["main"]), np.array(t["i"])
-        low, high = t["low"][0].as_py(), t["high"][0].as_py()
-        signed = np.frombuffer(b"".join(t["signature"].to_pylist()), "<u4").reshape(len(rows), k)
-        out: list[np.ndarray] = []
-        for i in np.flatnonzero(~main):
-            others = (labels != labels[i]) & ((block != block[i]) | (low == high)) & (main | (rows > rows[i]))
-            at = np.flatnonzero(others)
-            at = at[(signed[at] == signed[i]).sum(axis=1) >= (least - SLACK) * k]
-            out.append(np.stack([np.full(len(at), rows[i]), rows[at]]))
-        found = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(found.max(axis=0), pa.int64()), "b": pa.array(found.min(axis=0), pa.int64())})
-
-    return signed.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
-
-
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``row`` number, doc_id, text_key, label, class_id, class_size of every document (doc_id, text).
 
@@ -238,34 +196,17 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: in
     sketches = saved(sketch(docs, k), "sketches")
     alike = saved(sketches.groupBy("k1", "k2").agg(F.min("row").alias("first")), "equal-texts")
     members = saved(sketches.select("row", "doc_id", "text_key", "k1", "k2").join(alike, ["k1", "k2"]).select("row", "doc_id", "text_key", "first"), "members")
-    single = sketches.join(alike.select(F.col("first").alias("row")), "row", "left_semi").where("signature is not null")
-    single = saved(single.select("row", "signature", "elements"), "single-sketches")
-
-    keys = saved(_band_keys(single, bands, rows), "band-keys")
-    ends = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.max("row").alias("high")).where("size > 1")
-    ends = saved(ends, "band-ends")
-    buckets = saved(keys.join(ends, "key"), "buckets")
-    met = F.explode(F.array_distinct(F.array("low", "high"))).alias("other")
-    pairs = buckets.select("row", met).where("row <> other").select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b"))
-    pairs = saved(pairs.distinct(), "star-pairs")
-    links = saved(checked(pairs, single, least), "star-links")
-
-    # buckets of up to three texts have met in full; larger ones of several components meet now
-    labels = saved(components(links), "labels")
-    large = buckets.where("size > 3").select("key", "row", "size").join(labels, F.col("row") == F.col("node"), "left")
-    large = saved(large.select("key", "row", "size", F.coalesce("label", "row").alias("label")), "large-buckets")
-    shares = large.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.col("n")).alias("chief")).where("labels > 1")
-    mixed = saved(mixed, "mixed-buckets")
-    crossing = large.join(mixed, "key").select("key", "row", "label", "size", (F.col("label") == F.col("chief")).alias("main"))
-    crossed = saved(_cross_pairs(crossing, single, k, least).distinct().join(pairs, ["a", "b"], "left_anti"), "cross-pairs")
-    more = saved(checked(crossed, single, least), "cross-links")
-
-    labels = saved(components(links.unionByName(more)), "labels")
-    named = members.join(labels, F.col("first") == F.col("node"), "left").select("row", "doc_id", "text_key", F.coalesce("label", "first").alias("label"))
-    named = saved(named, "named")
-    classes = saved(named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    return named.join(classes, "label").select("row", "doc_id", "text_key", "label", "class_id", "class_size")
+    # one of equal texts goes on; of its sketch only the signature is moved
+    signed = sketches.where("signature is not null").select("row", "signature")
+    single = signed.join(alike.select(F.col("first").alias("row")), "row", "left_semi")
+    def agreement(signed: list[bytes], i: int, at: np.ndarray) -> np.ndarray:
+        own = np.frombuffer(signed[i], "<u4")
+        equal = (np.frombuffer(b"".join([signed[j] for j in at]), "<u4").reshape(-1, k) == own).sum(axis=1) / k
+        return equal - (least - SLACK)
+
+    kept = sketches.where("signature is not null").select("row", "signature", F.col("elements").alias("content"))
+    labels = linked_labels(_band_keys(single, bands, rows), kept, agreement, lambda x, y: similarity(x, y) >= least, BLOCK)
+    return named_classes(members, labels)
 
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
