@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, prepare, range_bounds, shuffle_partitions
+from .banding import linked_labels, named_classes
+from .common import bucket_of, prepare, range_bounds, saved, shuffle_partitions
 from .words import mix
 
 SLOTS = 256
@@ -31,6 +32,8 @@ CLASSES = 64  # the walk's bits are drawn for so many classes of characters
 PERIOD = 1 << 16  # and repeat after so many steps
 STRETCH = 1 << 16  # characters walked at a time
 SEED = 20240229
+LIKENESS = 0.6  # least likeness of a link; one walk puts texts at a tenth of edits about there
+BANDS, SAMPLED = 32, 5  # digits of a band are sampled from the fingerprint
 
 
 def _draw(n: int, salt: int) -> np.ndarray:
@@ -180,3 +183,49 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     spread = rows.select("doc_id", "text", F.explode(targets).alias("t")).select("t.to", "t.extra", "doc_id", "text")
     placed = spread.repartitionById(parts, F.col("to")).sortWithinPartitions("to", "extra", "doc_id", "text")
     return placed.select("doc_id", "extra", "text").mapInArrow(_edits, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _band_keys(prints: DataFrame, bands: int, sampled: int) -> DataFrame:
+    """(key, row): sampled digits of each band, at both scales; bands where the text has ended say nothing."""
+    slots = (_draw(bands * sampled, 3000) % np.uint64(SLOTS)).astype(int).reshape(bands, sampled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows = [], []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("fingerprint").to_pylist()):
+                scale = int(text[:2], 16)
+                for k in (0, 1):
+                    digits = np.frombuffer(text[2 + SLOTS * k :][:SLOTS].encode(), np.uint8)[slots]
+                    found = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(256) + np.uint64(scale + k)
+                    for i in range(sampled):
+                        found = mix(found * np.uint64(0x9E3779B97F4A7C15) + digits[:, i].astype(np.uint64))
+                    live = found[(digits != 48).any(axis=1)]
+                    keys.append(live)
+                    rows.append(np.full(len(live), row))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows), pa.int64())], names=["key", "row"])
+
+    return prints.select("row", "fingerprint").mapInArrow(run, "key long, row long")
+
+
+def edit_classes(docs: DataFrame, least: float = LIKENESS, bands: int = BANDS, sampled: int = SAMPLED) -> DataFrame:
+    """``row``, doc_id, label, class_id, class_size of every document (doc_id, text).
+
+    Texts whose fingerprints share the sampled digits of a band are verified on their whole
+    fingerprints; a likeness of at least ``least`` links them, and classes are the connected components.
+    Equal texts have equal fingerprints and are one class, null and empty ones too."""
+    prepare(docs.sparkSession)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("fingerprint"))
+    prints = saved(numbered, "fingerprints")
+    equal = saved(prints.groupBy("fingerprint").agg(F.min("row").alias("first")), "equal-fingerprints")
+    members = saved(prints.join(equal, "fingerprint").select("row", "doc_id", "first"), "members")
+    single = equal.select(F.col("first").alias("row"), "fingerprint")
+
+    def agreement(signed: list[bytes], i: int, at: np.ndarray) -> np.ndarray:
+        own = signed[i].decode()
+        return np.array([likeness(own, signed[j].decode()) for j in at]) - least
+
+    content = F.col("fingerprint").cast("binary")
+    kept = single.select("row", content.alias("signature"), content.alias("content"))
+    labels = linked_labels(_band_keys(single, bands, sampled), kept, agreement, lambda x, y: likeness(x.decode(), y.decode()) >= least)
+    return named_classes(members, labels)

@@ -11,7 +11,7 @@ import pytest
 from conftest import rows
 from runlens.llm import minhash
 from runlens.llm.components import components
-from runlens.llm.edit_fingerprints import code_points, edit_fingerprints, likeness, walker
+from runlens.llm.edit_fingerprints import code_points, edit_classes, edit_fingerprints, likeness, walker
 from runlens.llm.minhash import drop_near_duplicates, near_duplicate_classes, pack_elements, shingles, signatures, similarity, weighted
 from runlens.llm.words import ngrams, word_hashes
 
@@ -205,3 +205,22 @@ def changed(rng, t, changes):
     for _ in range(changes):
         chars[rng.randrange(len(chars))] = rng.choice(["", "x", "yz"])
     return "".join(chars)
+
+
+def test_edit_classes_equal_brute_force(spark, monkeypatch):
+    rng, w = random.Random(8), walker()
+    docs = []
+    for _ in range(10):
+        base = text(rng, rng.randint(80, 200))
+        docs += [base, base, changed(rng, base, 2), changed(rng, base, 5), changed(rng, base, 400)]
+    docs += [None, "", "a", "a b"]
+    prints = [w.fingerprint([(c, w.walk(c, 0))]) for c in (code_points(t or "") for t in docs)]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if likeness(prints[i], prints[j]) >= 0.6:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = edit_classes(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(docs)], SCHEMA))
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(label))
+    assert edit_classes(spark.createDataFrame([], SCHEMA)).count() == 0
