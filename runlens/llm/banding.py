@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, trim, trimmed
 from .components import components
 
 BLOCK = 1000  # members of a bucket that are compared with another block at a time
@@ -36,7 +36,7 @@ def checked(pairs: DataFrame, kept: DataFrame, alike: Alike) -> DataFrame:
 
     one = kept.select(F.col("row").alias("a"), F.col("content").alias("x"))
     two = kept.select(F.col("row").alias("b"), F.col("content").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _cross_links(members: DataFrame, kept: DataFrame, agreement: Agreement, alike: Alike, block_size: int) -> DataFrame:
@@ -65,6 +65,7 @@ def _cross_links(members: DataFrame, kept: DataFrame, agreement: Agreement, alik
                 if labels[j] not in linked and alike(contents[i], contents[j]):
                     linked.add(labels[j])
                     out.append((max(rows[i], rows[j]), min(rows[i], rows[j])))
+        trim()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return signed.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")

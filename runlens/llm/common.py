@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from runlens.session import work_dir
 
 ROOT = str(Path(__file__).resolve().parents[2])
-BATCH_BYTES = 16 << 20  # bound of one Arrow batch, whatever the number of rows
+BATCH_BYTES = 4 << 20  # bound of one Arrow batch, whatever the number of rows
 
 
 def prepare(spark: SparkSession) -> None:
@@ -78,7 +80,26 @@ def bucket_of(col: str, bounds: list[int]) -> Column:
     return bucket(F.coalesce(F.col(col).cast("long"), F.lit(-(2**63))))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give freed memory back to the system: workers live on after a task, and several share a machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, with a ``trim`` now and then and at the end of the task."""
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, out in enumerate(run(batches)):
+            yield out
+            if i % 8 == 7:
+                trim()
+        trim()
+
+    return wrapped
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most about ``limit`` bytes of a binary or text column each; a longer
     single value has a slice of its own."""
     sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype="int64")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .banding import linked_labels, named_classes
-from .common import bucket_of, prepare, range_bounds, saved, shuffle_partitions
+from .common import bucket_of, prepare, range_bounds, saved, shuffle_partitions, trimmed
 from .words import mix
 
 SLOTS = 256
@@ -182,7 +182,7 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
         targets = F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("extra")))
     spread = rows.select("doc_id", "text", F.explode(targets).alias("t")).select("t.to", "t.extra", "doc_id", "text")
     placed = spread.repartitionById(parts, F.col("to")).sortWithinPartitions("to", "extra", "doc_id", "text")
-    return placed.select("doc_id", "extra", "text").mapInArrow(_edits, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return placed.select("doc_id", "extra", "text").mapInArrow(trimmed(_edits), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _band_keys(prints: DataFrame, bands: int, sampled: int) -> DataFrame:

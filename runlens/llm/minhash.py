@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .banding import linked_labels, named_classes
-from .common import prepare, saved, slices
+from .common import prepare, saved, slices, trimmed
 from .words import mix, ngrams, word_hashes
 
 SHINGLE = 5
@@ -155,7 +155,7 @@ def sketch(docs: DataFrame, k: int = BANDS * ROWS, n: int = SHINGLE) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text", 1 << 19):
                 grams, offsets, digests = shingles(part.column("text"), n)
                 rows, elements, weights = weighted(grams, offsets)
                 signed = signatures(rows, elements, weights, part.num_rows, k)
@@ -168,7 +168,7 @@ def sketch(docs: DataFrame, k: int = BANDS * ROWS, n: int = SHINGLE) -> DataFram
 
     key = F.xxhash64("text").alias("text_key")
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), key, "text")
-    return numbered.mapInArrow(run, "row long, doc_id long, text_key long, k1 long, k2 long, signature binary, elements binary")
+    return numbered.mapInArrow(trimmed(run), "row long, doc_id long, text_key long, k1 long, k2 long, signature binary, elements binary")
 
 
 def _band_keys(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -182,7 +182,7 @@ def _band_keys(sketches: DataFrame, bands: int, rows: int) -> DataFrame:
             cols = [pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(np.array(batch.column("row"), dtype=np.int64), bands))]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "row"])
 
-    return sketches.select("row", "signature").mapInArrow(run, "key long, row long")
+    return sketches.select("row", "signature").mapInArrow(trimmed(run), "key long, row long")
 
 
 def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, shuffle_partitions
+from .common import saved, shuffle_partitions, trimmed
 
 ROWS_PER_SLICE = 20_000  # pieces of one length that a task ranks together, on average
 
@@ -232,7 +232,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int =
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     spec = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, spec)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), spec)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, slices
+from .common import prepare, slices, trim, trimmed
 from .words import ngrams, word_hashes
 
 BITS = 18
@@ -94,7 +94,7 @@ def train(labelled: DataFrame, bits: int = BITS, epochs: int = EPOCHS) -> Model:
         model = ftrl([(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["x"], "<f4").astype(float), r["label"]) for r in rows], bits, epochs)
         return pa.table({"bias": [model.bias], "weights": pa.array([model.weights.tobytes()], pa.binary())})
 
-    spread = keyed.mapInArrow(extract, "label int, h long, at binary, x binary")
+    spread = keyed.mapInArrow(trimmed(extract), "label int, h long, at binary, x binary")
     found = spread.groupBy(F.lit(0).alias("all")).applyInArrow(fit, "bias double, weights binary").collect()
     if not found:
         return Model(np.zeros(1 << bits, np.float32), 0.0, bits)
@@ -113,6 +113,7 @@ def probability(text: Column, model: Model) -> Column:
             at, x, offsets = features(part.column("text"), shared.bits)
             sums = np.append(0.0, np.cumsum(shared.weights[at] * x))
             out.append(1 / (1 + np.exp(-np.clip(sums[offsets[1:]] - sums[offsets[:-1]] + shared.bias, -35, 35))))
+        trim()
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return score(text)
