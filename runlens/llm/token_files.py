@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 
 from runlens.session import work_dir
 
-from .common import bucket_of, range_bounds, saved, shuffle_partitions, slices
+from .common import bucket_of, range_bounds, saved, shuffle_partitions, slices, trimmed
 from .tokens import encoder
 
 MAGIC = b"RLTK"
 HEAD = struct.Struct("<4sI7Q")
 CHUNK_IDS = 2_000_000  # a chunk ends at the first document end beyond so many ids
+STRETCH = 1 << 14  # ids coded at a time, a multiple of four
 NULL_ID = -(2**63)
 
 #: Lengths of the four ids that a control byte describes.
@@ -40,28 +41,44 @@ LENGTHS = np.array([[(b >> s & 3) + 1 for s in (0, 2, 4, 6)] for b in range(256)
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of ranks."""
-    ranks = ranks.astype("<u4")
-    sizes = 1 + (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
+    """(control, data) of ranks, made stretch by stretch so that arrays stay in the cache."""
+    parts = [_encode_stretch(ranks[i : i + STRETCH]) for i in range(0, len(ranks), STRETCH)]
+    return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+
+
+def _encode_stretch(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    most = int(ranks.max())
+    width = 2 if most < 1 << 16 else 4
+    raw = ranks.astype(f"<u{width}", copy=False)
+    extra = (raw >= 1 << 8).view(np.uint8)
+    for bits in (16, 24):
+        if most >= 1 << bits:
+            extra = extra + (raw >= 1 << bits)
     codes = np.zeros(-(-len(ranks) // 4) * 4, dtype=np.uint8)
-    codes[: len(ranks)] = sizes - 1
-    codes = codes.reshape(-1, 4)
-    control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8) < sizes[:, None]
-    return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    codes[: len(ranks)] = extra
+    control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
+    used = np.ones((len(ranks), width), bool)
+    for k in range(1, width):
+        used[:, k] = extra >= k
+    return control.tobytes(), raw.view(np.uint8)[used.reshape(-1)].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """Ranks, by one table look-up for each control byte."""
-    sizes = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    ends = np.cumsum(sizes, dtype=np.int64)
-    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
-    at = ends - sizes
-    ranks = padded[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        more = np.flatnonzero(sizes > k)
-        ranks[more] |= padded[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return ranks
+    codes, padded = np.frombuffer(control, np.uint8), np.frombuffer(data + b"\0\0\0", np.uint8)
+    out, begin = np.empty(n, np.uint32), 0
+    for i in range(0, n, STRETCH):
+        count = min(STRETCH, n - i)
+        sizes = LENGTHS[codes[i // 4 : (i + count + 3) // 4]].reshape(-1)[:count]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        own = padded[begin : begin + int(ends[-1]) + 3]
+        at = ends - sizes
+        ranks = own[at].astype(np.uint32)
+        for k in range(1, int(sizes.max())):
+            ranks |= np.where(sizes > k, own[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+        out[i : i + count] = ranks
+        begin += int(ends[-1])
+    return out
 
 
 def encode_chunk(doc_ids: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, start: int) -> bytes:
@@ -99,25 +116,26 @@ def _packed(vocabulary: str, end_id: int):
                 rows = []
                 for bucket in np.unique(buckets):
                     own = np.flatnonzero(buckets == bucket)
-                    rows.append((int(bucket), int(docs[own].min()), pack(docs[own], [ids[i] for i in own])))
+                    sizes = np.array([len(ids[i]) // 4 for i in own])
+                    flat = np.frombuffer(b"".join([ids[i] for i in own]), "<u4")
+                    rows.append((int(bucket), int(docs[own].min()), pack(docs[own], sizes, flat)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
 
-def pack(docs: np.ndarray, ids: list[bytes]) -> bytes:
-    """Documents with their ids (32-bit bytes) as one compressed block; ids below 65,536 take two bytes."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
-    narrow = not len(flat) or int(flat.max()) < 1 << 16
-    body = (flat.astype("<u2") if narrow else flat).tobytes()
-    sizes = np.array([len(b) // 4 for b in ids], "<i8")
-    return struct.pack("<?Q", narrow, len(docs)) + zlib.compress(docs.astype("<i8").tobytes() + sizes.tobytes() + body, 1)
+def pack(docs: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> bytes:
+    """Documents with their ids as one compressed block; ids below 65,536 take two bytes."""
+    narrow = flat.dtype.itemsize == 2 or not len(flat) or int(flat.max()) < 1 << 16
+    body = flat.astype("<u2" if narrow else "<u4", copy=False).tobytes()
+    whole = docs.astype("<i8").tobytes() + sizes.astype("<i8").tobytes() + body
+    return struct.pack("<?2Q", narrow, len(docs), len(whole)) + pa.compress(whole, "zstd", asbytes=True)
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids)"""
-    narrow, n = struct.unpack_from("<?Q", packed)
-    body = zlib.decompress(memoryview(packed)[9:])
+    narrow, n, size = struct.unpack_from("<?2Q", packed)
+    body = pa.decompress(memoryview(packed)[17:], size, "zstd", asbytes=True)
     docs, sizes = np.frombuffer(body, "<i8", n), np.frombuffer(body, "<i8", n, 8 * n)
     return docs, sizes, np.frombuffer(body, "<u2" if narrow else "<u4", -1, 16 * n)
 
@@ -150,8 +168,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield chunk(bucket, start, own, docs, sizes, flats, block, begins)
 
     def chunk(bucket, start, own, docs, sizes, flats, block, begins) -> pa.RecordBatch:
-        ids = [flats[block[i]][begins[i] : begins[i] + sizes[i]].astype("<u4").tobytes() for i in own]
-        row = [[bucket], [start], [int(sizes[own].sum())], [pack(docs[own], ids)]]
+        flat = np.concatenate([flats[block[i]][begins[i] : begins[i] + sizes[i]] for i in own])
+        row = [[bucket], [start], [len(flat)], [pack(docs[own], sizes[own], flat)]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, schema.types)], schema=schema)
 
     now, rows = None, []
@@ -191,9 +209,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0) -> tuple[str
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = shuffle_partitions(spark)
     bounds = range_bounds(docs, "doc_id", parts)
-    rows = docs.withColumn("bucket", bucket_of("doc_id", bounds)).mapInArrow(_packed(vocabulary, end_id), "bucket int, first long, packed binary")
+    rows = docs.withColumn("bucket", bucket_of("doc_id", bounds)).mapInArrow(trimmed(_packed(vocabulary, end_id)), "bucket int, first long, packed binary")
     rows = rows.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "first")
-    chunks = saved(rows.mapInArrow(_chunks, "bucket int, start long, n_ids long, packed binary"), "token-chunks")
+    chunks = saved(rows.mapInArrow(trimmed(_chunks), "bucket int, start long, n_ids long, packed binary"), "token-chunks")
 
     counts = chunks.mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # as many rows as the vocabulary at most
@@ -217,7 +235,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0) -> tuple[str
 
     folder, ranks = work_dir(spark, "token-files"), work_dir(spark, "token-ranks")
     # the text writer puts out the bytes as they are; one chunk a file
-    files_out = chunks.mapInArrow(files, "content binary").select(F.col("content").cast("string").alias("value"))
+    files_out = chunks.mapInArrow(trimmed(files), "content binary").select(F.col("content").cast("string").alias("value"))
     files_out.write.option("maxRecordsPerFile", 1).text(folder)
     table = pa.table({"rank": np.arange(len(ranked), dtype=np.int64), "id": ranked})
     spark.createDataFrame(table).coalesce(1).write.parquet(ranks)
@@ -249,4 +267,4 @@ def read_tokens(spark, folder: str, ranks: str, digest: bool = False) -> DataFra
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("content")
     last = "ids_crc32 long" if digest else "ids array<int>"
     name = last.split()[0]
-    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, last {last.split()[1]}").withColumnRenamed("last", name)
+    return files.mapInArrow(trimmed(run), f"doc_id long, start long, n_tokens long, last {last.split()[1]}").withColumnRenamed("last", name)

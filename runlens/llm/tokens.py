@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import regex
 
-CACHE_ENTRIES = 800_000  # words kept by a worker; beyond, the cache starts anew
+CACHE_ENTRIES = 400_000  # words in a generation of a worker's cache; the current and the last one are kept
 SLICE_CHARS = 1 << 20  # longer texts are split slice by slice
 
 #: Only words of these characters are split further by the pattern; their classes are the same in every engine.
@@ -28,6 +28,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Words(dict):
+    """Ids of a blank and a word; a word that is asked for the first time is encoded."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.encoder._learn(word)
+        return ids
+
+
 class Encoder:
     """``batch(texts)``: ids as little-endian unsigned 32-bit bytes, equal to encoding each whole text.
 
@@ -44,7 +55,9 @@ class Encoder:
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}  # ids of " " + word
+        self.tokenize, self.blank = self.model.tokenize, self.letters[32]
+        self.words = Words(self)
+        self.old: dict[str, bytes] = {}  # the generation before
         self.chunks: dict[str, bytes] = {}  # ids of any other chunk
 
     def _piece(self, piece: str) -> bytes:
@@ -53,8 +66,8 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of a chunk that isn't a known word."""
-        known = self.chunks.get(chunk)
+        """Ids of any chunk."""
+        known = self.words.get(chunk[1:]) if chunk[0] == " " else self.chunks.get(chunk)
         if known is not None:
             return known
         if PLAIN.fullmatch(chunk) and not any(s in chunk for s in self.specials):
@@ -62,8 +75,6 @@ class Encoder:
             for piece in self.pattern.findall(chunk):
                 word = piece[1:]
                 if piece[0] == " " and word.isalpha():
-                    if word not in self.words:
-                        self.words[word] = self._piece(piece)
                     out.append(self.words[word])
                 else:
                     if piece not in self.chunks:
@@ -72,14 +83,27 @@ class Encoder:
             return b"".join(out)
         return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        """Ids of words that are whole chunks: no white space at either end."""
-        for word in new:
-            if word and not word[0].isspace() and not word[-1].isspace():
-                if word.isalpha() and PLAIN.fullmatch(word):
-                    self.words[word] = self._piece(" " + word)
-                else:
-                    self.words[word] = self._chunk(" " + word)
+    def _word(self, word: str) -> bytes:
+        """Ids of a blank and letters, one piece."""
+        if not word.isascii():
+            return self._piece(" " + word)
+        return array("I", [t.id for t in self.tokenize(self.blank + word)]).tobytes()  # ASCII letters stand for themselves
+
+    def _learn(self, word: str) -> bytes:
+        """Ids of a blank and a word that isn't in this generation of the cache.
+
+        An empty word, or one with white space at an end, is no chunk of its own: KeyError."""
+        known = self.old.get(word)
+        if known is not None:
+            return known
+        if word.isalpha():
+            return self._word(word) if word.isascii() or PLAIN.fullmatch(word) else self._chunk(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise KeyError(word)
+        letters = word[:-1]
+        if word[-1] in ",.;:!?" and letters.isalpha() and (word.isascii() or PLAIN.fullmatch(word)):
+            return self.words[letters] + self._chunk(word[-1])  # letters and one sign are two pieces
+        return self._chunk(" " + word)
 
     def _by_chunk(self, text: str) -> bytes:
         """A text in which a space stands beside other white space or at an end."""
@@ -91,7 +115,7 @@ class Encoder:
                 out[-1] += " " + part
             else:
                 out.append(part)
-        return b"".join([self.words[c[1:]] if c[1:] in self.words and c[0] == " " else self._chunk(c) for c in out if c])
+        return b"".join([self._chunk(c) for c in out if c])
 
     def _slices(self, text: str) -> Iterator[str]:
         start = 0
@@ -108,27 +132,23 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null is empty."""
         if len(self.words) > CACHE_ENTRIES:
-            self.words = {}
+            self.old, self.words = dict(self.words), Words(self)
         if len(self.chunks) > CACHE_ENTRIES:
             self.chunks = {}
-        split = [t.split(" ") if t and len(t) <= SLICE_CHARS else None for t in texts]
-        new: set[str] = set()
-        for parts in split:
-            if parts:
-                new.update(parts[1:])
-        new.difference_update(self.words)
-        self._learn(new)
         get, out = self.words.__getitem__, []
-        for text, parts in zip(texts, split, strict=True):
+        for text in texts:
             if not text:
                 out.append(b"")
-            elif parts is None:
+            elif len(text) > SLICE_CHARS:
                 out.append(b"".join([self._by_chunk(s) for s in self._slices(text)]))
-            elif not parts[0] or parts[0][-1].isspace():
-                out.append(self._by_chunk(text))
             else:
+                parts = text.split(" ")
+                first = parts.pop(0)
+                if not first or first[-1].isspace():
+                    out.append(self._by_chunk(text))
+                    continue
                 try:
-                    out.append(self._chunk(parts[0]) + b"".join(map(get, parts[1:])))
+                    out.append(self._chunk(first) + b"".join(map(get, parts)))
                 except KeyError:  # a space beside other white space
                     out.append(self._by_chunk(text))
         return out
