@@ -1,16 +1,18 @@
 """Fingerprints of whole texts by randomised edit embedding.
 
-All texts share one random walk: at step ``j`` a character either stays or gives way to the next one,
-as a random bit of (j, character) says. The text as the walk sees it, step by step, is its embedding:
-texts a small edit distance apart differ in few steps, because their walks fall into step again after
-an edit. A fingerprint samples steps of the embedding, so edit distance becomes the Hamming distance
-of short strings.
+All texts share a few independent random walks: at step ``j`` of a walk a character either stays or gives
+way to the next one, as a random bit of (walk, j, character) says. The text as a walk sees it, step by
+step, is its embedding: texts a small edit distance apart differ in few steps, because their walks fall
+into step again after an edit. How soon is a matter of luck, so each walk is judged on its own and the one
+that agrees best counts. A fingerprint samples steps of the embeddings, so edit distance becomes the
+Hamming distance of short strings.
 
 Steps are sampled for two scales of length, the power of two at or above the text's own length and the
 next one, so that texts up to about twice as long share a scale. A sample is one hexadecimal digit: 0
 where the text has ended, else 1 to 15, a hash of the slot and the character.
 
-    fingerprint = scale (2 hexadecimal digits), SLOTS digits of that scale, SLOTS digits of the next
+    fingerprint = scale (2 hexadecimal digits), SLOTS digits of that scale, SLOTS digits of the next;
+    walk w has the w-th SLOTS / WALKS digits of each scale
 """
 
 from __future__ import annotations
@@ -24,15 +26,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .banding import linked_labels, named_classes
-from .common import bucket_of, prepare, range_bounds, saved, shuffle_partitions, trimmed
+from .common import bucket_of, prepare, range_bounds, saved, shuffle_partitions, slices, trimmed
 from .words import mix
 
 SLOTS = 256
-CLASSES = 64  # the walk's bits are drawn for so many classes of characters
+WALKS = 4  # independent walks, each with an equal share of the slots
+CLASSES = 64  # the walks' bits are drawn for so many classes of characters
 PERIOD = 1 << 16  # and repeat after so many steps
-STRETCH = 1 << 16  # characters walked at a time
+STRETCH = 256  # characters of every text walked at a time
+SIDE_BY_SIDE = 2 << 20  # about so many bytes of text at most
+FEW = 4  # fewer texts are walked one by one
+APART = 1 << 40  # more than the steps of any text
 SEED = 20240229
-LIKENESS = 0.6  # least likeness of a link; one walk puts texts at a tenth of edits about there
+LIKENESS = 0.6  # least likeness of a link, by the walk that agrees best
 BANDS, SAMPLED = 32, 5  # digits of a band are sampled from the fingerprint
 
 
@@ -40,61 +46,125 @@ def _draw(n: int, salt: int) -> np.ndarray:
     return mix(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(SEED + salt))
 
 
-def _stays() -> list[bytes]:
-    """For each class and step: the number of steps until the character gives way."""
-    out = []
+def _stays(walks: int) -> np.ndarray:
+    """For each class, walk and step: the number of steps until the character gives way. The first steps
+    follow the last ones once more, as far as a stretch can reach."""
+    out = np.empty((CLASSES, walks, PERIOD), np.uint8)
+    at = np.arange(2 * PERIOD)
     for c in range(CLASSES):
-        gives = np.flatnonzero(_draw(PERIOD, c + 1) & np.uint64(1))
-        gives = np.append(gives, gives[0] + PERIOD)
-        steps = np.arange(PERIOD)
-        out.append((gives[np.searchsorted(gives, steps)] - steps + 1).astype(np.uint8).tobytes())
-    return out
+        drawn = _draw(PERIOD, c + 1)
+        for k in range(walks):
+            gives = np.tile((drawn >> np.uint64(k)) & np.uint64(1), 2).astype(bool)
+            nearest = np.minimum.accumulate(np.where(gives, at, 2 * PERIOD)[::-1])[::-1]
+            out[c, k] = (nearest - at + 1)[:PERIOD]
+    return np.concatenate([out, out[:, :, : STRETCH * int(out.max())]], axis=2)
 
 
 class Walker:
-    """The shared walk, its samples and their digits."""
-
-    def __init__(self) -> None:
-        self.stays = _stays()
+    """The shared walks, their samples and the samples' digits."""
+
+    def __init__(self, walks: int = WALKS) -> None:
+        self.walks, self.share = walks, SLOTS // walks
+        stays = _stays(walks)
+        self.width = stays.shape[2]
+        self.stays = stays.ravel()
+        self.rows = [[stays[c, k].tobytes() for c in range(CLASSES)] for k in range(walks)]
         self.class_of = (mix(np.arange(0x110000, dtype=np.uint64)) >> np.uint64(58)).astype(np.uint8)
-        self.places = (_draw(SLOTS, 1000) >> np.uint64(11)).astype(np.float64) / 2.0**53
-        self.salts = _draw(SLOTS, 2000)
-
-    def walk(self, codes: np.ndarray, step: int) -> np.ndarray:
-        """Steps at which the walk reaches each character, and the step after the last one."""
-        out, stays, mask = [], self.stays, PERIOD - 1
-        for at in range(0, len(codes), STRETCH):
-            reached = []
-            add = reached.append
-            for stay in map(stays.__getitem__, self.class_of[codes[at : at + STRETCH]].tobytes()):
-                add(step)
-                step += stay[step & mask]
-            out.append(np.array(reached, dtype=np.int64))
-        return np.append(np.concatenate(out), step) if out else np.array([step], dtype=np.int64)
-
-    def digits(self, scale: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> str:
-        """Samples of a scale from consecutive stretches (codes, steps) of one walk."""
-        steps = (self.places * (2 << scale)).astype(np.int64)
-        found = np.zeros(SLOTS, np.uint8)
-        for codes, reached in parts:
-            if len(codes):
-                inside = np.flatnonzero((steps >= reached[0]) & (steps < reached[-1]))
-                at = np.searchsorted(reached, steps[inside], side="right") - 1
-                found[inside] = 1 + (mix(codes[at].astype(np.uint64) ^ self.salts[inside]) % np.uint64(15)).astype(np.uint8)
-        return (found + np.where(found < 10, 48, 87).astype(np.uint8)).tobytes().decode()
+        drawn = (_draw(SLOTS, 1000) >> np.uint64(11)).astype(np.float64) / 2.0**53
+        self.places = (np.arange(SLOTS) % self.share + drawn) / self.share  # one in each part of the walk
+        self.salts = np.tile(_draw(SLOTS, 2000), 2)
+        self.sampled: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def moves(self, texts: list[np.ndarray], starts: np.ndarray) -> list[np.ndarray]:
+        """(walk, character) for each text: the steps a walk spends on a character, from its start on.
+        The texts go side by side, a character of each at a time."""
+        lengths = np.array([len(t) for t in texts])
+        order = np.argsort(-lengths, kind="stable")
+        out = [np.empty((self.walks, n), np.uint8) for n in lengths]
+        classes = self.class_of[np.concatenate([*texts, np.zeros(STRETCH, np.uint32)])]
+        first = (np.cumsum(lengths) - lengths)[order]
+        steps = np.array(starts, dtype=np.int64).reshape(len(texts), self.walks)[order]
+        sorted_lengths = lengths[order]
+        own = np.arange(self.walks) * self.width
+        done, longest = 0, int(lengths.max(initial=0))
+        while done < longest:
+            m = int((sorted_lengths > done).sum())
+            if m < FEW:
+                break
+            width = min(STRETCH, int(sorted_lengths[0]) - done)
+            near = first[:m, None] + done + np.arange(width)
+            offset = (classes[np.minimum(near, len(classes) - 1)].T.astype(np.int64) * (self.walks * self.width))[:, :, None]
+            at = (steps[:m] & (PERIOD - 1)) + own
+            before = at.copy()
+            spent = np.empty((width, m, self.walks), np.uint8)
+            for j in range(width):
+                np.take(self.stays, at + offset[j], out=spent[j], mode="clip")
+                at += spent[j]
+            steps[:m] += at - before
+            for r in range(m):
+                out[order[r]][:, done : done + width] = spent[: sorted_lengths[r] - done, r].T
+            done += width
+        for r in range(int((sorted_lengths > done).sum())):
+            seen, kept = classes[first[r] + done : first[r] + sorted_lengths[r]].tobytes(), out[order[r]][:, done:]
+            for k, rows in enumerate(self.rows):
+                step, spent = int(steps[r, k]), bytearray()
+                add = spent.append
+                for stay in map(rows.__getitem__, seen):
+                    here = stay[step & (PERIOD - 1)]
+                    add(here)
+                    step += here
+                kept[k] = np.frombuffer(spent, np.uint8)
+        return out
+
+    def reached(self, moves: np.ndarray, start: np.ndarray | int = 0) -> np.ndarray:
+        """(walk, character): steps at which a walk reaches each character, and the step after the last one."""
+        out = np.zeros((self.walks, moves.shape[1] + 1), np.int64)
+        np.cumsum(moves, axis=1, out=out[:, 1:])
+        return out + np.asarray(start, dtype=np.int64).reshape(-1, 1)
+
+    def walk(self, codes: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+        """``reached`` of one text."""
+        starts = np.broadcast_to(np.asarray(start), (1, self.walks))
+        return self.reached(self.moves([codes], starts)[0], starts[0])
+
+    def samples(self, scale: int) -> tuple[np.ndarray, np.ndarray]:
+        """The walks of a scale's and the next one's samples, and their steps with the walks one after another."""
+        if scale not in self.sampled:
+            steps = np.concatenate([(self.places * (2 << (scale + k))).astype(np.int64) for k in (0, 1)])
+            walk_of = np.tile(np.arange(SLOTS) // self.share, 2)
+            self.sampled[scale] = walk_of, steps + walk_of * APART
+        return self.sampled[scale]
 
     def fingerprint(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> str:
-        scale = max(sum(len(c) for c, _ in parts) - 1, 0).bit_length()
-        return f"{scale:02x}" + self.digits(scale, parts) + self.digits(scale + 1, parts)
+        """Of consecutive stretches (codes, reached) of one text, walked from step 0 on."""
+        codes, reached = parts[0]
+        if len(parts) > 1:
+            codes = np.concatenate([c for c, _ in parts])
+            reached = np.concatenate([*(r[:, :-1] for _, r in parts), parts[-1][1][:, -1:]], axis=1)
+        scale = max(len(codes) - 1, 0).bit_length()
+        walk_of, steps = self.samples(scale)
+        apart = (reached + np.arange(self.walks)[:, None] * APART).ravel()
+        at = np.searchsorted(apart, steps, side="right") - 1 - walk_of * (len(codes) + 1)
+        inside = np.flatnonzero(at < len(codes))
+        found = np.zeros(2 * SLOTS, np.uint8)
+        found[inside] = 1 + (mix(codes[at[inside]].astype(np.uint64) ^ self.salts[inside]) % np.uint64(15)).astype(np.uint8)
+        return f"{scale:02x}" + (found + np.where(found < 10, 48, 87).astype(np.uint8)).tobytes().decode()
+
+    def fingerprints(self, texts: list[np.ndarray]) -> list[str]:
+        moves = self.moves(texts, np.zeros((len(texts), self.walks)))
+        return [self.fingerprint([(c, self.reached(m))]) for c, m in zip(texts, moves)]
 
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def likeness(a: str, b: str) -> float:
-    """Share of equal samples among those where either text goes on, less what chance gives; 0 where
-    one text is less than about half as long as the other, 1 for two empty texts."""
+def likeness(a: str, b: str, walks: int = WALKS) -> float:
+    """Share of equal samples among those where either text goes on, less what chance gives, in the walk
+    that agrees best; 0 where one text is less than about half as long as the other, 1 for two empty texts.
+
+    Every second sample chooses the walk and the others judge it, and the other way round: the best of
+    several counts on the same samples would be too high."""
     scales = int(a[:2], 16), int(b[:2], 16)
     scale = max(scales)
     if scale - min(scales) > 1:
@@ -103,7 +173,9 @@ def likeness(a: str, b: str) -> float:
     live = (x != 48) | (y != 48)
     if not live.any():
         return 1.0
-    share = float(((x == y) & live).sum() / live.sum())
+    same, live = (np.reshape(v, (walks, -1, 2)).sum(axis=1) for v in ((x == y) & live, live))  # (walk, half)
+    best = (same / np.maximum(live, 1)).argmax(axis=0)[::-1]
+    share = float(same[best, (0, 1)].sum() / max(live[best, (0, 1)].sum(), 1))
     return max(0.0, (share - 1 / 15) / (1 - 1 / 15))
 
 
@@ -121,8 +193,7 @@ def fingerprint(text: Column) -> Column:
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        w = walker()
-        return pa.array([w.fingerprint([(c, w.walk(c, 0))]) for c in (code_points(t or "") for t in texts.to_pylist())], pa.string())
+        return pa.array(walker().fingerprints([code_points(t or "") for t in texts.to_pylist()]), pa.string())
 
     return run(text)
 
@@ -131,25 +202,31 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order, each bucket closed by a copy of the document after it."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     w, waiting = walker(), None
-    for batch in batches:
-        out: list[tuple] = []
-        for doc_id, extra, text in zip(batch.column("doc_id").to_pylist(), batch.column("extra").to_pylist(), batch.column("text")):
-            text = text.as_py() or ""
-            codes = code_points(text)
-            if extra and waiting is None:
-                continue  # another row with the doc_id of the document after the bucket
-            steps = w.walk(codes, 0)
-            own = w.fingerprint([(codes, steps)])
-            if waiting is not None:
-                before_id, before_text, before, reached, before_print = waiting
-                n = len(before)
-                keep, taken = n - n // 2, codes[: n // 2]
-                tail = w.walk(taken, int(reached[keep]))
-                edited = w.fingerprint([(before[:keep], reached[: keep + 1]), (taken, tail)])
-                digest = hashlib.sha256((before_text[:keep] + text[: n // 2]).encode()).hexdigest()
-                out.append((before_id, n, digest, before_print, edited, likeness(before_print, edited), likeness(before_print, own)))
-            waiting = None if extra else (doc_id, text, codes, steps, own)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, schema.types)], schema=schema)
+    for whole in batches:
+        for batch in slices(whole, "text", SIDE_BY_SIDE):
+            out: list[tuple] = []
+            pairs: list[tuple] = []
+            ids, extras = batch.column("doc_id").to_pylist(), batch.column("extra").to_pylist()
+            texts = [t.as_py() or "" for t in batch.column("text")]
+            codes = [code_points(t) for t in texts]
+            moves = w.moves(codes, np.zeros((len(codes), w.walks)))
+            for row in zip(ids, extras, texts, codes, moves):
+                if row[1] and waiting is None:
+                    continue  # another row with the doc_id of the document after the bucket
+                row = (*row, w.fingerprint([(row[3], w.reached(row[4]))]))
+                if waiting is not None:
+                    pairs.append((waiting, row))
+                waiting = None if row[1] else row
+            if pairs:
+                kept = [b[4][:, : len(b[3]) - len(b[3]) // 2] for b, _ in pairs]
+                taken = [a[3][: len(b[3]) // 2] for b, a in pairs]
+                tails = w.moves(taken, np.array([k.sum(axis=1, dtype=np.int64) for k in kept]))
+                for (b, a), head, tail, after in zip(pairs, kept, tails, taken):
+                    before = b[3][: head.shape[1]]
+                    edited = w.fingerprint([(np.concatenate([before, after]), w.reached(np.concatenate([head, tail], axis=1)))])
+                    digest = hashlib.sha256((b[2][: len(before)] + a[2][: len(after)]).encode()).hexdigest()
+                    out.append((b[0], len(b[3]), digest, b[5], edited, likeness(b[5], edited), likeness(b[5], a[5])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, schema.types)], schema=schema)
 
 
 def edit_fingerprints(docs: DataFrame) -> DataFrame:

@@ -224,3 +224,25 @@ def test_edit_classes_equal_brute_force(spark, monkeypatch):
     got = edit_classes(spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(docs)], SCHEMA))
     assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(label))
     assert edit_classes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_late_walk_does_not_hide_a_copy():
+    rng, w = random.Random(9), walker()
+    likes = {}
+    for size, shift in ((2000, 20), (500, 5)):
+        bases = [text(rng, size // 3)[:size] for _ in range(40)]
+        prints = w.fingerprints([code_points(t) for t in bases])
+        shifted = w.fingerprints([code_points(text(rng, shift)[:shift] + t) for t in bases])
+        likes[size] = [likeness(a, b) for a, b in zip(prints, shifted)]
+        unrelated = [likeness(a, b) for a, b in zip(prints, shifted[1:])]
+        assert np.mean(unrelated) < 0.3 and max(unrelated) < 0.6
+    misses = [np.mean(np.array(v) < 0.6) for v in likes.values()]
+    assert max(misses) <= 0.2  # a single walk misses 0.3 to 0.5 of both
+
+
+def test_walks_side_by_side_equal_single_ones():
+    rng, w = random.Random(10), walker()
+    texts = [code_points(t) for t in (text(rng, 700), "", "a", text(rng, 90), "\U0001f600" * 300, text(rng, 40), text(rng, 2000))]
+    starts = np.arange(len(texts))[:, None] * 70_001 + np.arange(w.walks)
+    for codes, start, moves in zip(texts, starts, w.moves(texts, starts)):
+        assert (w.reached(moves, start) == w.walk(codes, start)).all()
