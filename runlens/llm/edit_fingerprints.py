@@ -39,7 +39,7 @@ FEW = 4  # fewer texts are walked one by one
 APART = 1 << 40  # more than the steps of any text
 SEED = 20240229
 LIKENESS = 0.6  # least likeness of a link, by the walk that agrees best
-BANDS, SAMPLED = 32, 5  # digits of a band are sampled from the fingerprint
+SAMPLED, BAND_STEP = 8, 4  # samples of a band, and how many further on the next band of the walk begins
 
 
 def _draw(n: int, salt: int) -> np.ndarray:
@@ -262,47 +262,100 @@ def edit_fingerprints(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "extra", "text").mapInArrow(trimmed(_edits), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def _band_keys(prints: DataFrame, bands: int, sampled: int) -> DataFrame:
-    """(key, row): sampled digits of each band, at both scales; bands where the text has ended say nothing."""
-    slots = (_draw(bands * sampled, 3000) % np.uint64(SLOTS)).astype(int).reshape(bands, sampled)
+def _windows() -> np.ndarray:
+    """The slots of each band: consecutive samples of one walk, so that what a text and its copy share
+    between two edits fills whole bands."""
+    share = SLOTS // WALKS
+    firsts = [k * share + i for k in range(WALKS) for i in range(0, share - SAMPLED + 1, BAND_STEP)]
+    return np.array(firsts)[:, None] + np.arange(SAMPLED)
+
+
+def _band_keys(prints: DataFrame) -> DataFrame:
+    """(key, row): digits of each band, at both scales. A band that reaches beyond the end of the text has
+    no key: the zeros there would be shared by all short texts of a scale."""
+    slots = _windows()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [], []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("fingerprint").to_pylist()):
-                scale = int(text[:2], 16)
-                for k in (0, 1):
-                    digits = np.frombuffer(text[2 + SLOTS * k :][:SLOTS].encode(), np.uint8)[slots]
-                    found = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(256) + np.uint64(scale + k)
-                    for i in range(sampled):
-                        found = mix(found * np.uint64(0x9E3779B97F4A7C15) + digits[:, i].astype(np.uint64))
-                    live = found[(digits != 48).any(axis=1)]
-                    keys.append(live)
-                    rows.append(np.full(len(live), row))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(rows), pa.int64())], names=["key", "row"])
-
-    return prints.select("row", "fingerprint").mapInArrow(run, "key long, row long")
-
-
-def edit_classes(docs: DataFrame, least: float = LIKENESS, bands: int = BANDS, sampled: int = SAMPLED) -> DataFrame:
-    """``row``, doc_id, label, class_id, class_size of every document (doc_id, text).
-
-    Texts whose fingerprints share the sampled digits of a band are verified on their whole
-    fingerprints; a likeness of at least ``least`` links them, and classes are the connected components.
-    Equal texts have equal fingerprints and are one class, null and empty ones too."""
-    prepare(docs.sparkSession)
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text")).alias("fingerprint"))
-    prints = saved(numbered, "fingerprints")
-    equal = saved(prints.groupBy("fingerprint").agg(F.min("row").alias("first")), "equal-fingerprints")
-    members = saved(prints.join(equal, "fingerprint").select("row", "doc_id", "first"), "members")
-    single = equal.select(F.col("first").alias("row"), "fingerprint")
+            if not batch.num_rows:
+                continue
+            packed = np.frombuffer(b"".join(batch.column("fingerprint").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            row = np.array(batch.column("row"))
+            for k in (0, 1):
+                found = np.arange(1, len(slots) + 1, dtype=np.uint64)[None, :] * np.uint64(256) + (packed[:, :1] + np.uint64(k))
+                digits = _digits(packed, k)[:, slots]
+                for i in range(SAMPLED):
+                    found = mix(found * np.uint64(0x9E3779B97F4A7C15) + digits[:, :, i].astype(np.uint64))
+                live = (digits != 0).all(axis=2)
+                yield pa.RecordBatch.from_arrays([pa.array(found[live].view(np.int64)), pa.array(np.repeat(row, live.sum(axis=1)), pa.int64())], names=["key", "row"])
+
+    return prints.select("row", "fingerprint").mapInArrow(trimmed(run), "key long, row long")
+
+
+def _digits(packed: np.ndarray, k: int) -> np.ndarray:
+    """Digits of the own (0) or the next (1) scale of packed fingerprints, one a row."""
+    half = packed[:, 1 + k * SLOTS // 2 : 1 + (k + 1) * SLOTS // 2]
+    return np.stack([half >> 4, half & 15], axis=2).reshape(len(packed), SLOTS)
+
+
+def likenesses(packed: np.ndarray, i: int, at: np.ndarray) -> np.ndarray:
+    """``likeness`` of packed fingerprint ``i`` with those at the places."""
+    scales = packed[:, 0].astype(int)
+    out = np.zeros(len(at))
+    for other in np.unique(scales[at]):
+        mine = np.flatnonzero(scales[at] == other)
+        scale = max(other, scales[i])
+        if scale - min(other, scales[i]) > 1:
+            continue
+        x, y = _digits(packed[i : i + 1], scale - scales[i]), _digits(packed[at[mine]], scale - other)
+        live = (x != 0) | (y != 0)
+        same, count = (v.reshape(len(mine), WALKS, -1, 2).sum(axis=2) for v in ((x == y) & live, live))
+        best = (same / np.maximum(count, 1)).argmax(axis=1)[:, None, ::-1]
+        same, count = (np.take_along_axis(v, best, axis=1).sum(axis=(1, 2)) for v in (same, count))
+        share = np.maximum(same / np.maximum(count, 1) - 1 / 15, 0.0) / (1 - 1 / 15)
+        out[mine] = np.where(live.any(axis=1), share, 1.0)
+    return out
+
+
+def fingerprint_classes(prints: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """``row``, doc_id, label, class_id, class_size of every row of ``prints`` (row, doc_id, fingerprint as
+    bytes), a stored table.
+
+    Fingerprints that share a band are verified as a whole; a likeness of at least ``least`` links them,
+    and classes are the connected components. Equal fingerprints are one class."""
+    marked = prints.select("row", "doc_id", F.unhex(F.md5("fingerprint")).alias("mark"))
+    equal = saved(marked.groupBy("mark").agg(F.min("row").alias("first")), "equal-fingerprints")
+    members = saved(marked.join(equal, "mark").select("row", "doc_id", "first"), "members")
+    single = saved(prints.join(equal.select(F.col("first").alias("row")), "row", "left_semi").select("row", "fingerprint"), "single-fingerprints")
+    unpacked: list = [None, None]
 
     def agreement(signed: list[bytes], i: int, at: np.ndarray) -> np.ndarray:
-        own = signed[i].decode()
-        return np.array([likeness(own, signed[j].decode()) for j in at]) - least
+        if unpacked[0] is not signed:
+            unpacked[:] = signed, np.frombuffer(b"".join(signed), np.uint8).reshape(len(signed), -1)
+        return likenesses(unpacked[1], i, at) - least
+
+    def alike(x: bytes, y: bytes) -> bool:
+        return likeness(x.hex(), y.hex()) >= least
 
-    content = F.col("fingerprint").cast("binary")
-    kept = single.select("row", content.alias("signature"), content.alias("content"))
-    labels = linked_labels(_band_keys(single, bands, sampled), kept, agreement, lambda x, y: likeness(x.decode(), y.decode()) >= least)
-    return named_classes(members, labels)
+    kept = single.select("row", F.col("fingerprint").alias("signature"), F.col("fingerprint").alias("content"))
+    return named_classes(members, linked_labels(_band_keys(single), kept, agreement, alike))
+
+
+def edit_classes(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """``fingerprint_classes`` of documents (doc_id, text); null and empty texts are one class."""
+    prepare(docs.sparkSession)
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(fingerprint(F.col("text"))).alias("fingerprint"))
+    return fingerprint_classes(saved(numbered, "fingerprints"), least)
+
+
+def edits_and_classes(docs: DataFrame) -> DataFrame:
+    """``edit_fingerprints`` of all documents with the class of each one among them all: class_id (the
+    smallest doc_id, null if all are) and class_size."""
+    digits = ["edited_sha256", "fingerprint", "edited_fingerprint"]
+    edits = edit_fingerprints(docs)
+    columns = edits.columns
+    # half as long in bytes as in digits
+    edits = saved(edits.withColumns({c: F.unhex(c) for c in digits}).withColumn("row", F.monotonically_increasing_id()), "edits")
+    classes = fingerprint_classes(edits.select("row", "doc_id", "fingerprint")).select("row", "class_id", "class_size")
+    both = edits.join(classes, "row").withColumns({c: F.lower(F.hex(c)) for c in digits})
+    return both.select(*columns, "class_id", "class_size")

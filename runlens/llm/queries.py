@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .backoff import backoff_scores
 from .common import table
-from .edit_fingerprints import edit_fingerprints
+from .edit_fingerprints import edits_and_classes
 from .minhash import near_duplicate_classes
 from .mixing import OTHER, mix
 from .packing import pack_documents
@@ -94,7 +94,7 @@ def _(spark, sf_dir):
 
 @query("op3_edit_fingerprints")
 def _(spark, sf_dir):
-    return edit_fingerprints(table(spark, sf_dir, "documents"))
+    return edits_and_classes(table(spark, sf_dir, "documents"))
 
 
 @query("op8_dart_minhash")

@@ -11,7 +11,7 @@ import pytest
 from conftest import rows
 from runlens.llm import minhash
 from runlens.llm.components import components
-from runlens.llm.edit_fingerprints import code_points, edit_classes, edit_fingerprints, likeness, walker
+from runlens.llm.edit_fingerprints import code_points, edit_classes, edit_fingerprints, likeness, likenesses, walker
 from runlens.llm.minhash import drop_near_duplicates, near_duplicate_classes, pack_elements, shingles, signatures, similarity, weighted
 from runlens.llm.words import ngrams, word_hashes
 
@@ -246,3 +246,25 @@ def test_walks_side_by_side_equal_single_ones():
     starts = np.arange(len(texts))[:, None] * 70_001 + np.arange(w.walks)
     for codes, start, moves in zip(texts, starts, w.moves(texts, starts)):
         assert (w.reached(moves, start) == w.walk(codes, start)).all()
+
+
+def test_registered_query_finds_copies_that_are_not_neighbours(spark, tmp_path):
+    from runlens.llm.queries import QUERIES
+
+    rng = random.Random(11)
+    bases = [text(rng, rng.randint(150, 400)) for _ in range(12)]
+    docs = bases + [t.replace(" ", "  ", 1) for t in bases] + [changed(rng, t, 4) for t in bases] + ["", None]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(docs)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op3_edit_fingerprints"](spark, str(tmp_path)).collect()}
+    assert {i: (r.class_id, r.class_size) for i, r in got.items()} == {i: (i % 12, 3) if i < 36 else (36, 2) for i in range(38)}
+    assert all(r.edited_sha256 and len(r.fingerprint) == len(r.edited_fingerprint) for r in got.values())
+
+
+def test_likeness_of_packed_fingerprints():
+    rng, w = random.Random(12), walker()
+    texts = [text(rng, 200), text(rng, 150), text(rng, 60), "", ""]
+    prints = w.fingerprints([code_points(t) for t in texts + [changed(rng, t, 9) for t in texts[:3]]])
+    packed = np.array([list(bytes.fromhex(p)) for p in prints], np.uint8)
+    for i, p in enumerate(prints):
+        assert likenesses(packed, i, np.arange(len(prints))) == pytest.approx([likeness(p, q) for q in prints])
