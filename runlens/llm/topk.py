@@ -72,16 +72,16 @@ def search(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vec_
 
 
 def _packed(df: DataFrame, size: int, total: int) -> DataFrame:
-    """Vectors (vec_id, dims, v) as rows of matrices with about ``size`` vectors of one dimension."""
+    """Vectors (vec_id, dims, v) as rows of matrices with about ``size`` vectors of one dimension. Rows are
+    dealt by a number of their own, so that one vec_id on very many rows doesn't fill a matrix."""
     groups = max(1, -(-total // size))
-    keyed = df.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    keyed = df.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
 
     def pack(t: pa.Table) -> pa.Table:
         values = t["v"].combine_chunks()
         ids = np.array(t["vec_id"], dtype="<i8")
         flat = np.array(values.flatten(), dtype="<i8").reshape(len(ids), -1)
         order = np.lexsort((*flat.T[::-1], ids))
-        order = order[np.append(True, np.diff(ids[order]) != 0)]
         ids, flat = ids[order], flat[order]
         return pa.table({"part": t["part"].slice(0, 1), "dims": t["dims"].slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "matrix": pa.array([flat.astype("<i4" if abs(flat).max(initial=0) < 2**31 else "<i8").tobytes()], pa.binary())})
 
@@ -108,9 +108,9 @@ def integers(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other vectors for each one whose vec_id is
-    divisible by ``every``; ties go to the smaller vec_id. Of rows with one vec_id the one with the smallest
-    components takes part. Only vectors of equal length meet; vectors
-    of no components score 0 with each other. Scores must fit into 64 bits. An empty table gives no rows."""
+    divisible by ``every``; ties go to the smaller vec_id. Rows that repeat a vec_id
+    are candidates of their own, each with its rank; those with the query's vec_id are left out. Queries that
+    repeat a vec_id share one ranking. Only vectors of equal length meet; vectors of no components score 0 with each other. Scores must fit into 64 bits. An empty table gives no rows."""
     prepare(vectors.sparkSession)
     rows = integers(vectors, scale)
     total = rows.count()

@@ -161,6 +161,15 @@ def test_top_k_equals_brute_force(spark, monkeypatch, shard):
     assert top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_keeps_rows_that_repeat_an_id(spark):
+    vectors = [(10, [1.0, 0.0]), (10, [0.0, 1.0]), (1, [2.0, 0.0]), (1, [2.0, 0.0]), (1, [1.0, 3.0]), (2, [0.0, 1.0]), (2, [5.0])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, label int, rank int")
+    one = 256 * 256
+    # both queries with id 10 share a ranking: (1, 3) by [0, 1]; twice (2, 0) by [1, 0]; then (1, 3) by [1, 0] and 2 by [0, 1]
+    want = [(10, 1, 1, 3 * one), (10, 2, 1, 2 * one), (10, 3, 1, 2 * one), (10, 4, 1, one), (10, 5, 2, one)]
+    assert sorted(tuple(r) for r in top_k(df, 5, 10).collect()) == want
+
+
 def test_reading_stops_before_the_end():
     rng = np.random.default_rng(1)
     data = rng.integers(-5, 5, (4000, 3))
