@@ -14,6 +14,7 @@ from .edit_fingerprints import edits_and_classes
 from .minhash import near_duplicate_classes
 from .mixing import OTHER, mix
 from .packing import pack_documents
+from .periodic import periodic_runs, planted
 from .quality import quality_scores
 from .token_files import read_tokens, write_tokens
 from .topk import top_k
@@ -215,3 +216,18 @@ def backoff_sql(order: int = 3) -> str:
 def _(spark, sf_dir):
     scores = backoff_scores(table(spark, sf_dir, "documents"))
     return scores.withColumn("score", F.round("score", 6))
+
+
+@query("op13_periodic_runs")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs(docs)
+    # greatest length, then smallest start, then smallest period
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    digests = {"runs_sha256": F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), "collapsed_sha256": F.col("collapsed")}
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.s")).alias("start"), F.col("longest.n").alias("length"),
+        (-F.col("longest.p")).alias("period"), F.floor(F.lit(1000) * F.col("longest.n") / -F.col("longest.p")).alias("exponent_milli"),
+        *[F.sha2(c.cast("binary"), 256).alias(name) for name, c in digests.items()],
+    )

@@ -43,12 +43,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets): text i has words ``offsets[i]:offsets[i+1]``. Null has none."""
+#: Whether a byte belongs to a word: all above the blank, or all but the six bytes of ASCII white space.
+PRINTED = np.arange(256) > 32
+SPACED = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Bytes with A to Z in lower case.
+ASCII_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def word_hashes(texts: pa.Array, lower: bool = True, in_word: np.ndarray = PRINTED, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, offsets): text i has words ``offsets[i]:offsets[i+1]``. Null has none.
+
+    ``in_word`` tells which bytes make words, ``letters`` puts a byte for each byte (then without ``lower``)."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
+    if lower and letters is None:
         texts = pc.utf8_lower(texts)
     n = len(texts)
     bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
@@ -56,7 +65,10 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)
     first, last = int(bounds[0]), int(bounds[-1])
-    solid = data[first:last] > 32
+    solid = in_word[data[first:last]]
+    if letters is not None:
+        data, bounds = letters[data[first:last]], bounds - first
+        first, last = 0, last - first
     edge = np.ones(last - first + 1, bool)
     edge[1:-1] = solid[1:] != solid[:-1]
     edge[bounds - first] = True
