@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .backoff import backoff_scores
 from .common import table
 from .edit_fingerprints import edits_and_classes
+from .merkle import build_manifest, digest_of, proofs, verified
 from .minhash import near_duplicate_classes
 from .mixing import OTHER, mix
 from .packing import pack_documents
@@ -231,3 +232,64 @@ def _(spark, sf_dir):
         (-F.col("longest.p")).alias("period"), F.floor(F.lit(1000) * F.col("longest.n") / -F.col("longest.p")).alias("exponent_milli"),
         *[F.sha2(c.cast("binary"), 256).alias(name) for name, c in digests.items()],
     )
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned crc32 of an ASCII text: the polynomial's eight steps for each byte."""
+    step = "lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda crc, b: list_reduce(range(8), {step}, xor(crc, b)), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def merkle_sql() -> str:
+    """The trees level by level as recursions, every proof as a list of steps that is folded."""
+    def leaf(n_chars: str) -> str:
+        fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+        return "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode({f})) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+    def tree(name: str, leaves: str) -> str:
+        return f"""{name} AS (
+  SELECT g, 0 AS lvl, r AS i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM {leaves}
+  UNION ALL
+  SELECT g, lvl + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY g, lvl, i // 2
+)"""
+
+    def steps(nodes: str, r: str) -> str:
+        return f"""list(CASE WHEN s.h IS NULL THEN '-' WHEN ({r} >> t.lvl) & 1 = 1 THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY t.lvl) FILTER (WHERE t.n > 1)"""
+
+    def siblings(name: str, leaves: str, nodes: str) -> str:
+        return f"""{name} AS (
+  SELECT l.g, l.r, coalesce({steps(nodes, 'l.r')}, []) AS path FROM {leaves} l JOIN {nodes} t ON t.g = l.g AND t.i = l.r >> t.lvl
+  LEFT JOIN {nodes} s ON s.g = t.g AND s.lvl = t.lvl AND s.i = xor(t.i, 1) GROUP BY l.g, l.r
+)"""
+
+    return f"""WITH RECURSIVE d AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '=' || lang END AS g, {leaf('n_chars')} AS leaf,
+    CASE WHEN {crc32_sql('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {leaf('n_chars + 1')} END AS claimed FROM documents
+), leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM d),
+{tree('nodes', 'leaves')},
+subroots AS (SELECT g AS lang_key, h AS leaf, 'all' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS r FROM nodes WHERE n = 1),
+{tree('tops', 'subroots')},
+{siblings('own', 'leaves', 'nodes')}, {siblings('upper', 'subroots', 'tops')},
+paths AS (
+  SELECT doc_id, l.leaf, coalesce(claimed, l.leaf) AS claimed, s.leaf AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, own.path || upper.path AS path
+  FROM leaves l JOIN own USING (g, r) JOIN subroots s ON s.lang_key = l.g JOIN upper ON upper.r = s.r
+), folded AS (
+  SELECT *, sha256(list_aggregate(list_transform(list_filter(path, lambda s: s <> '-'), lambda s: substr(s, 2)), 'string_agg', '')) AS some_proof,
+    list_reduce(path, lambda h, s: sha256(CASE s[1] WHEN 'L' THEN substr(s, 2) || h WHEN 'R' THEN h || substr(s, 2) ELSE h END), claimed) AS folded_root FROM paths
+)
+SELECT doc_id, leaf, subroot, root, coalesce(some_proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
+@query("op11_merkle_manifest", merkle_sql())
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    row = lambda n_chars: digest_of("doc_id", "source", "lang", n_chars, "text")
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 0
+    rows = docs.select(
+        F.col("lang").alias("group"), F.col("doc_id").alias("key"), row("n_chars").alias("leaf"),
+        F.when(tampered, row(F.col("n_chars") + 1)).alias("claimed"),
+    )
+    found = verified(proofs(build_manifest(rows)))
+    names = {"leaf": "leaf", "subroot": "subroot", "root": "root", "proof_digest": "proof_sha256", "folded": "folded_root"}
+    return found.select(F.col("key").alias("doc_id"), *[F.lower(F.hex(c)).alias(name) for c, name in names.items()], "verified")
