@@ -18,6 +18,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import functions as F  # noqa: E402
 
 from checks.adapters import Tables  # noqa: E402
+from checks.change_checks import shared_events  # noqa: E402
 from runlens.functions.text import text_prep  # noqa: E402
 from runlens.operators import aggregates, builds, changes, joins, lifecycle, tree, validation  # noqa: E402
 from runlens.operators.predicates import filter_runs  # noqa: E402
@@ -62,7 +63,7 @@ def headline(t):
             t.lineitem, t.orders, [F.col("l_orderkey") == F.col("o_orderkey")],
             (F.col("l_quantity") > 30) | (F.col("o_orderstatus") == "F")),
         "L2_fold_runs": lambda: lifecycle.fold_runs(t.run_events),
-        "L2_fold_runs_exact": lambda: lifecycle.fold_runs_exact(t.run_events),
+        "L2_fold_runs_shared": lambda: lifecycle.fold_runs(shared_events(t)),
         "M1_update_by_key": lambda: changes.update_by_key(t.orders, changed, ["o_custkey"]),
         "W4_build_range": lambda: builds.build_range(t.builds, block=10_000),
         "J14_descendants": lambda: tree.descendants(t.tree, 1),

@@ -1,8 +1,9 @@
 """Run lifecycle in batch: begin, end and error events → run rows.
 
 A begin event adds a run row. An end or error event changes the run with the same instance,
-environment and job, but only if at that moment exactly one such run exists; otherwise it has no
-effect. ``fold_state`` is a plain aggregation, so the same function serves streams.
+environment and job (text without regard to case), but only if at that moment exactly one such run
+exists; otherwise it has no effect. A run shows the spelling of its begin. A key with a NULL part matches
+nothing, so its runs stay as they began.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import text_key
 from ..functions.timefmt import ntz
 from ..session import cut
 from .predicates import latest
@@ -33,6 +35,15 @@ def _order() -> Column:
     return F.struct("ts", "event_id")
 
 
+def _folded(events: DataFrame) -> DataFrame:
+    """Events with the keys by which they meet."""
+    return events.withColumns({k: text_key(events, k) for k in RUN_KEY})
+
+
+def _keyless() -> Column:
+    return F.col(RUN_KEY[0]).isNull() | F.col(RUN_KEY[1]).isNull() | F.col(RUN_KEY[2]).isNull()
+
+
 def begin_rows(events: DataFrame) -> DataFrame:
     """Begin events → new, complete run rows. Host and user are NULL where events don't name them."""
     none = F.lit(None)
@@ -51,12 +62,12 @@ def error_rows(events: DataFrame) -> DataFrame:
 
     Error and run are written together, so an error counts only if exactly one run of its key had
     begun by then: from the first begin on, up to the second one."""
-    begins = events.where(_is("begin")).select(*RUN_KEY, _order().alias("_at"))
+    begins = _folded(events.where(_is("begin"))).select(*RUN_KEY, _order().alias("_at"))
     first = begins.groupBy(*RUN_KEY).agg(F.min("_at").alias("_first"))
     after = join_on_unique(begins, first, RUN_KEY, "inner", fold=False).where(F.col("_at") > F.col("_first"))
     second = after.groupBy(*RUN_KEY).agg(F.min("_at").alias("_second"))
     bounds = first.join(second, RUN_KEY, "left")
-    placed = join_on_unique(events.where(_is("error")), bounds, RUN_KEY, "inner", fold=False)
+    placed = join_on_unique(events.where(_is("error")), bounds, RUN_KEY, "inner")
     one = (_order() > F.col("_first")) & (F.col("_second").isNull() | (_order() < F.col("_second")))
     return error_events(placed.where(one))
 
@@ -70,10 +81,10 @@ def error_events(events: DataFrame) -> DataFrame:
 
 
 def fold_state(events: DataFrame) -> DataFrame:
-    """One row per run key: first begin, last end, last error, number of begins."""
-    first = F.struct("ts", "event_id", "event_text", "dimension")
+    """One row per run key (text in upper case): first begin, last end, last error, number of begins."""
+    first = F.struct("ts", "event_id", "event_text", "dimension", *[F.col(k).alias(f"own_{k}") for k in RUN_KEY])
     end = F.struct("ts", "event_id", "records_total", "records_processed", "msg")
-    return events.groupBy(*RUN_KEY).agg(
+    return events.groupBy(*[text_key(events, k).alias(k) for k in RUN_KEY]).agg(
         F.count_if(_is("begin")).alias("n_begin"),
         F.min(F.when(_is("begin"), first)).alias("first"),
         F.max(F.when(_is("end"), end)).alias("end"),
@@ -82,18 +93,14 @@ def fold_state(events: DataFrame) -> DataFrame:
 
 
 def run_rows(state: DataFrame) -> DataFrame:
-    """Run rows from folded state. Events before the begin found no run and count for nothing.
-
-    A key with several begins is ``ambiguous``: its row shows the first run as it began, because
-    the folded state does not tell which updates came before the second begin.
-    """
+    """Run rows from folded state of keys with one begin. Events before the begin found no run and
+    count for nothing."""
     begun = F.struct("first.ts", "first.event_id")
-    one = F.col("n_begin") == 1
-    ended = F.coalesce(one & (F.struct("end.ts", "end.event_id") > begun), F.lit(False))
-    failed = F.coalesce(one & (F.col("error") > begun), F.lit(False))
+    ended = F.coalesce(F.struct("end.ts", "end.event_id") > begun, F.lit(False))
+    failed = F.coalesce(F.col("error") > begun, F.lit(False))
     error_last = failed & (~ended | (F.col("error") > F.struct("end.ts", "end.event_id")))
     return state.where(F.col("n_begin") > 0).select(
-        *RUN_KEY,
+        *[F.col(f"first.own_{k}").alias(k) for k in RUN_KEY],
         F.when(error_last, ERROR).when(ended, READY).otherwise(RUNNING).alias("status"),
         F.when(failed, ERROR_TEXT).otherwise(F.col("first.event_text")).alias("event_text"),
         F.col("first.dimension").alias("dimension"),
@@ -107,46 +114,48 @@ def run_rows(state: DataFrame) -> DataFrame:
         F.when(failed, 1).alias("distict_errors"),
         F.when(failed, "0").alias("warnings"),
         "n_begin",
-        (~one).alias("ambiguous"),
+        (F.col("n_begin") > 1).alias("ambiguous"),
     )
 
 
-def fold_runs(events: DataFrame) -> DataFrame:
-    """Current run per key in one pass; ambiguous keys are marked, not resolved."""
-    return run_rows(fold_state(events))
+def _as_begun(begins: DataFrame, n_begin: Column, ambiguous: bool) -> DataFrame:
+    """Run rows of begin events that no update reaches."""
+    none = F.lit(None)
+    return begins.select(
+        *RUN_KEY, F.lit(RUNNING).alias("status"), "event_text", "dimension",
+        F.lit("0").alias("records_total"), F.lit("0").alias("records_processed"),
+        F.col("ts").alias("start_time"), F.col("ts").alias("last_activity"),
+        none.cast("string").alias("msg"), none.cast("int").alias("distict_errors"),
+        none.cast("string").alias("warnings"), n_begin.alias("n_begin"), F.lit(ambiguous).alias("ambiguous"),
+    )
 
 
-def fold_runs_exact(events: DataFrame) -> DataFrame:
-    """One row per begin event, ambiguous keys resolved.
+def fold_runs(events: DataFrame) -> DataFrame:
+    """One row per begin event, with the updates that reached it.
 
-    The folded state is checkpointed (eager). Only if it holds keys with several begins are the
-    events read again and those of such keys kept: the first run takes the updates up to the second
-    begin, later runs stay as they began because their updates match several rows.
+    The folded state is checkpointed (eager). Only if it holds keys with several begins
+    (``ambiguous``) are the events read again and those of such keys kept: the first run takes the
+    updates up to the second begin, later runs stay as they began because their updates match several
+    rows.
     """
+    alone = _as_begun(events.where(_keyless() & _is("begin")), F.lit(1).cast("long"), False)
+    events = events.where(~_keyless())
     state = cut(fold_state(events))
-    clear = run_rows(state.where(F.col("n_begin") == 1))
+    clear = run_rows(state.where(F.col("n_begin") == 1)).unionByName(alone)
     unclear = state.where(F.col("n_begin") > 1).select(
         *RUN_KEY, F.col("n_begin").alias("_n"), F.struct("first.ts", "first.event_id").alias("_first")
     )
     if unclear.isEmpty():
         return clear
     # a key may hold very many events: both joins are safe for hot keys
-    rows = cut(join_on_unique(events, unclear, RUN_KEY, "inner", fold=False))
+    rows = cut(join_on_unique(events, unclear, RUN_KEY, "inner"))
     begins = rows.where(_is("begin") & (_order() > F.col("_first")))
-    second = begins.groupBy(*RUN_KEY).agg(F.min(_order()).alias("_second"))
-    early = join_on_unique(rows, second, RUN_KEY, "inner", fold=False).where(_order() < F.col("_second"))
+    second = _folded(begins).groupBy(*RUN_KEY).agg(F.min(_order()).alias("_second"))
+    early = join_on_unique(rows, second, RUN_KEY, "inner").where(_order() < F.col("_second"))
     heads = run_rows(fold_state(early.drop("_first", "_second"))).drop("n_begin", "ambiguous")
-    heads = heads.join(unclear.select(*RUN_KEY, F.col("_n").alias("n_begin")), RUN_KEY)
+    heads = join_on_unique(heads, unclear.select(*RUN_KEY, F.col("_n").alias("n_begin")), RUN_KEY, "inner")
     heads = heads.withColumn("ambiguous", F.lit(True))
-    later = begins.select(
-        *RUN_KEY, F.lit(RUNNING).alias("status"), "event_text", "dimension",
-        F.lit("0").alias("records_total"), F.lit("0").alias("records_processed"),
-        F.col("ts").alias("start_time"), F.col("ts").alias("last_activity"),
-        F.lit(None).cast("string").alias("msg"), F.lit(None).cast("int").alias("distict_errors"),
-        F.lit(None).cast("string").alias("warnings"), F.col("_n").alias("n_begin"),
-        F.lit(True).alias("ambiguous"),
-    )
-    return clear.unionByName(heads).unionByName(later)
+    return clear.unionByName(heads).unionByName(_as_begun(begins, F.col("_n"), True))
 
 
 def stuck_runs(

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import text_key
 from ..operators.changes import replace_rows
 from ..operators.joins import new_rows
-from ..operators.lifecycle import RUN_KEY, begin_rows, error_events, fold_runs
+from ..operators.lifecycle import RUN_KEY, begin_rows
 from ..session import cut
 
 
@@ -24,12 +25,6 @@ def read_events(spark: SparkSession, directory: str, schema: str, pattern: str =
 
 
 begin_stream = begin_rows
-error_stream = error_events  # candidates: which run takes them is settled in batch, by ``error_rows``
-
-
-def fold_runs_stream(events: DataFrame) -> DataFrame:
-    """The batch fold on a stream (output mode ``update``): each batch emits the changed runs."""
-    return fold_runs(events)
 
 
 def start_available(
@@ -59,42 +54,52 @@ def batch_writer(path: str) -> Callable[[DataFrame, int], None]:
 
 def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     """The rows written so far, also before the first batch; only a missing folder counts as that."""
-    return _read_table(spark, path, spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("bigint")))
+    return read_table(spark, path, spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("bigint")))
 
 
-def upsert_writer(path: str, keys: Sequence[str] = tuple(RUN_KEY), buckets: int = 64) -> Callable[[DataFrame, int], None]:
+def upsert_writer(path: str, keys: Sequence[str] = tuple(RUN_KEY), buckets: int | None = None, day: str | None = None) -> Callable[[DataFrame, int], None]:
     """Writer that keeps a table of one row per key: the rows of a micro-batch replace those of their keys.
 
-    The table lies in ``bucket=N`` partitions by a hash of the key; a batch reads and rewrites the
-    buckets it touches, from a checkpoint, and no older version stays behind. A batch that runs again
-    puts the same rows in the same place."""
+    The table lies in ``bucket=N`` partitions by a hash of the key (64, or 8 a day), below those of ``day`` if the rows
+    of a key never change their day. A batch reads and rewrites only the partitions it touches, from a
+    checkpoint, and no older version stays behind. A batch that runs again puts the same rows in the
+    same place."""
+    count = buckets or (8 if day else 64)
+    parts = [day, "bucket"] if day else ["bucket"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        placed = [F.upper(c) if batch.schema[c].dataType.typeName() == "string" else F.col(c) for c in keys]
-        new = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*placed), F.lit(buckets)).cast("int")))
-        if new.isEmpty():
+        new = cut(batch.withColumn("bucket", F.pmod(F.xxhash64(*[text_key(batch, c) for c in keys]), F.lit(count)).cast("int")))
+        touched = [tuple(r) for r in new.select(*parts).distinct().collect()]  # as many as the batch has partitions
+        if not touched:
             return
-        held = _read_table(spark, path, new).join(new.select("bucket").distinct(), "bucket", "left_semi").select(*new.columns)
+        held = read_table(spark, path, new)
+        for i, part in enumerate(parts):  # literals, so that the scan is pruned
+            held = held.where(F.col(part).isin(sorted({t[i] for t in touched})))
+        held = held.join(F.broadcast(new.select(*parts).distinct()), parts, "left_semi").select(*new.columns)
         merged = cut(replace_rows(held, new, list(keys)))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
 
     return write
 
 
-def absent_writer(path: str, keys: Sequence[str], first_by: str = "ts") -> Callable[[DataFrame, int], None]:
+def absent_writer(path: str, keys: Sequence[str], first_by: str = "ts", buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """Writer that adds only rows whose key the table doesn't hold yet, of any age; of several rows with
-    one key in a micro-batch the first by ``first_by``. A batch that runs again replaces itself."""
-    own = batch_writer(path)
+    one key in a micro-batch the first by ``first_by``. The table lies in partitions by a hash of the key and
+    by batch; a batch reads those of its own hashes only. A batch that runs again replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        held = read_batches(batch.sparkSession, path, batch.schema).where(F.col("batch_id") != batch_id)
-        own(new_rows(batch, held, list(keys), first_by), batch_id)
+        placed = batch.withColumn("bucket", F.pmod(F.xxhash64(*[text_key(batch, c) for c in keys]), F.lit(buckets)).cast("int"))
+        rows = cut(placed.withColumn("batch_id", F.lit(batch_id).cast("bigint")))
+        touched = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())  # as many as there are buckets
+        held = read_table(batch.sparkSession, path, rows).where(F.col("bucket").isin(touched) & (F.col("batch_id") != batch_id))
+        fresh = new_rows(rows, held, list(keys), first_by)
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id").parquet(path)
 
     return write
 
 
-def _read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+def read_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """A table in the columns of ``like``; empty as long as its folder is missing."""
     try:
         return spark.read.schema(like.schema).parquet(path)
@@ -117,43 +122,27 @@ def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str] = t
     ).parquet(target)
 
 
-def live_status(written: DataFrame) -> DataFrame:
-    """Runs per status now, counted over current rows, not over events."""
-    return current_rows(written).groupBy("status").agg(F.count(F.lit(1)).alias("amount"))
-
-
-def daily_status_stream(events: DataFrame, delay: str = "2 days", column: str = "kind") -> DataFrame:
-    """Events per day and kind. Rows later than ``delay`` are left out; older days are final."""
-    return (
-        events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), column)
-        .agg(F.count(F.lit(1)).alias("amount"))
-        .select(F.to_date("window.start").alias("day"), column, "amount")
-    )
+def day_counts_writer(path: str, by: Sequence[str] = ("kind",), ts: str = "ts", delay: str = "2 days") -> Callable[[DataFrame, int], None]:
+    """Writer of events per day and ``by``, for a stream without watermark: each batch adds its own counts, so a
+    row counts whenever it comes. ``late`` tells rows that came more than ``delay`` behind the latest event of
+    all earlier batches. A batch that runs again replaces its counts."""
+    own = batch_writer(path)
+    schema = "day date, late boolean, amount bigint, latest timestamp"
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = read_batches(spark, path, spark.createDataFrame([], schema).schema).where(F.col("batch_id") < batch_id)
+        latest = earlier.agg(F.max("latest")).first()[0]  # one value
+        mark = F.lit(latest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        late = F.coalesce(F.col(ts) < mark, F.lit(False)).alias("late")
+        own(batch.groupBy(F.to_date(ts).alias("day"), *by, late).agg(F.count(F.lit(1)).alias("amount"), F.max(F.col(ts).cast("timestamp")).alias("latest")), batch_id)
 
-def stuck_after_stream(events: DataFrame, minutes: int, delay: str = "10 minutes") -> DataFrame:
-    """Runs without end or error within ``minutes`` of their begin, emitted once that is certain."""
-    begins = events.where(F.col("kind") == "begin").select(*RUN_KEY, F.col("ts").alias("start_time"))
-    done = events.where(F.col("kind") != "begin").select(
-        *[F.col(k).alias(f"_{k}") for k in RUN_KEY], F.col("ts").alias("_done")
-    )
-    b, d = begins.withWatermark("start_time", delay), done.withWatermark("_done", delay)
-    same = [F.col(k) == F.col(f"_{k}") for k in RUN_KEY]
-    in_time = (F.col("_done") >= F.col("start_time")) & (
-        F.col("_done") <= F.col("start_time") + F.expr(f"INTERVAL {int(minutes)} MINUTES")
-    )
-    joined = b.join(d, same[0] & same[1] & same[2] & in_time, "left_outer")
-    return joined.where(F.col("_done").isNull()).select(*RUN_KEY, "start_time")
+    return write
 
 
-def silent_runs_stream(events: DataFrame, seconds: int, delay: str = "10 minutes") -> DataFrame:
-    """Runs whose events stopped for ``seconds`` before an end or error arrived."""
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy(*RUN_KEY, F.session_window("ts", f"{int(seconds)} seconds"))
-        .agg(F.count_if(F.col("kind") != "begin").alias("n_done"), F.max("ts").alias("last_activity"))
-        .where(F.col("n_done") == 0).select(*RUN_KEY, "last_activity")
-    )
+def day_counts(spark: SparkSession, path: str, by: Sequence[str] = ("kind",)) -> DataFrame:
+    """Events per day and ``by``, and how many of them came late."""
+    return spark.read.parquet(path).groupBy("day", *by).agg(F.sum("amount").alias("amount"), F.sum(F.when(F.col("late"), F.col("amount")).otherwise(0)).alias("late"))
 
 
 def insert_if_absent_stream(events: DataFrame, keys: Sequence[str], delay: str = "1 day") -> DataFrame:

@@ -2,15 +2,17 @@
 
 import datetime as dt
 import itertools
+import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from checks.adapters import run_events
 from conftest import rows
 from runlens.operators import lifecycle as lc
 from runlens.schemas import RUN_EVENTS
 from runlens.streaming import lifecycle as live
+from runlens.streaming import run_state
 
 RESULT = ["instance_id", "status", "event_text", "records_total", "msg", "distict_errors", "n_begin", "ambiguous"]
 
@@ -27,11 +29,25 @@ def make(spark, *events):
 
 
 def both(spark, *events):
+    """The batch fold, after the stream of two files has given the same."""
     df = make(spark, *events)
-    exact, plain = lc.fold_runs_exact(df), lc.fold_runs(df)
-    if not exact.where("ambiguous").count():
-        assert rows(exact, *sorted(exact.columns)) == rows(plain, *sorted(exact.columns))
-    return rows(exact, *RESULT)
+    batch = rows(lc.fold_runs(df), *RESULT)
+    assert streamed(spark, [df.where("event_id % 2 = 0"), df.where("event_id % 2 = 1")]) == batch
+    return batch
+
+
+def streamed(spark, files, **options):
+    """The current runs after a stream of one file a micro-batch."""
+    path = tempfile.mkdtemp(prefix="runs-", dir="/tmp")
+    return rows(run_state.current_runs(spark, follow(spark, path, files, **options)), *RESULT)
+
+
+def follow(spark, path, files, **options):
+    for df in files:
+        df.coalesce(1).write.mode("append").parquet(f"{path}/log")
+    events = live.read_events(spark, f"{path}/log", RUN_EVENTS, files_per_batch=1)
+    live.start_available(run_state.run_changes(events, **options), run_state.tables_writer(path), f"{path}/state", "update").awaitTermination()
+    return path
 
 
 def test_begin_only(spark):
@@ -90,7 +106,7 @@ def test_exact_fold_equals_brute_force(spark):
     for n, combo in enumerate(itertools.product(kinds, repeat=4)):
         events += [(m, kind, f"I{n:02}", f"m{m}") for m, kind in enumerate(combo)]
     df = make(spark, *events)
-    assert rows(lc.fold_runs_exact(df), *RESULT[:6]) == brute_force(df.collect())
+    assert rows(lc.fold_runs(df), *RESULT[:6]) == brute_force(df.collect())
 
 
 def test_stuck_runs(spark):
@@ -102,31 +118,88 @@ def test_stuck_runs(spark):
     assert [r.id for r in lc.stuck_runs(df, "no_activity", 120, "2024-01-01 12:00:00").collect()] == [2]
 
 
-@pytest.fixture(scope="module")
-def event_parts(spark, tables, tmp_path_factory):
-    """The run events in four files; begin and end of a run often lie in different files."""
-    path = str(tmp_path_factory.mktemp("events"))
-    events = run_events(tables.runs).withColumn("ts", F.col("ts").cast("timestamp"))
-    for part in range(4):
-        events.where(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(path)
-    return path, events
-
-
-@pytest.mark.parametrize("files_per_batch", [1, 2, 4])
-def test_stream_equals_batch_for_any_split(spark, event_parts, tmp_path, files_per_batch):
-    path, events = event_parts
-    stream = live.read_events(spark, path, events.schema, files_per_batch=files_per_batch)
-    out = str(tmp_path / "out")
-    folded = live.fold_runs_stream(stream)
-    live.start_available(folded, live.batch_writer(out), str(tmp_path / "state"), "update").awaitTermination()
-    written = live.read_batches(spark, out, folded.schema)
-    assert written.select("batch_id").distinct().count() == 4 // files_per_batch
-    batch = lc.fold_runs(events)
-    assert rows(live.current_rows(written), *batch.columns) == rows(batch)
-    status = rows(batch.groupBy("status").count())
-    assert rows(live.live_status(written)) == status
-    live.compact(spark, out, str(tmp_path / "compact"))
-    assert rows(live.live_status(spark.read.parquet(str(tmp_path / "compact")))) == status
+def late_files(df, n, seed):
+    """Events dealt to ``n`` files without regard to their time."""
+    return [df.where(F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(n)) == i) for i in range(n)]
+
+
+def random_events(spark, seed, keys=40, kinds=("begin", "end", "error", "end")):
+    rng = random.Random(seed)
+    return make(spark, *[(rng.randrange(0, 3000), rng.choice(kinds), f"I{rng.randrange(keys)}", f"m{i}") for i in range(keys * 5)])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_files_are_repaired_from_the_log(spark, tmp_path, seed):
+    """Events of all times in every file, begins repeated: nothing is lost, and the repaired table equals the batch fold."""
+    df = random_events(spark, seed).withColumn("environment", F.when(F.col("event_id") % 2 == 0, "DEV").otherwise("dev"))
+    path = follow(spark, str(tmp_path), late_files(df, 4, seed))
+    assert spark.read.parquet(f"{path}/late").count() > 0
+    repaired = run_state.repair(spark, path, df)
+    assert rows(repaired, *RESULT) == rows(lc.fold_runs(df), *RESULT)
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_single_begins_need_no_repair(spark, tmp_path, seed):
+    """Updates in late files are exact, counters follow, errors are settled, and stuck runs are taken back."""
+    starts = [(m, "begin", f"I{m}") for m in range(40)]
+    rng = random.Random(seed)
+    updates = [(rng.randrange(60, 2500), rng.choice(["end", "error"]), f"I{rng.randrange(40)}", f"m{i}") for i in range(60)]
+    df = make(spark, *starts, *updates, (4000, "begin", "last"))
+    files = late_files(df.where("kind = 'begin' and instance_id <> 'last'"), 1, 0) + late_files(df.where("kind <> 'begin'"), 3, seed) + [df.where("instance_id = 'last'")]
+    path = follow(spark, str(tmp_path), files, stuck_seconds=3600)
+    batch = lc.fold_runs(df)
+    assert rows(run_state.current_runs(spark, path), *RESULT) == rows(batch, *RESULT)
+    assert rows(run_state.status_counts(spark, path)) == rows(batch.groupBy("status").count())
+    days = batch.groupBy(F.to_date("last_activity").alias("day"), "status").count()
+    assert rows(run_state.status_counts(spark, path, "day")) == rows(days)
+    assert rows(run_state.open_stuck(spark, path), "instance_id") == rows(batch.where("status = 'running' and instance_id <> 'last'"), "instance_id")
+    assert spark.read.parquet(f"{path}/stuck").where("not open").count() > 0
+    assert rows(spark.read.parquet(f"{path}/errors"), "tmf_id", "message", "code") == rows(lc.error_rows(df), "tmf_id", "message", "code")
+    run_state.compact_counts(spark, path, str(tmp_path / "small/counts"))
+    assert rows(run_state.status_counts(spark, str(tmp_path / "small"))) == rows(batch.groupBy("status").count())
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    path = follow(spark, str(tmp_path), [make(spark, (0, "begin", "A"), (1, "end", "A", "x"), (0, "begin", "B"))])
+    counts, runs = rows(run_state.status_counts(spark, path)), rows(run_state.current_runs(spark, path), *RESULT)
+    first = run_state.view([(0, 1, "A", "DEV", "job", "t", None)], [], False)[0]
+    again = spark.createDataFrame([run_state.change("run", first, was="running", was_us=0)], run_state.CHANGES)
+    for _ in range(2):
+        run_state.tables_writer(path)(again, 99)
+    assert sum(n for _, n in rows(run_state.status_counts(spark, path))) == 2 and counts == [("ready", 1), ("running", 1)]
+    assert len(run_state.current_runs(spark, path).collect()) == len(runs) + 1
+
+
+def test_keys_that_have_left_the_state(spark, tmp_path):
+    """A finished key leaves after a while; an update for it then goes to the side table and the log decides."""
+    files = [make(spark, (0, "begin", "A"), (1, "end", "A", "x")), make(spark, (5000, "begin", "B")), make(spark, (9000, "begin", "C"))]
+    ids = [df.withColumn("event_id", F.col("event_id") + 10 * i) for i, df in enumerate(files)]
+    late = make(spark, (2, "error", "A", "bad")).withColumn("event_id", F.lit(77).cast("long"))
+    path = follow(spark, str(tmp_path), [*ids, late], keep_minutes=60)
+    assert [r.instance_id for r in spark.read.parquet(f"{path}/late").collect()] == ["A"]
+    log = ids[0].unionByName(ids[1]).unionByName(ids[2]).unionByName(late)
+    assert rows(run_state.repair(spark, path, log), *RESULT) == rows(lc.fold_runs(log), *RESULT)
+
+
+def test_keys_meet_without_regard_to_case_and_null_keys_meet_nothing(spark):
+    df = make(spark, (0, "begin", "a"), (1, "end", "A", "x"), (0, "begin", "N"), (1, "end", "N", "x"))
+    df = df.withColumn("job_name", F.when(F.col("instance_id") != "N", F.col("job_name")))
+    want = [("N", "running", None), ("N2", "running", None), ("a", "ready", "x")]
+    more = df.where("instance_id = 'N' and kind = 'begin'").withColumn("instance_id", F.lit("N2")).withColumn("event_id", F.lit(50).cast("long"))
+    df = df.withColumn("job_name", F.when(F.col("instance_id") == "N", None).otherwise(F.lit("job"))).unionByName(more)
+    got = rows(lc.fold_runs(df), "instance_id", "status", "msg")
+    assert got == want and [r[:2] + (r[4],) for r in streamed(spark, [df])] == want
+
+
+def test_day_counts_keep_late_rows(spark, tmp_path):
+    df = make(spark, *[(m * 400, "begin", f"I{m}") for m in range(30)])
+    path = str(tmp_path)
+    for part in (df.where("event_id >= 10"), df.where("event_id < 10")):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/log")
+    events = live.read_events(spark, f"{path}/log", RUN_EVENTS, files_per_batch=1)
+    live.start_available(events, live.day_counts_writer(f"{path}/days"), f"{path}/state").awaitTermination()
+    assert rows(live.day_counts(spark, f"{path}/days"), "day", "kind", "amount") == rows(df.groupBy(F.to_date("ts").alias("day"), "kind").count())
+    assert live.day_counts(spark, f"{path}/days").agg(F.sum("late")).first()[0] == 10
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):

@@ -57,8 +57,8 @@ def test_time_ranges_reach_the_scan(stored_runs, tables):
     assert "LessThan(ts" in plan(logins) and "GreaterThanOrEqual(ts" in plan(logins)
 
 
-EAGER = ("J14", "V5", "V6_search_below", "L1_begin_stream", "L2_fold_runs_exact", "L2_fold_stream", "L3_error_stream",
-         "L4_stuck_stream", "L4_silent_stream", "L5", "L6", "L8", "S", "F1_filter_stored")
+EAGER = ("J14", "V5", "V6_search_below", "L1_begin_stream", "L2_fold", "L3_error_stream",
+         "L4_stuck_stream", "L4_stuck_late", "L4_silent_stream", "L5", "L6", "L8", "S", "F1_filter_stored")
 
 
 @pytest.mark.parametrize("key", [k for k in entry.QUERIES if not k.startswith(EAGER)])
