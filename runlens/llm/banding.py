@@ -41,23 +41,22 @@ def checked(pairs: DataFrame, kept: DataFrame, alike: Alike) -> DataFrame:
 
 def _cross_links(members: DataFrame, kept: DataFrame, agreement: Agreement, alike: Alike, block_size: int) -> DataFrame:
     """Links (a, b) between different components in a bucket: one for each row and other component that
-    has an alike row. ``members``: (key, row, label, main, size); rows of the main component don't meet
-    each other. A bucket is dealt into blocks; each pair of blocks is a group of bounded size."""
-    blocks = F.ceil(F.col("size") / block_size).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = dealt.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "row", "label", "main")
-    signed = grouped.join(kept.select("row", "signature", "content"), "row")
+    has an alike row. ``members``: (key, row, label, main, size, rest); rows of the main component don't
+    meet each other. A bucket is dealt into blocks; the ``rest`` rows outside the main component visit
+    every block, in parts of bounded size, and a block is there once for each part."""
+    dealt = members.withColumn("blocks", F.ceil(F.col("size") / block_size).cast("int")).withColumn("parts", F.ceil(F.col("rest") / block_size).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    at_home = dealt.select("key", "row", "label", "main", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("home"))
+    visits = dealt.where("not main").select("key", "row", "label", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(False).alias("home"))
+    signed = at_home.unionByName(visits).join(kept.select("row", "signature", "content"), "row")
 
     def run(t: pa.Table) -> pa.Table:
-        rows, labels = np.array(t["row"]), np.array(t["label"])
-        main, block = np.array(t["main"]), np.array(t["i"])
-        low, high = t["low"][0].as_py(), t["high"][0].as_py()
+        rows, labels, main, home = (np.array(t[c]) for c in ("row", "label", "main", "home"))
         signatures, contents = t["signature"].to_pylist(), t["content"].to_pylist()
         out: list[tuple[int, int]] = []
-        for i in np.flatnonzero(~main):
-            others = (labels != labels[i]) & ((block != block[i]) | (low == high)) & (main | (rows > rows[i]))
-            at = np.flatnonzero(others)
+        for i in np.flatnonzero(~home):
+            # two rest rows meet in the block of the smaller one
+            at = np.flatnonzero(home & (labels != labels[i]) & (main | (rows < rows[i])))
             agree = agreement(signatures, int(i), at)
             at = at[np.argsort(-agree, kind="stable")][: int((agree >= 0).sum())]
             linked: set[int] = set()
@@ -68,28 +67,42 @@ def _cross_links(members: DataFrame, kept: DataFrame, agreement: Agreement, alik
         trim()
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return signed.groupBy("key", "low", "high").applyInArrow(run, "a long, b long")
+    return signed.groupBy("key", "block", "part").applyInArrow(run, "a long, b long")
 
 
-def linked_labels(keys: DataFrame, kept: DataFrame, agreement: Agreement, alike: Alike, block_size: int = BLOCK) -> DataFrame:
+def linked_labels(keys: DataFrame, kept: DataFrame, agreement: Agreement, alike: Alike, block_size: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """(node, label) of every row that is linked to another one; the label is the smallest linked row.
 
-    ``keys``: (key, row); ``kept``: (row, signature, content), one row each. ``agreement`` is negative for
-    pairs that need no check. All three steps are stored tables."""
+    ``keys``: (key, row); ``kept``: (row, signature, content), one row each; ``known``: links (a, b), a > b, that
+    need no check. ``agreement`` is negative for pairs that need no check. All steps are stored tables."""
     keys = saved(keys, "band-keys")
-    ends = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.max("row").alias("high")).where("size > 1")
+    ends = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("row").alias("low"), F.max("row").alias("high"), F.bit_xor(F.xxhash64("row")).alias("members"))
+    # keys with the same rows are met once
+    ends = ends.where("size > 1").groupBy("size", "low", "high", "members").agg(F.min("key").alias("key")).drop("members")
     buckets = saved(keys.join(saved(ends, "band-ends"), "key"), "buckets")
     met = F.explode(F.array_distinct(F.array("low", "high"))).alias("other")
     pairs = buckets.select("row", met).where("row <> other").select(F.greatest("row", "other").alias("a"), F.least("row", "other").alias("b"))
-    links = saved(checked(saved(pairs.distinct(), "star-pairs"), kept, alike), "star-links")
+    pairs = pairs.distinct() if known is None else pairs.distinct().join(known, ["a", "b"], "left_anti")
+    pairs = saved(pairs, "star-pairs")
+    links = saved(checked(pairs, kept, alike), "star-links")
+    if known is not None:
+        links = links.unionByName(known)
 
-    # buckets of up to three rows have met in full; larger ones of several components meet now
+    # buckets of up to three rows have met in full; larger ones meet where a row is still apart from the smallest
     labels = saved(components(links), "labels")
-    large = buckets.where("size > 3").select("key", "row", "size").join(labels, F.col("row") == F.col("node"), "left")
-    large = saved(large.select("key", "row", "size", F.coalesce("label", "row").alias("label")), "large-buckets")
-    shares = large.groupBy("key", "label").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.col("n")).alias("chief")).where("labels > 1")
-    crossing = large.join(saved(mixed, "mixed-buckets"), "key").select("key", "row", "label", "size", (F.col("label") == F.col("chief")).alias("main"))
+    label_of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    apart = pairs.join(links, ["a", "b"], "left_anti").join(label_of("a"), "a", "left").join(label_of("b"), "b", "left")
+    apart = saved(apart.where("coalesce(a_label, a) <> coalesce(b_label, b)").select("a", "b"), "apart")
+    if apart.isEmpty():
+        return labels
+    large = buckets.where("size > 3")
+    starred = large.where("row <> low").select("key", F.col("row").alias("a"), F.col("low").alias("b"))
+    mixed = saved(starred.join(apart, ["a", "b"], "left_semi").select("key").distinct(), "mixed-buckets")
+    inside = large.join(mixed, "key", "left_semi").join(labels, F.col("row") == F.col("node"), "left")
+    inside = saved(inside.select("key", "row", "size", F.coalesce("label", "row").alias("label")), "large-buckets")
+    shares = inside.groupBy("key", "label").agg(F.count("*").alias("n"))
+    chiefs = saved(shares.groupBy("key").agg(F.max_by("label", F.col("n")).alias("chief"), F.max("n").alias("n")), "chief-components")
+    crossing = inside.join(chiefs, "key").select("key", "row", "label", "size", (F.col("label") == F.col("chief")).alias("main"), (F.col("size") - F.col("n")).alias("rest"))
     more = saved(_cross_links(crossing, kept, agreement, alike, block_size).distinct(), "cross-links")
     if more.isEmpty():
         return labels

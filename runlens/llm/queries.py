@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .backoff import backoff_scores
 from .common import table
 from .edit_fingerprints import edits_and_classes
+from .jaccard import jaccard_components
 from .merkle import build_manifest, digest_of, proofs, verified
 from .minhash import near_duplicate_classes
 from .mixing import OTHER, mix
@@ -293,3 +294,27 @@ def _(spark, sf_dir):
     found = verified(proofs(build_manifest(rows)))
     names = {"leaf": "leaf", "subroot": "subroot", "root": "root", "proof_digest": "proof_sha256", "folded": "folded_root"}
     return found.select(F.col("key").alias("doc_id"), *[F.lower(F.hex(c)).alias(name) for c, name in names.items()], "verified")
+
+
+@query("op12_jaccard_components", """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), sets AS (
+  SELECT k, doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END) AS s FROM d
+), whole AS (SELECT min(k) AS k, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+one AS (SELECT k, len(s) AS n, unnest(s) AS w FROM whole),
+links AS (
+  SELECT a.k AS a, b.k AS b FROM one a JOIN one b ON a.w = b.w AND a.k < b.k AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.k, b.k HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(a, b) AS (SELECT k, k FROM whole UNION SELECT r.a, w.b FROM reached r JOIN both_ways w ON w.a = r.b),
+labels AS (SELECT a AS k, min(b) AS label FROM reached GROUP BY a),
+named AS (
+  SELECT sets.k, doc_id, len(sets.s) AS n, coalesce(label, sets.k) AS label FROM sets LEFT JOIN whole ON list_sort(sets.s) = whole.s LEFT JOIN labels ON labels.k = whole.k
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(doc_id) OVER (PARTITION BY label, CASE WHEN n = 0 THEN k END) AS component_id FROM named
+""")
+def _(spark, sf_dir):
+    return jaccard_components(table(spark, sf_dir, "documents"))
