@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from runlens.session import work_dir
 
-from .common import bucket_of, range_bounds, saved, shuffle_partitions, slices, trimmed
+from .common import range_bounds, saved, shuffle_partitions, slices, trimmed
 from .tokens import encoder
 
 MAGIC = b"RLTK"
@@ -102,8 +102,9 @@ def decode_chunk(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, in
     return np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<i8"), ranks, start
 
 
-def _packed(vocabulary: str, end_id: int):
-    """Texts to ids; the documents of one bucket in a slice become one packed row."""
+def _packed(vocabulary: str, end_id: int, bounds: list[int]):
+    """Texts to ids; the documents of one bucket (range of doc_ids between ``bounds``) in a slice become one packed row."""
+    cuts = np.array(bounds, dtype=np.int64)
     schema = pa.schema([("bucket", pa.int32()), ("first", pa.int64()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +113,7 @@ def _packed(vocabulary: str, end_id: int):
             for part in slices(batch, "text"):
                 ids = [b + end for b in encode.batch(part.column("text").to_pylist())]
                 docs = np.array(pa.compute.fill_null(part.column("doc_id").cast(pa.int64()), NULL_ID))
-                buckets = np.array(part.column("bucket"))
+                buckets = np.searchsorted(cuts, docs, side="right")
                 rows = []
                 for bucket in np.unique(buckets):
                     own = np.flatnonzero(buckets == bucket)
@@ -144,7 +145,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed rows of a bucket to chunks of documents in order.
 
     A partition holds whole buckets; one bucket is a bounded share of the corpus and is gathered."""
-    schema = pa.schema([("bucket", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("packed", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("packed", pa.binary()), ("counts", pa.binary())])
 
     def flush(bucket: int, rows: list[bytes]) -> Iterator[pa.RecordBatch]:
         docs, sizes, flats = zip(*map(unpack, rows))
@@ -169,7 +170,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def chunk(bucket, start, own, docs, sizes, flats, block, begins) -> pa.RecordBatch:
         flat = np.concatenate([flats[block[i]][begins[i] : begins[i] + sizes[i]] for i in own])
-        row = [[bucket], [start], [len(flat)], [pack(docs[own], sizes[own], flat)]]
+        counts = np.bincount(flat)
+        found = np.flatnonzero(counts)
+        row = [[bucket], [start], [len(flat)], [pack(docs[own], sizes[own], flat)], [np.stack([found, counts[found]]).astype("<i8").tobytes()]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, schema.types)], schema=schema)
 
     now, rows = None, []
@@ -185,14 +188,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of ids: at most one row for each id and task."""
+    """Sums of the chunks' counts of ids: at most one row for each id and task."""
     counts = np.zeros(0, np.int64)
     for batch in batches:
-        for packed in batch.column("packed"):
-            own = np.bincount(unpack(packed.as_py())[2])
-            if len(own) > len(counts):
-                own, counts = counts, own
-            counts[: len(own)] += own
+        for packed in batch.column("counts"):
+            ids, own = np.frombuffer(packed.as_py(), "<i8").reshape(2, -1)
+            if len(ids) and ids[-1] >= len(counts):
+                counts = np.append(counts, np.zeros(ids[-1] + 1 - len(counts), np.int64))
+            counts[ids] += own
     found = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["id", "n"])
 
@@ -209,11 +212,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0) -> tuple[str
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = shuffle_partitions(spark)
     bounds = range_bounds(docs, "doc_id", parts)
-    rows = docs.withColumn("bucket", bucket_of("doc_id", bounds)).mapInArrow(trimmed(_packed(vocabulary, end_id)), "bucket int, first long, packed binary")
+    rows = docs.mapInArrow(trimmed(_packed(vocabulary, end_id, bounds)), "bucket int, first long, packed binary")
     rows = rows.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "first")
-    chunks = saved(rows.mapInArrow(trimmed(_chunks), "bucket int, start long, n_ids long, packed binary"), "token-chunks")
+    chunks = saved(rows.mapInArrow(trimmed(_chunks), "bucket int, start long, n_ids long, packed binary, counts binary"), "token-chunks")
 
-    counts = chunks.mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = chunks.select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     # as many rows as the vocabulary at most
     found = sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))
     ranked = np.array([r["id"] for r in found], dtype=np.int64)
@@ -235,7 +238,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0) -> tuple[str
 
     folder, ranks = work_dir(spark, "token-files"), work_dir(spark, "token-ranks")
     # the text writer puts out the bytes as they are; one chunk a file
-    files_out = chunks.mapInArrow(trimmed(files), "content binary").select(F.col("content").cast("string").alias("value"))
+    files_out = chunks.drop("counts").mapInArrow(trimmed(files), "content binary").select(F.col("content").cast("string").alias("value"))
     files_out.write.option("maxRecordsPerFile", 1).text(folder)
     table = pa.table({"rank": np.arange(len(ranked), dtype=np.int64), "id": ranked})
     spark.createDataFrame(table).coalesce(1).write.parquet(ranks)
