@@ -59,14 +59,14 @@ ADAPTERS: dict[str, tuple[str, list[str], str | None]] = {
     "roles": ("region", [
         "CAST(r_regionkey + 1 AS INT) AS roleId",
         "CASE r_regionkey WHEN 0 THEN 'System Administrator' WHEN 1 THEN 'Manager' ELSE 'Employee' END AS role",
-    ], "r_regionkey < 3"),
+    ], None),
     "logins": ("events", [
         "event_id AS id", "user_id AS userId",
         "'{\"role\":\"' || CAST(user_id % 3 + 1 AS STR) || '\",\"name\":\"U' || CAST(user_id AS STR) || '\"}' AS sessionData",
         "CASE event_id % 4 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(AGENTS[:3]))
         + f" ELSE '{AGENTS[3]}' END AS agentString",
         "ts AS createdDtm",
-    ], "event_type IN ('signup', 'click')"),
+    ], None),
     "ctx": ("part", [
         "p_partkey AS Id", "p_size % 5 AS ProjectDetailsFK",
         "p_brand || '-' || CAST(p_size AS STR) AS ContextKey", "p_type AS ContextValue",
@@ -80,7 +80,7 @@ ADAPTERS: dict[str, tuple[str, list[str], str | None]] = {
         "n_nationkey AS Id",
         "CASE n_nationkey WHEN 0 THEN 'LOCAL' WHEN 1 THEN 'DEV' WHEN 2 THEN 'QA' WHEN 3 THEN 'UAT' WHEN 4 THEN 'PREPROD' ELSE 'PROD' END AS Environment",
         "CAST(n_nationkey <> 2 AS INT) AS IsActive",
-    ], "n_nationkey < 6"),
+    ], None),
     "reports": ("supplier", [
         "s_suppkey AS id", "s_name AS name", "CASE WHEN s_nationkey % 2 = 0 THEN 'dash' ELSE 'page' END AS type",
         "CASE WHEN s_suppkey % 10 = 3 THEN '*' WHEN s_suppkey % 10 = 4 THEN 'Customer#000000001,Customer#000000002' ELSE 'All Users from group' END AS users",
@@ -107,7 +107,7 @@ ADAPTERS: dict[str, tuple[str, list[str], str | None]] = {
         "'SMTP' || CAST(n_nationkey AS STR) AS name", "'mail' || CAST(n_nationkey AS STR) || '.example.com' AS smtp_host",
         "25 + n_nationkey AS smtp_port", "'u' || CAST(n_nationkey AS STR) AS username", "'x' AS password",
         "CAST(n_nationkey % 2 AS INT) AS ssl",
-    ], "n_nationkey < 6"),
+    ], None),
     "job_info": ("part", [
         "p_partkey AS id", "'JOB_' || CAST(p_size AS STR) AS job_name",
         "CASE p_partkey % 5 WHEN 0 THEN 'tFileInputExcel_' WHEN 1 THEN 'tFileInputDelimited_' WHEN 2 THEN 'tFileInputJSON_' WHEN 3 THEN 'tFileInputXML_' ELSE 'tOther_' END || CAST(p_partkey AS STR) AS job_component",

@@ -7,7 +7,8 @@ from runlens.operators import builds as b
 from runlens.operators import context, paging
 from runlens.operators.agents import last_login
 from runlens.operators.predicates import LAYER_PATTERNS
-from runlens.plans import trends
+from runlens.plans import rollup, trends
+from runlens.session import work_dir
 
 from .registry import check
 
@@ -334,6 +335,16 @@ def _(t):
     return trends.dashboard(spread(t), AS_OF)
 
 
+# the roll-up begins without a third of the runs; then only the days that get runs or lose some are counted again
+@check("D1_dashboard_rollup", DASHBOARD_SQL, ctes=OLD_RUNS_CTE)
+def _(t):
+    path, runs = work_dir(t.spark, "day-rollup"), spread(t)
+    before = runs.where("id % 3 <> 0").withColumn("status", F.when(F.col("id") % 5 == 0, "running").otherwise(F.col("status")))
+    rollup.build(before, path)
+    rollup.refresh(runs, path, rollup.changed_days(before.where("id % 5 = 0"), runs.where("id % 3 = 0 or id % 5 = 0")))
+    return rollup.dashboard(t.spark.read.parquet(path), runs, AS_OF)
+
+
 @check("D1_growth_from_bundle", GROWTH_SQL, ctes=OLD_RUNS_CTE + ", counts AS (" + WINDOW_SQL.format(table="spread", end=_END) + ")")
 def _(t):
     return trends.growth_of(trends.series(trends.dashboard(spread(t), AS_OF), "window"))
@@ -441,6 +452,27 @@ def _(t):
     return paging.page_with_total(rows, [("userId", "desc")], offset=10)
 
 
+# a page in the depth of the log, found by counts of ranges
+@check("O4_deep_page", """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber
+LIMIT 50 OFFSET (SELECT CAST(count(*) * 3 / 4 AS BIGINT) FROM lineitem)
+""")
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice")
+    offset = int(rows.count() * 3 / 4 + 0.5)
+    return paging.page(rows, [("l_extendedprice", "desc"), ("l_orderkey", "asc"), ("l_linenumber", "asc")], 50, offset)
+
+
+# the first column has three values only, so the ranges go on with the second
+@check("O5_deep_total", """
+SELECT l_returnflag, l_orderkey, l_linenumber, (SELECT count(*) FROM lineitem) AS total FROM lineitem
+ORDER BY l_returnflag, l_orderkey, l_linenumber LIMIT 20 OFFSET 12000
+""")
+def _(t):
+    rows = t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber")
+    return paging.page_with_total(rows, [("l_returnflag", "asc"), ("l_orderkey", "asc"), ("l_linenumber", "asc")], 20, 12_000)
+
+
 @check("O6_grid", """
 SELECT p_partkey, p_name, p_brand FROM part
 WHERE contains(lower(concat_ws('  ', CAST(p_partkey AS VARCHAR), p_name, p_brand)), 'ring')

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from runlens.operators import access, context, joins, tree
 from runlens.operators.aggregates import month_labels
+from runlens.session import work_dir
 
 from .registry import check
 from .tables_checks import CONTEXT_SQL
@@ -119,9 +120,7 @@ SELECT r.id, r.name FROM reports r WHERE upper(r.groups) IN (
   SELECT upper(g.name) FROM users u JOIN user_groups g ON u.groupId = g.id)
 """)
 def _(t):
-    members = access.user_groups(t.users, t.user_groups).select(F.upper("group").alias("_g")).distinct()
-    r = t.reports
-    return r.join(members, F.upper(r["groups"]) == F.col("_g"), "left_semi").select("id", "name")
+    return access.all_group_reports(t.reports, t.users, t.user_groups).select("id", "name")
 
 
 for _how, _sql in {"right": "RIGHT", "full": "FULL", "left": "LEFT", "inner": "INNER"}.items():
@@ -174,6 +173,32 @@ def _(t):
     return tree.descendants(t.tree, 1)
 
 
+def stored_labels(t):
+    path = work_dir(t.spark, "tree-labels")
+    tree.store_labels(tree.label_tree(t.tree), path)
+    return t.spark.read.parquet(path)
+
+
+# the subtree as one range of stored interval labels
+@check("J14_descendants_labels", "SELECT id, parent_id, name, depth, path FROM walk", recursive=True, ctes="""
+walk AS (SELECT id, parent_id, name, 0 AS depth, name AS path FROM tree WHERE id = 3 UNION ALL
+  SELECT t.id, t.parent_id, t.name, w.depth + 1, w.path || '/' || t.name FROM tree t JOIN walk w ON t.parent_id = w.id)
+""")
+def _(t):
+    return tree.labelled_descendants(stored_labels(t), 3)
+
+
+@check("V6_search_labels", """
+SELECT t.id, t.name, d.path || '/' || t.name AS path FROM tree t JOIN dirs d ON t.parent_id = d.id
+WHERE contains(upper(t.name), 'RING') AND t.id <> 1
+""", recursive=True, ctes="""
+dirs AS (SELECT id, name AS path FROM tree WHERE id = 1 UNION ALL
+  SELECT t.id, w.path || '/' || t.name FROM tree t JOIN dirs w ON t.parent_id = w.id WHERE t.mime = 'directory')
+""")
+def _(t):
+    return tree.search_tree(t.tree, 1, "ring", labels=stored_labels(t)).select("id", "name", "path")
+
+
 @check("J14_ancestors", "SELECT id, ancestor_id, depth FROM walk", recursive=True, ctes="""
 walk AS (SELECT t.id, t.parent_id AS ancestor_id, 1 AS depth FROM tree t WHERE t.parent_id IN (SELECT id FROM tree) UNION ALL
   SELECT w.id, t.parent_id, w.depth + 1 FROM walk w JOIN tree t ON t.id = w.ancestor_id WHERE t.parent_id IN (SELECT id FROM tree))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from runlens.functions import labels
+from runlens.operators import postings
 from runlens.operators import predicates as p
 from runlens.operators import projections as pr
 from runlens.operators.context import context_view
@@ -390,6 +391,24 @@ def _(t):
     return p.search_users(t.users, "99_@").select("userId", "email")
 
 
+# by trigram postings of every part's texts; one partition is replaced after a change
+@check("F11_search_postings", "SELECT p_partkey, p_name FROM part WHERE upper(p_name) LIKE '%RING%' OR upper(p_brand) LIKE '%RING%'")
+def _(t):
+    path, rows = work_dir(t.spark, "part-postings"), t.part.withColumn("part_no", F.col("p_partkey") % 4)
+    postings.store(rows.withColumn("p_name", F.when(F.col("part_no") == 1, "no name").otherwise(F.col("p_name"))), "p_partkey", ["p_name", "p_brand"], "part_no", path)
+    postings.store(rows.where("part_no = 1"), "p_partkey", ["p_name", "p_brand"], "part_no", path)
+    return postings.search(rows, t.spark.read.parquet(path), "p_partkey", ["p_name", "p_brand"], "ring").select("p_partkey", "p_name")
+
+
+@check("F15_search_postings", """
+SELECT userId, email FROM users WHERE upper(email) LIKE '%R#%99_@EXA%' OR upper(name) LIKE '%R#%99_@EXA%' OR upper(mobile) LIKE '%R#%99_@EXA%'
+""")
+def _(t):
+    path, columns = work_dir(t.spark, "user-postings"), ["email", "name", "mobile"]
+    postings.store(t.users, "userId", columns, "roleId", path)
+    return postings.search(t.users, t.spark.read.parquet(path), "userId", columns, "r#%99_@exa").select("userId", "email")
+
+
 @check("F16_active", "SELECT userId, name FROM users WHERE isDeleted = 0")
 def _(t):
     return p.active(t.users).select("userId", "name")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import split_list
-from .aggregates import distinct_rows
+from .aggregates import distinct_rows, group_count
 from .skew import join_on_unique
 
 # Texts stored when no user or no group was chosen.
@@ -27,20 +27,29 @@ def user_groups(users: DataFrame, groups: DataFrame, user: str | None = None) ->
     """Distinct (user name, group name) pairs."""
     named = groups.select(F.col("id").alias("groupId"), F.col("name").alias("group"))
     who = users if user is None else users.where(F.upper("name") == user.upper())
-    return who.join(named, "groupId").select(F.col("name").alias("user"), "group").distinct()
+    return distinct_rows(who.join(named, "groupId").select(F.col("name").alias("user"), "group"), ["user", "group"])
 
 
 def reports_for_user(reports: DataFrame, users: DataFrame, groups: DataFrame, user: str) -> DataFrame:
     """Reports whose group text equals a group of the user, as a semi join."""
-    mine = user_groups(users, groups, user).select(F.upper("group").alias("_g")).distinct()
-    return reports.join(mine, F.upper(reports["groups"]) == F.col("_g"), "left_semi")
+    return _in_groups(reports, user_groups(users, groups, user))
+
+
+def all_group_reports(reports: DataFrame, users: DataFrame, groups: DataFrame) -> DataFrame:
+    """Reports whose group text equals a group that has any user."""
+    return _in_groups(reports, user_groups(users, groups))
+
+
+def _in_groups(reports: DataFrame, members: DataFrame) -> DataFrame:
+    names = members.select(F.upper("group").alias("_g")).distinct()
+    return join_on_unique(reports.withColumn("_g", F.upper("groups")), names, ["_g"], "left_semi").select(*reports.columns)
 
 
 def _own_reports(reports: DataFrame, users: DataFrame, groups: DataFrame, user: str) -> DataFrame:
     names = F.transform(split_list(F.col("groups")), lambda g: F.upper(F.trim(g)))
     listed = reports.withColumn("_g", F.explode(names))
     mine = user_groups(users, groups, user).select(F.upper("group").alias("_g")).distinct()
-    by_group = listed.join(mine, "_g", "left_semi").select("name", "type")
+    by_group = join_on_unique(listed, mine, ["_g"], "left_semi").select("name", "type")
     own_name = F.exists(split_list(F.col("users")), lambda u: F.upper(F.trim(u)) == user.upper())
     return by_group.union(reports.where(own_name).select("name", "type"))
 
@@ -91,7 +100,7 @@ def report_access(
     out = join_on_unique(listed, members, ["audience"], "inner").select(
         "report_id", "report", F.lit("group").alias("kind"), "audience", "n_users"
     )
-    everybody = users.select("name").distinct().agg(F.count(F.lit(1))).scalar()
+    everybody = group_count(users, "name").scalar()
     public = reports.where(is_public()).select(
         F.col("id").alias("report_id"), F.col("name").alias("report"), F.lit("public").alias("kind"),
         F.lit("*").alias("audience"), everybody.alias("n_users"),

@@ -204,12 +204,20 @@ def status_percent(runs: DataFrame, statuses: Sequence[str] = STATUSES) -> DataF
 # ---------------------------------------------------------------- general grouping
 
 
-def group_by(df: DataFrame, cols: Sequence[str | Column], aggs: Mapping[str, Column]) -> DataFrame:
-    return df.groupBy(*cols).agg(*[c.alias(k) for k, c in aggs.items()])
+def group_by(df: DataFrame, cols: Sequence[str | Column], aggs: Mapping[str, Column], exact: bool = False) -> DataFrame:
+    """Aggregates per group. Named text columns are grouped without regard to case and show their smallest
+    spelling, which sorts the rows of a task; with ``exact``, or for expressions, values are taken as they are."""
+    texts = [] if exact else [c for c in cols if isinstance(c, str) and df.schema[c].dataType.typeName() == "string"]
+    keys = [F.upper(c).alias(f"_{c}") if c in texts else c for c in cols] if texts else list(cols)
+    found = df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in texts], *[c.alias(k) for k, c in aggs.items()])
+    if not texts:
+        return found
+    shown = [c if isinstance(c, str) else found.columns[i] for i, c in enumerate(cols)]
+    return found.select(*shown, *aggs)
 
 
 def having(
-    df: DataFrame, cols: Sequence[str | Column], aggs: Mapping[str, Column], condition: Column
+    df: DataFrame, cols: Sequence[str | Column], aggs: Mapping[str, Column], condition: Column, exact: bool = False
 ) -> DataFrame:
     """Grouping with a condition on the aggregates; combine several with ``&`` or ``|``."""
-    return group_by(df, cols, aggs).where(condition)
+    return group_by(df, cols, aggs, exact).where(condition)

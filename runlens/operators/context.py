@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import same_text
+from ..functions.text import same_text, text_key
 from .aggregates import active_count
 from .projections import with_qualified_star
 
@@ -73,11 +73,12 @@ def context_matrix(
     ctx: DataFrame, env: DataFrame, proj: DataFrame, environments: list[str]
 ) -> DataFrame:
     """One row per key with a column per environment."""
-    resolved = resolve_context(ctx, env, proj)
-    return (
-        resolved.groupBy("context_key").pivot("Environment", environments)
+    resolved = resolve_context(ctx, env, proj).withColumn("_environment", F.upper("Environment"))
+    found = (
+        resolved.groupBy("context_key").pivot("_environment", [e.upper() for e in environments])
         .agg(F.first("context_value", ignorenulls=True))
     )
+    return found.toDF("context_key", *environments)
 
 
 def context_panel(ctx: DataFrame, env: DataFrame, proj: DataFrame) -> DataFrame:
@@ -89,7 +90,7 @@ def context_panel(ctx: DataFrame, env: DataFrame, proj: DataFrame) -> DataFrame:
     out = None
     for kind, (df, column) in parts.items():
         # rows per name first: one name with very many rows stays one group
-        names = df.groupBy(column).agg(F.count_if(F.col("IsActive") == 1).alias("n"))
+        names = df.groupBy(text_key(df, column).alias("name")).agg(F.count_if(F.col("IsActive") == 1).alias("n"))
         row = names.agg(
             F.count(F.lit(1)).alias("available"), F.coalesce(F.sum("n"), F.lit(0)).alias("active")
         ).select(F.lit(kind).alias("kind"), "available", "active")

@@ -160,9 +160,14 @@ def match_files(files: DataFrame, registry: DataFrame, keys: Sequence[str]) -> D
     """Delivered files against their registry entry.
 
     An entry with ``file`` = 1 requires exactly ``file_name`` + ``component_type``; with 2 any
-    name is accepted. A file without entry is rejected.
+    name is accepted. A file without entry is rejected. With several entries of one key (text without regard
+    to case) a file is accepted if one of them does, and the smallest ``file`` and ``required`` are shown.
     """
-    required = F.concat("file_name", "component_type").alias("required")
-    entry = registry.select(*keys, "file", F.when(F.col("file") == 1, required).alias("required"))
-    ok = (F.col("file") == 2) | (F.col("delivered") == F.col("required"))
-    return files.join(entry, list(keys), "left").withColumn("accepted", F.coalesce(ok, F.lit(False)))
+    required = F.when(F.col("file") == 1, F.concat("file_name", "component_type"))
+    entry = registry.withColumn("_required", required).groupBy(*[text_key(registry, k).alias(k) for k in keys]).agg(
+        F.min("file").alias("file"), F.min("_required").alias("required"), F.max(F.col("file") == 2).alias("_any"),
+        F.collect_set("_required").alias("_names"),
+    )
+    ok = F.col("_any") | F.array_contains("_names", F.col("delivered"))
+    matched = join_on_unique(files, entry, keys, "left")
+    return matched.withColumn("accepted", F.coalesce(ok, F.lit(False))).drop("_any", "_names")

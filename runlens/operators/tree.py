@@ -59,30 +59,80 @@ def descendants(tree: DataFrame, root: int, directories_only: bool = False) -> D
 
 
 def ancestors(tree: DataFrame, ids: int | DataFrame) -> DataFrame:
-    """The chain of parents of one id or of a table of ids: (id, ancestor_id, depth).
+    """The chain of parents of one id or of a table of ids: (id, ancestor_id, depth), each ancestor once.
 
-    One row for each id and ancestor: for all ids of a table that is rows times depth."""
-    rows = tree.select("id", "parent_id")
+    Links double their reach: round k holds the ancestor 2**k levels up of every row, and all chains of up to
+    2**k levels grow to twice that. A chain of n levels takes log2(n) rounds, and a cycle ends when a
+    round brings nothing new. One row for each id and ancestor: for all ids that is rows times depth."""
+    rows = cut(tree.select("id", "parent_id"))
     wanted = ids.toDF("id") if isinstance(ids, DataFrame) else rows.where(F.col("id") == ids).select("id")
-    start = rows.join(wanted, "id").select(
-        "id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")
-    )
-    parents = rows.select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("_up"))
     # an id that is no row (above the root) ends the chain and is not an ancestor
-    start = start.join(parents.select("ancestor_id"), "ancestor_id", "left_semi").select("id", "ancestor_id", "depth")
-
-    def step(level: DataFrame, seen: DataFrame) -> DataFrame:
-        # many ids share few ancestors: the parent of each is looked up per distinct ancestor
-        ups = parents.join(level.select("ancestor_id").distinct(), "ancestor_id").where(
-            F.col("_up") != F.col("ancestor_id")
-        )
-        known = ups.join(rows.select(F.col("id").alias("_up")), "_up", "left_semi")
-        found = join_on_unique(level, known, ["ancestor_id"], "inner").select(
-            "id", F.col("_up").alias("ancestor_id"), (F.col("depth") + 1).alias("depth")
+    known = rows.join(rows.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+    found = cut(known.join(wanted, "id", "left_semi").select("id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("depth")))
+    jump = cut(known.where(F.col("parent_id") != F.col("id")).select("id", F.col("parent_id").alias("up")))
+    reach = 1
+    while True:
+        on = jump.select(F.col("id").alias("ancestor_id"), F.col("up"))
+        more = join_on_unique(found, on, ["ancestor_id"], "inner").select("id", F.col("up").alias("ancestor_id"), (F.col("depth") + reach).alias("depth"))
+        fresh = cut(more.join(found, ["id", "ancestor_id"], "left_anti").groupBy("id", "ancestor_id").agg(F.min("depth").alias("depth")))
+        if fresh.isEmpty():
+            return found
+        found = cut(found.unionByName(fresh))
+        twice = jump.select("id", F.col("up").alias("middle"))
+        steps = jump.select(F.col("id").alias("middle"), "up")
+        jump, reach = cut(join_on_unique(twice, steps, ["middle"], "inner").select("id", "up")), 2 * reach
+
+
+# ---------------------------------------------------------------- interval labels
+
+
+def label_tree(tree: DataFrame) -> DataFrame:
+    """Interval labels of every row below a root: (id, parent_id, name, mime, depth, path, low, high).
+
+    ``low`` is the chain of ids from the root down, 16 digits each, and ``high`` is what follows all that
+    begins with it: a row lies in the subtree of another one if its ``low`` is in the other's range
+    [low, high). Chains double their length each round, so a tree of n levels takes log2(n) rounds. A
+    root is a row whose parent is itself or no row. Rows on a cycle, or below one, have no root and no label."""
+    rows = cut(tree.select("id", "parent_id", "name", "mime"))
+    parents = rows.select(F.col("id").alias("parent_id")).distinct().withColumn("there", F.lit(True))
+    linked = join_on_unique(rows, parents, ["parent_id"], "left")
+    up = F.when((F.col("parent_id") != F.col("id")) & F.col("there"), F.col("parent_id")).alias("up")
+    now = cut(linked.select("id", up, F.lit(0).alias("depth"), F.col("name").alias("path"), F.lpad(F.hex("id"), 16, "0").alias("low")))
+    left = now.where("up is not null").count()
+    while left:
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("path").alias("p"), F.col("low").alias("l"))
+        grown = join_on_unique(now.where("up is not null"), above, ["up"], "inner").select(
+            "id", F.col("next").alias("up"), (F.col("depth") + F.col("d") + 1).alias("depth"), F.concat_ws("/", "p", "path").alias("path"), F.concat("l", "low").alias("low"),
         )
-        return found.join(seen.select("id", "ancestor_id"), ["id", "ancestor_id"], "left_anti")
-
-    return _walk(start, step)
+        now = cut(now.where("up is null").unionByName(grown))
+        before, left = left, now.where("up is not null").count()
+        if left == before:  # depths have no gaps: what is left has no root
+            break
+    named = rows.join(now.where("up is null").drop("up"), "id")
+    return named.select("id", "parent_id", "name", "mime", "depth", "path", "low", F.concat("low", F.lit("g")).alias("high"))  # g follows the digits
+
+
+def store_labels(labels: DataFrame, path: str) -> None:
+    """Write labels in the order of ``low``: a subtree lies in neighbouring files, and a range of ``low`` reads only those."""
+    labels.repartitionByRange("low").sortWithinPartitions("low").write.parquet(path)
+
+
+def labelled_descendants(labels: DataFrame, root: int, directories_only: bool = False) -> DataFrame:
+    """``descendants`` as one range of stored labels; the label of the root is read first (eager). A root without a
+    label has none."""
+    own = labels.where(F.col("id") == root).first()
+    if own is None:
+        return labels.limit(0).select("id", "parent_id", "name", "depth", "path")
+    inside = labels.where((F.col("low") >= own["low"]) & (F.col("low") < own["high"]))
+    if directories_only:
+        # a directory below a plain row is not reached by directories alone: none of its chain may be plain
+        plain = inside.where((F.col("mime") != "directory") & (F.col("id") != root)).select(F.col("low").alias("chain"))
+        rows = inside.where((F.col("mime") == "directory") | (F.col("id") == root))
+        chain = F.explode(F.transform(F.sequence(F.lit(len(own["low"]) // 16), (F.length("low") / 16).cast("int")), lambda n: F.substring("low", F.lit(1), n * 16)))
+        cut_off = rows.select("id", chain.alias("chain")).join(plain, "chain", "left_semi").select("id").distinct()
+        inside = rows.join(cut_off, "id", "left_anti")
+    start = len(own["path"]) - len(own["name"] or "") + 1
+    return inside.select("id", "parent_id", "name", (F.col("depth") - own["depth"]).alias("depth"), F.substring("path", start, 2**31 - 1).alias("path"))
 
 
 def children_with_flag(tree: DataFrame, parent: int | None = None) -> DataFrame:
@@ -100,17 +150,18 @@ def list_dir(tree: DataFrame, id: int) -> DataFrame:
 
 
 def search_tree(
-    tree: DataFrame, root: int | None = None, text: str = "", mimes: Sequence[str] = ()
+    tree: DataFrame, root: int | None = None, text: str = "", mimes: Sequence[str] = (), labels: DataFrame | None = None
 ) -> DataFrame:
     """Entries whose mime type (if given, else name) matches, below a directory or anywhere.
 
-    Below a directory each hit also gets its full path.
+    Below a directory each hit also gets its full path. With ``labels`` the directories are one range of them, without
+    they are found level by level.
     """
     test = mime_match(F.col("mime"), mimes) if mimes else like_contains(F.col("name"), text)
     hits = tree.where(test)
     if root is None:
         return hits
-    folders = descendants(tree, root, directories_only=True)
+    folders = descendants(tree, root, directories_only=True) if labels is None else labelled_descendants(labels, root, True)
     inside = folders.select(F.col("id").alias("parent_id"), F.col("path").alias("_p"))
     found = join_on_unique(hits.where(F.col("id") != root), inside, ["parent_id"], "inner")
     return found.withColumn("path", F.concat_ws("/", "_p", "name")).select(*tree.columns, "path")

@@ -14,6 +14,7 @@ Rule = str | tuple
 
 # Patterns of the format rules.
 NUMBER = r"^[-+]?[0-9]*\.?[0-9]+$"
+COMPARED = r"^[ \t\n\r\x0B\f]*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?[ \t\n\r\x0B\f]*\z"  # what comparisons take as a number
 PATTERNS = {
     "alpha": r"^[A-Za-z]+\z",
     "alpha_numeric": r"^[A-Za-z0-9]+\z",
@@ -60,7 +61,7 @@ def _emails(c: Column) -> Column:
 def _compare(op: str) -> Callable[[Column, object], Column]:
     def test(c: Column, bound: object) -> Column:
         # texts such as 5d, NaN or Infinity cast to a double but are no numbers here
-        n = F.when(c.rlike(NUMBER), c.try_cast("double"))
+        n = F.when(c.rlike(COMPARED), c.try_cast("double"))
         ok = {"<": n < bound, "<=": n <= bound, ">": n > bound, ">=": n >= bound}[op]
         return F.coalesce(ok, F.lit(False))
 

@@ -110,12 +110,19 @@ def dashboard(
     status × month), ``status``, ``job``, ``job_status``, ``layer`` (totals), ``layer_runs`` (per
     job or dimension) and ``all`` (total, with the last activity in ``date``).
     """
-    end = _as_of(runs, as_of)
-    small = runs.groupBy(
+    return bundle_of(_reduced(runs, _as_of(runs, as_of), windows), windows)
+
+
+def _reduced(runs: DataFrame, end: Column, windows: Sequence[int]) -> DataFrame:
+    """The log by (status, job, dimension, month m, shortest window): n runs and their last activity."""
+    return runs.groupBy(
         "status", "job_name", "dimension", F.month("last_activity").alias("m"),
         _shortest_window(windows, end).alias("shortest"),
     ).agg(F.count(F.lit(1)).alias("n"), F.max("last_activity").alias("date"))
 
+
+def bundle_of(small: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
+    """The series of ``dashboard`` from the reduced log."""
     label, known = F.upper("status"), F.upper("status").isin([s.upper() for s in STATUSES])
     none_s, none_i = F.lit(None).cast("string"), F.lit(None).cast("int")
 
