@@ -224,6 +224,14 @@ def _(t):
     return lifecycle.notifications(t.runs, chosen, t.email, t.smtp)
 
 
+def job_templates(t):
+    """Template of each job and outcome."""
+    return t.runs.select("job_name").distinct().select(
+        "job_name", F.concat(F.lit("T"), F.length("job_name").cast("string")).alias("on_success"),
+        F.when(F.col("job_name").startswith("STG"), "0").otherwise("T3").alias("on_failure"), F.lit("0").alias("on_abort"),
+    )
+
+
 # ---------------------------------------------------------------- streams over the event file
 
 
@@ -329,6 +337,29 @@ def _(t):
     return t.spark.read.parquet(f"{path}/runs").groupBy("status").agg(F.count(F.lit(1)).alias("amount"))
 
 
+@check("L7_mail_stream", """
+SELECT r.id * 2 AS id, r.job_name, o.outcome, m.name AS template,
+  m."to" || CASE WHEN m.cc <> '' THEN ', cc:' || replace(m.cc, ',', ', cc:') ELSE '' END AS recipients, s.smtp_host
+FROM (SELECT *, CASE upper(status) WHEN 'READY' THEN 'success' WHEN 'ERROR' THEN 'failure' END AS outcome FROM runs) r
+JOIN (SELECT job_name, outcome, template FROM (
+  SELECT DISTINCT job_name, 'T' || length(job_name) AS s, CASE WHEN job_name LIKE 'STG%' THEN '0' ELSE 'T3' END AS f FROM runs)
+  CROSS JOIN LATERAL (VALUES ('success', s), ('failure', f)) v(outcome, template) WHERE template <> '0') o
+  ON o.job_name = r.job_name AND o.outcome = r.outcome
+JOIN email m ON m.name = o.template JOIN smtp s ON s.name = m.smtp
+""")
+def _(t):
+    path = work_dir(t.spark, "mails")
+    write = run_state.mail_writer(path, job_templates(t), t.email, t.smtp)
+
+    def twice(batch, batch_id):
+        rows = cut(batch)
+        write(rows, batch_id)
+        write(rows, batch_id)  # a batch that runs again
+
+    live.start_available(run_state.run_changes(event_stream(t)), twice, work_dir(t.spark, "mails-state"), "update").awaitTermination()
+    return t.spark.read.parquet(path).select("id", "job_name", "outcome", "template", "recipients", "smtp_host")
+
+
 @check("L6_status_months", f"""
 SELECT CAST(date_trunc('month', last_activity) AS DATE) AS month, status, count(*) AS amount FROM ({FOLD_SQL}) GROUP BY 1, 2
 """)

@@ -1,5 +1,6 @@
 """Scans, sources, sinks, projections and filters."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from runlens.functions import labels
@@ -8,9 +9,10 @@ from runlens.operators import predicates as p
 from runlens.operators import projections as pr
 from runlens.operators.context import context_view
 from runlens.functions import text as tx
-from runlens.session import work_dir
+from runlens.session import work_dir, workers_find_package
 from runlens.sources import builds as build_source
-from runlens.sources import exports, registry, tables
+from runlens.sources import exports, registry, tables, workbooks
+from runlens.streaming import lifecycle as live
 
 from .adapters import DRIVER_TABLES
 from .registry import check
@@ -57,6 +59,26 @@ def _(t):
     return build_source.read_builds(t.spark, path)
 
 
+# fields that no schema names stay readable
+@check("S4_open_build_feed", """
+SELECT number, job || ' #' || CAST(number AS VARCHAR) AS "fullDisplayName", result, timestamp, duration, 'http://ci/' || CAST(number AS VARCHAR) AS url,
+  number * 2 AS "queueId", FALSE AS building, 'user' || CAST(number % 9 AS VARCHAR) AS "startedBy", CAST(number % 3 AS INT) AS commits FROM builds
+""")
+def _(t):
+    number = F.col("number")
+    name = F.concat("job", F.lit(" #"), number.cast("string")).alias("fullDisplayName")
+    cause = F.struct(F.concat(F.lit("user"), (number % 9).cast("string")).alias("userName"))
+    record = F.struct(
+        "number", name, "result", "timestamp", "duration", F.concat(F.lit("http://ci/"), number.cast("string")).alias("url"),
+        (number * 2).alias("queueId"), F.lit(False).alias("building"), F.array(F.struct(F.array(cause).alias("causes"))).alias("actions"),
+        F.struct((number % 3).alias("size")).alias("changeSet"),
+    )
+    docs = t.builds.groupBy("job", F.floor(number / 64).alias("page")).agg(F.collect_list(record).alias("builds"))
+    texts = docs.select(F.to_json(F.struct("builds")).alias("json"))
+    extra = {"startedBy": ("$.actions[0].causes[0].userName", "string"), "commits": ("$.changeSet.size", "int")}
+    return build_source.open_builds_from_text(texts, extra=extra).drop("record")
+
+
 @check("S5_input_format", """
 SELECT id, component_type AS found, '/data/in/' || file_name
   || CASE WHEN file = 1 THEN component_type ELSE '' END AS path FROM job_info
@@ -69,6 +91,31 @@ def _(t):
     )
 
 
+# suppliers in workbooks of a sheet per region, made by Spark and read back by the data source
+@check("S5_workbooks", """
+SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_name END AS s_name, s_acctbal, CAST(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(s_suppkey * 3601) AS TIMESTAMP) AS seen
+FROM supplier
+""")
+def _(t):
+    path = work_dir(t.spark, "workbooks")
+    workers_find_package(t.spark)
+    rows = t.supplier.select(
+        "s_suppkey", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_name")).alias("s_name"), "s_acctbal",
+        (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("s_suppkey") * 3601)).alias("seen"),
+        (F.col("s_suppkey") % 3).alias("book"), (F.col("s_nationkey") % 5).alias("sheet"),
+    )
+
+    def write(group):
+        sheets = {}
+        for r in group.to_pylist():
+            sheets.setdefault(f"region {r['sheet']}", [["key", "name", "balance", "seen"]]).append([r["s_suppkey"], r["s_name"], float(r["s_acctbal"]), r["seen"]])
+        return pa.table({"content": [workbooks.workbook_bytes(sheets)]})
+
+    books = rows.groupBy("book").applyInArrow(write, "content binary")
+    books.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return registry.read_input(t.spark, {"component_type": ".xlsx", "path": path}, "s_suppkey bigint, s_name string, s_acctbal double, seen timestamp_ntz")
+
+
 @check("S6_output_format", "SELECT id, component_type AS found, '/data/in/' || file_name || component_type AS path FROM job_info")
 def _(t):
     c = F.replace(F.col("job_component"), F.lit("Input"), F.lit("Output"))
@@ -122,6 +169,31 @@ def _(t):
     return registry.landing_counts(t.pages.select(F.col("url").alias("path")))
 
 
+# real files, counted once each as they land; the registry is raised by what has come
+@check("S11_file_stream", """
+SELECT i.id, i.job_name, i.file_uploaded + coalesce(n, 0) AS file_uploaded FROM job_info i
+LEFT JOIN (SELECT 'JOB_' || CAST(p_size AS VARCHAR) AS job_name, CAST(ceil(count(*) / 20.0) AS BIGINT) AS n FROM part WHERE p_size > 5 GROUP BY 1) f USING (job_name)
+""")
+def _(t):
+    folder, counts = work_dir(t.spark, "landing"), work_dir(t.spark, "landed")
+    files = t.part.where("p_size > 5").withColumn("job", F.concat(F.lit("JOB_"), F.col("p_size").cast("string")))
+    name = F.regexp_extract("path", "job=([^/]*)/", 1)
+    files.coalesce(1).write.option("maxRecordsPerFile", 20).partitionBy("job").csv(folder)
+    state = work_dir(t.spark, "landing-state")
+    for _ in range(2):  # the second run finds nothing new
+        stream = registry.file_stream(t.spark, folder, "*.csv", 40)
+        live.start_available(stream, registry.landing_writer(counts, name), state).awaitTermination()
+    return registry.registry_with_landed(t.job_info, registry.landed(t.spark, counts)).select("id", "job_name", "file_uploaded")
+
+
+@check("S12_columns", """
+SELECT table_name, CAST(ordinal_position - 1 AS INT) AS position, column_name AS name FROM information_schema.columns
+WHERE table_name IN ('orders', 'events', 'part', 'nation')
+""")
+def _(t):
+    return tables.describe_all(**{n: getattr(t, n) for n in ("orders", "events", "part", "nation")}).select("table_name", "position", "name")
+
+
 @check("S12_row_counts", " UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS amount FROM {n}"
     for n in DRIVER_TABLES

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -29,6 +31,14 @@ def build_session(app: str = "runlens", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def workers_find_package(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package wherever the driver was started; a cluster gets it
+    with ``--py-files``."""
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 

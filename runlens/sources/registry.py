@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_on_unique
+from ..streaming.lifecycle import batch_writer
+from .workbooks import read_workbooks
+
 # Component name part → file type, for inputs and outputs.
 FILE_TYPES = {"Excel": ".xlsx", "Delimited": ".csv", "JSON": ".json", "XML": ".xml"}
 NO_TYPE = "None"
@@ -46,7 +50,9 @@ def _reader_name(component_type: str) -> str:
 
 
 def read_input(spark: SparkSession, entry: Mapping[str, str], schema: str | None = None, **options: str) -> DataFrame:
-    """Read the file(s) of one registry entry. Excel files have no built-in reader."""
+    """Read the file(s) of one registry entry. Of a workbook, ``schema`` types the columns; option ``sheet`` takes one sheet."""
+    if entry["component_type"] == ".xlsx":
+        return read_workbooks(spark, entry["path"], schema, options.get("sheet"))
     kind = _reader_name(entry["component_type"])
     defaults = {"csv": {"header": "true"}, "json": {}, "xml": {"rowTag": "row"}}[kind]
     reader = spark.read.format(kind).options(**{**defaults, **options})
@@ -107,3 +113,37 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> DataF
     """Path, size and time of the files in a folder; their content is not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
     return files.select("path", "length", "modificationTime")
+
+
+def file_stream(spark: SparkSession, directory: str, pattern: str = "*", files_per_batch: int | None = None) -> DataFrame:
+    """Files of a folder and its subfolders as a stream, each one once: path, length, modificationTime. Their content is not read."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(directory).select("path", "length", "modificationTime")
+
+
+def landing_writer(path: str, name: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """Writer of delivered files per name and micro-batch; a batch that runs again replaces its counts. ``name``
+    is made from ``path``, the last part of it by default."""
+    own = batch_writer(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        named = batch.select((F.element_at(F.split("path", "/"), -1) if name is None else name).alias("file_name"))
+        own(named.groupBy("file_name").agg(F.count(F.lit(1)).alias("file_uploaded")), batch_id)
+
+    return write
+
+
+def landed(spark: SparkSession, path: str) -> DataFrame:
+    """Delivered files per name over all batches."""
+    return spark.read.parquet(path).groupBy("file_name").agg(F.sum("file_uploaded").alias("file_uploaded"))
+
+
+def registry_with_landed(registry: DataFrame, counts: DataFrame, key: str = "job_name") -> DataFrame:
+    """The registry with its ``file_uploaded`` raised by what has landed under its key. It starts from the stored
+    registry each time, so nothing is counted twice."""
+    found = counts.select(F.col("file_name").alias(key), F.col("file_uploaded").alias("_n"))
+    raised = join_on_unique(registry, found, [key], "left")
+    return raised.withColumn("file_uploaded", F.col("file_uploaded") + F.coalesce("_n", F.lit(0))).select(*registry.columns)

@@ -48,6 +48,13 @@ def describe(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, name string, type string, nullable boolean")
 
 
+def describe_all(**tables: DataFrame) -> DataFrame:
+    """``describe`` of several tables, with ``table_name``."""
+    rows = [(n, i, f.name, f.dataType.simpleString(), f.nullable) for n, df in tables.items() for i, f in enumerate(df.schema)]
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame(rows, "table_name string, position int, name string, type string, nullable boolean")
+
+
 def table_names(spark: SparkSession, database: str | None = None) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables(database))
 

@@ -27,10 +27,10 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..functions.text import text_key
 from ..operators.changes import replace_rows
-from ..operators.lifecycle import ERROR, ERROR_TEXT, ERROR_TYPE, READY, RUN_KEY, RUNNING, fold_runs
+from ..operators.lifecycle import ERROR, ERROR_TEXT, ERROR_TYPE, READY, RUN_KEY, RUNNING, fold_runs, notifications
 from ..operators.skew import join_on_unique
-from ..session import cut
-from .lifecycle import batch_writer, read_batches, read_table, upsert_writer
+from ..session import cut, workers_find_package
+from .lifecycle import absent_writer, batch_writer, read_batches, read_table, upsert_writer
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TEXTS = ["instance_id", "environment", "job_name", "event_text", "dimension"]
@@ -179,6 +179,7 @@ def change(what: str, row: dict[str, Any], **more: Any) -> Row:
 
 def run_changes(events: DataFrame, stuck_seconds: int = 3600, delay: str = "10 minutes", keep_minutes: int = 7 * 24 * 60) -> DataFrame:
     """Changes of run rows, stuck runs and late events (see ``CHANGES``) from a stream of events, output mode ``update``. Events without a time are left out."""
+    workers_find_package(events.sparkSession)
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     texts = [c for c in TEXTS if c not in RUN_KEY]
     keyed = events.where("ts is not null").withColumn("mark", F.col("ts")).withWatermark("mark", delay).select(
@@ -210,6 +211,19 @@ def tables_writer(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def mail_writer(path: str, job_templates: DataFrame, templates: DataFrame, smtp: DataFrame) -> Callable[[DataFrame, int], None]:
+    """Writer of the mails of runs as they end: one row for each run (begin_id) and outcome, however often a batch
+    runs or the run changes. The templates are static tables."""
+    absent = absent_writer(path, ["id", "outcome"], "begin_id")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        ended = batch.where((F.col("what") == "run") & (F.col("status") != RUNNING) & ~F.col("status").eqNullSafe(F.col("was")))
+        mails = notifications(ended.withColumn("id", F.col("begin_id")), job_templates, templates, smtp)
+        absent(mails.withColumn("begin_id", F.col("id")), batch_id)
+
+    return write
+
+
 def current_runs(spark: SparkSession, path: str) -> DataFrame:
     """The run rows, in the columns of ``fold_runs`` and ``begin_id``."""
     kinds = dict(f.split() for f in CHANGES.split(", "))
