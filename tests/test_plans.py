@@ -58,7 +58,7 @@ def test_time_ranges_reach_the_scan(stored_runs, tables):
 
 
 EAGER = ("J14", "V5", "V6_search_below", "L1_begin_stream", "L2_fold", "L3_error_stream",
-         "L4_stuck_stream", "L4_stuck_late", "L4_silent_stream", "L5", "L6", "L8", "S", "F1_filter_stored")
+         "L4_stuck_stream", "L4_stuck_late", "L4_silent_stream", "L5", "L6", "L7_mail", "L8", "S", "F1_filter_stored")
 
 
 @pytest.mark.parametrize("key", [k for k in entry.QUERIES if not k.startswith(EAGER)])
