@@ -53,6 +53,16 @@ def saved_by(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table_name)
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Helper names that no column has, without regard to case."""
+    held, out = {c.lower() for c in taken}, []
+    for name in names:
+        while f"_{name}".lower() in held:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .banding import linked_labels, named_classes
-from .common import prepare, saved, slices, trimmed
+from .common import prepare, saved, slices, trimmed, unused
 from .words import mix, ngrams, word_hashes
 
 SHINGLE = 5
@@ -211,15 +211,17 @@ def near_duplicate_classes(docs: DataFrame, least: float = SIMILARITY, bands: in
 
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One row of each class of ``near_duplicate_classes``, with all its columns: that of the smallest
-    doc_id (null comes last), and among rows with this doc_id that of the smallest text hash."""
+    doc_id (null comes last), and among rows with this doc_id that of the smallest text hash. An empty table
+    stays empty, and no column name clashes."""
     rows = saved(near_duplicate_classes(docs, least), "classes-of-rows")
     # null ids last, by a number beyond every other
     rows = rows.withColumn("_id", F.coalesce("doc_id", F.lit(2**63 - 1)))
     first = saved(rows.groupBy("label").agg(F.min("_id").alias("_id")), "first-ids")
     named = rows.join(first, ["label", "_id"], "left_semi").groupBy("label", "_id").agg(F.min("text_key").alias("_key"))
     kept = saved(named.select("_id", "_key").distinct(), "kept-rows")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_key": F.xxhash64("text")})
-    left = keyed.join(kept, ["_id", "_key"], "left_semi")
+    id_, key = unused(docs.columns, "id", "key")
+    keyed = docs.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), key: F.xxhash64("text")})
+    left = keyed.join(kept.toDF(id_, key), [id_, key], "left_semi")
     if rows.groupBy("_id", "text_key").count().where("count > 1").isEmpty():
         return left.select(*docs.columns)
-    return left.dropDuplicates(["_id", "_key"]).select(*docs.columns)  # the same document more than once
+    return left.dropDuplicates([id_, key]).select(*docs.columns)  # the same document more than once

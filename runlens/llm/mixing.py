@@ -1,8 +1,9 @@
 """Mixing documents to target weights by iterative proportional fitting.
 
-Tokens are counted in cells of (source, language, topic); categories without a target of their own
-share one. So the number of cells is bounded by the targets the caller gives, never by the data: the
-cells reach the driver and are raked to the three marginals in turn. The fitted weight of its cell is
+Tokens are counted in cells of (source, language, topic). An axis has either targets by category, and
+categories without one of their own share one, or a power: then every category found is a cell of its
+own and its target is its tokens to that power (1: as they are, 0: all equal). More than MAX_CELLS cells are
+refused. The cells reach the driver and are raked to the three marginals in turn. The fitted weight of its cell is
 a document's probability, found by a join with the small table of cells, and a hash of its id draws it.
 """
 
@@ -14,8 +15,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 OTHER = "(other)"  # every category without a target of its own, and null
-MAX_CELLS = 100_000  # cells of a set of targets; more are refused, so the table of cells may be broadcast
+MAX_CELLS = 100_000  # cells with rows; more are refused, so the table of cells may be broadcast
 ROUNDS = 200
 CLOSE = 1e-12  # largest relative error of a marginal at which raking ends
 LARGEST = 1e6  # bound of a weight, for targets that can't be reached
@@ -26,7 +29,13 @@ def token_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[ \t\r\n]+"), lambda w: w != "")).cast("long")
 
 
-def category(column: Column, targets: Mapping[str, float]) -> Column:
+#: Shares by category, or the power of a category's own tokens.
+Targets = Mapping[str, float] | float
+
+
+def category(column: Column, targets: Targets) -> Column:
+    if not isinstance(targets, Mapping):
+        return F.coalesce(column, F.lit(OTHER))
     named = [k for k in targets if k != OTHER]
     return F.when(column.isin(named), column).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
 
@@ -68,31 +77,36 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]], topic: Column, keep: float = 0.5, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, Targets], topic: Column, keep: float = 0.5, seed: str = "mix") -> DataFrame:
     """``docs`` (doc_id, text, lang, source) with ``tokens``, ``weight``, ``probability`` and ``selected``.
 
-    ``targets`` has shares by category for ``source``, ``lang`` and ``topic``; shares of an axis are
-    scaled to one. The selected documents are expected to have ``keep`` of all tokens with these
+    ``targets`` has shares by category, or a power, for ``source``, ``lang`` and ``topic``; shares of an axis are
+    scaled to one. A weight is at most LARGEST, which only those of unreachable targets are. The selected documents are expected to have ``keep`` of all tokens with these
     marginals, as far as there are enough (see ``rake``). Documents without tokens take the
     probability of their cell, and ``keep`` where it has no tokens at all. Nulls count as other;
     repeated rows are drawn alike, since the id decides; an empty table gives no rows. Columns of
     ``docs`` with the four new names are replaced."""
     axes = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
-    names = {a: sorted({*targets[a], OTHER}) for a in axes}
-    if np.prod([len(n) for n in names.values()]) > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells of targets")
     keyed = docs.select(*[category(c, targets[a]).alias(a) for a, c in axes.items()], token_count(F.col("text")).alias("tokens"))
-    counted = keyed.groupBy(*axes).agg(F.sum("tokens").alias("tokens")).collect()  # at most the cells of the targets
-    cells = np.zeros([len(n) for n in names.values()])
+    counted = keyed.groupBy(*axes).agg(F.sum("tokens").alias("tokens")).limit(MAX_CELLS + 1).collect()
+    names = {a: sorted({*t, OTHER} if isinstance(t, Mapping) else {OTHER, *[r[a] for r in counted]}) for a, t in targets.items()}
+    if len(counted) > MAX_CELLS or np.prod([len(n) for n in names.values()]) > 100 * MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} cells of targets")
+    cells = np.zeros([len(names[a]) for a in axes])
     at = [tuple(names[a].index(r[a]) for a in axes) for r in counted]
     for place, r in zip(at, counted):
         cells[place] = r["tokens"]
-    weights = rake(cells, [np.array([targets[a].get(c, 0.0) for c in names[a]]) for a in axes], keep)
+    goals = []
+    for k, a in enumerate(axes):
+        own = cells.sum(axis=tuple(x for x in range(3) if x != k))
+        goals.append(np.array([targets[a].get(c, 0.0) for c in names[a]]) if isinstance(targets[a], Mapping) else np.where(own > 0, own, 1.0) ** targets[a] * (own > 0))
+    weights = rake(cells, goals, keep)
 
     rows = [(*(names[a][i] for a, i in zip(axes, place)), float(weights[place]) if cells[place] else keep) for place in at]
-    fitted = docs.sparkSession.createDataFrame(rows, "_source string, _lang string, _topic string, weight double")
+    keys = unused(docs.columns, *axes)
+    fitted = docs.sparkSession.createDataFrame(rows, ", ".join(f"{k} string" for k in keys) + ", weight double")
     own = [c for c in docs.columns if c not in ("tokens", "weight", "probability", "selected")]
-    placed = docs.select(*own, token_count(F.col("text")).alias("tokens"), *[category(c, targets[a]).alias(f"_{a}") for a, c in axes.items()])
-    out = placed.join(F.broadcast(fitted), ["_source", "_lang", "_topic"], "left").select(*own, "tokens", "weight")
+    placed = docs.select(*own, token_count(F.col("text")).alias("tokens"), *[category(c, targets[a]).alias(k) for k, (a, c) in zip(keys, axes.items())])
+    out = placed.join(F.broadcast(fitted), keys, "left").select(*own, "tokens", "weight")
     out = out.withColumn("probability", F.least(F.col("weight"), F.lit(1.0)))
     return out.withColumn("selected", (uniform(F.col("doc_id"), seed) < F.col("probability")).cast("int"))

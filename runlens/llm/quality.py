@@ -124,9 +124,14 @@ def in_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+#: Least score of a document that counts as good.
+THRESHOLD = 0.7
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, by a model fit on the labelled ones
-    outside the held-out fold. Repeated doc_ids are scored each; a null doc_id is not held out."""
+    outside the held-out fold. Repeated doc_ids are scored each; a null doc_id is not held out. An empty
+    table gives no rows, and without any label every score is 0.5."""
     model = fit_quality(docs, labels)
     scored = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),

@@ -120,10 +120,11 @@ def _(spark, sf_dir):
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Sources by the square root of their tokens, so a hot one gives way; the others away from what the data hold.
 MIX_TARGETS = {
-    "source": {"src0": 0.09, "src1": 0.06, "src2": 0.06, OTHER: 0.79},
-    "lang": {"en": 0.55, "de": 0.17, "fr": 0.16, "es": 0.12},
-    "topic": {"prose": 0.87, "figures": 0.06, "table": 0.04, "licence": 0.03},
+    "source": 0.5,
+    "lang": {"en": 0.46, "de": 0.20, "fr": 0.19, "es": 0.15},
+    "topic": {"prose": 0.80, "figures": 0.10, "table": 0.06, "licence": 0.04},
 }
 
 
@@ -135,22 +136,23 @@ def topic_of(text):
 
 def mix_sql(docs: str, keep: float = 0.5, rounds: int = 200) -> str:
     """The mix as CTEs over a table: raking as a recursion over the cells, three axes a round."""
+    fixed = {axis: shares for axis, shares in MIX_TARGETS.items() if axis != "source"}
     goals = " UNION ALL ".join(
-        f"SELECT '{axis}' AS axis, '{name}' AS name, CAST({share} AS DOUBLE) AS share" for axis, shares in MIX_TARGETS.items() for name, share in shares.items()
-    )
-    named = {axis: ", ".join(f"'{n}'" for n in shares if n != OTHER) for axis, shares in MIX_TARGETS.items()}
+        f"SELECT '{axis}' AS axis, '{name}' AS name, CAST({share} AS DOUBLE) AS share" for axis, shares in fixed.items() for name, share in shares.items()
+    ) + f" UNION ALL SELECT 'source', s, power(sum(n), {MIX_TARGETS['source']}) FROM mix_cells GROUP BY s"
+    named = {axis: ", ".join(f"'{n}'" for n in shares if n != OTHER) for axis, shares in fixed.items()}
     step = lambda w, goal, now: f"least({w} * CASE WHEN {now} > 0 THEN {goal} / {now} ELSE 1 END, 1e6)"
     return f"""
-goals AS ({goals}),
 mix_docs AS (
   SELECT *, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\r\n]+'), lambda w: w <> '')) AS BIGINT) AS tokens,
     CASE WHEN contains(text, '|') THEN 'table' WHEN contains(text, 'License') THEN 'licence'
       WHEN regexp_matches(text, '[0-9]') THEN 'figures' ELSE 'prose' END AS topic FROM {docs}
 ), mix_keyed AS (
-  SELECT *, CASE WHEN source IN ({named['source']}) THEN source ELSE '{OTHER}' END AS s,
+  SELECT *, coalesce(source, '{OTHER}') AS s,
     CASE WHEN lang IN ({named['lang']}) THEN lang ELSE '{OTHER}' END AS l,
     CASE WHEN topic IN ({named['topic']}) THEN topic ELSE '{OTHER}' END AS t FROM mix_docs
 ), mix_cells AS (SELECT s, l, t, CAST(sum(tokens) AS DOUBLE) AS n FROM mix_keyed GROUP BY ALL HAVING sum(tokens) > 0),
+goals AS ({goals}),
 mix_goals AS (
   SELECT axis, name, share / sum(share) OVER (PARTITION BY axis) * (SELECT sum(n) FROM mix_cells) * {keep} AS goal FROM goals
   WHERE (axis = 'source' AND name IN (SELECT s FROM mix_cells)) OR (axis = 'lang' AND name IN (SELECT l FROM mix_cells))

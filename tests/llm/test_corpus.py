@@ -302,3 +302,77 @@ def test_pipeline_runs_whole(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
 
+
+
+def test_reading_an_archive_takes_time_in_proportion_to_it():
+    import random
+    import time
+
+    rng = random.Random(0)
+    one = b"".join(record(i, f"http://a.org/{i}", None, rng.randbytes(4000), "0" * 40, None)[:-1] + b"\0" for i in range(500))
+    took = []
+    for n in (2, 16):
+        start = time.perf_counter()
+        found = list(captures(one * n))
+        took.append((time.perf_counter() - start) / n)
+        assert len(found) == 500 * n and found[3].payload == found[503].payload and found[-1].place + found[-1].size == len(one * n)
+    assert took[1] < 4 * took[0]
+
+
+@pytest.mark.parametrize("name", ["_id", "_key", "_source", "_lang", "_topic", "label", "row"])
+def test_stages_keep_columns_of_any_name(spark, name):
+    docs = spark.createDataFrame([(1, "one two three four five six", "en", "s", 9, "kept"), (2, "one two three four five six", "en", "s", 9, "gone"), (3, None, None, None, None, "kept"), (None, "", "de", "t", 0, "kept")], f"doc_id long, text string, lang string, source string, n_chars long, {name} string")
+    left = corpus_pipeline.near_duplicates(spark, docs, DATA)
+    assert sorted((r.doc_id or 0, r[name]) for r in left.collect()) == [(1, "kept"), (3, "kept")]
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.mixing):
+        made = stage(spark, docs, DATA)
+        assert made.columns == docs.columns and stage(spark, docs.limit(0), DATA).count() == 0
+    assert {r[name] for r in corpus_pipeline.mixing(spark, docs, DATA).collect()} <= {"kept", "gone"}
+
+
+def test_powers_of_a_source_are_its_target(spark):
+    docs = spark.createDataFrame([(i, "w " * 10, "en", "big" if i % 10 else "small") for i in range(2000)], "doc_id long, text string, lang string, source string")
+    mixed = mix(docs, {"source": 0.5, "lang": {"en": 1.0}, "topic": {OTHER: 1.0}}, F.lit("x"), keep=0.2)
+    kept = {r.source: r.n for r in mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("probability")).alias("n")).collect()}
+    assert kept["big"] / kept["small"] == pytest.approx(3, rel=1e-6) and sum(kept.values()) == pytest.approx(4000)
+
+
+def test_scores_equal_features_and_updates_in_a_dictionary():
+    """Features of a few texts word by word, and the fit coordinate by coordinate."""
+    import pyarrow as pa
+
+    from runlens.llm.quality import features
+    from runlens.llm.words import ngrams, word_hashes
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Good", "good", "bad", "fine", "x"]) for _ in range(rng.randrange(1, 12))) for _ in range(40)] + ["", None]
+    at, x, offsets = features(pa.array(texts), 10)
+    for i, text in enumerate(texts):
+        words = (text or "").lower().split()
+        single = [int(h) >> 54 for h in word_hashes(pa.array([text]))[0]]
+        pairs = [int(h) >> 54 for h in ngrams(*word_hashes(pa.array([text])), 2)[0]]
+        assert len(single) == len(words) and len(pairs) == max(len(words) - 1, 0)
+        counts = {k: math.log1p(n) for k, n in Counter(single + pairs).items()}
+        norm = math.sqrt(sum(v * v for v in counts.values()))
+        got = dict(zip(at[offsets[i] : offsets[i + 1]].tolist(), x[offsets[i] : offsets[i + 1]]))
+        assert got == pytest.approx({k: v / norm for k, v in counts.items()})
+
+    rows = [(at[s:e], x[s:e], rng.randrange(2)) for s, e in zip(offsets, offsets[1:])]
+    model = ftrl(rows, bits=10)
+    alpha, beta, l1, l2, z, n = 2.0, 1.0, 0.02, 0.02, Counter(), Counter()
+
+    def weight(i):
+        if i != "bias" and abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - (0 if i == "bias" else math.copysign(l1, z[i]))) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(4):
+        for ids, values, y in rows:
+            both = [*zip(ids.tolist(), values.tolist()), ("bias", 1.0)]
+            w = {i: weight(i) for i, _ in both}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in both)))
+            for i, v in both:
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * w[i]
+                n[i] += g * g
+    assert model.weights == pytest.approx([weight(i) for i in range(1 << 10)], abs=1e-5) and model.bias == pytest.approx(weight("bias"))
