@@ -48,7 +48,7 @@ SAMPLE = 1024  # distinct sets that the pivots and the common shingles are taken
 SAMPLE_SHINGLES = 1 << 20  # the sample ends before so many shingles
 COMMON = 4  # sets of the sample that make a shingle common
 PART_KEYS = 2_000_000  # keys of regions that one task compares
-SKETCH_BITS = 1024
+SKETCH_BITS = 1024  # of a small set
 SLACK = 1e-9  # distances are ratios of small whole numbers, compared in double precision
 SEED = np.uint64(0x2545F4914F6CDD1D)
 
@@ -108,22 +108,35 @@ def most_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """Number of elements, then the parity of the elements that fall on each bit. Sets differ in at least as many
-    elements as their parities do in bits."""
-    bits = np.bincount((mix(elements) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """Number of elements, then the parity of the elements that fall on each of at least twice as many bits, a power of
+    two. Sets differ in at least as many elements as their parities do in bits."""
+    width = max(SKETCH_BITS, 1 << (2 * len(elements) - 1).bit_length())
+    bits = np.bincount((mix(elements) % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.array([len(elements)], "<u4").tobytes() + np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _folded(parities: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parities as if their sketch had ``width`` bytes."""
+    while parities.shape[-1] > width:
+        half = parities.shape[-1] // 2
+        parities = parities[..., :half] ^ parities[..., half:]
+    return parities
+
+
 def agreement(signed: list[bytes], i: int, at: np.ndarray) -> np.ndarray:
     """Differences that a link allows less those that the parities show; negative where no link is possible."""
-    if not len(at):
-        return np.zeros(0)
-    table = np.frombuffer(b"".join([signed[j] for j in at]), np.uint8).reshape(len(at), -1)
-    n = np.ascontiguousarray(table[:, :4]).view("<u4")[:, 0].astype(np.int64)
-    own = int.from_bytes(signed[i][:4], "little")
-    bits = np.bitwise_count(table[:, 4:] ^ np.frombuffer(signed[i], np.uint8)[4:]).sum(axis=1, dtype=np.int64)
-    left = most_apart(n, own) - bits
-    return np.where(100 * np.minimum(n, own) >= LEAST * np.maximum(n, own), left, -1)
+    own, out = int.from_bytes(signed[i][:4], "little"), np.full(len(at), -1.0)
+    n = np.array([int.from_bytes(signed[j][:4], "little") for j in at], np.int64)
+    near = np.flatnonzero(100 * np.minimum(n, own) >= LEAST * np.maximum(n, own))
+    lengths = np.array([len(signed[at[k]]) - 4 for k in near], np.int64)
+    mine = np.frombuffer(signed[i], np.uint8, offset=4)
+    for length in np.unique(lengths):
+        same = near[lengths == length]
+        table = np.frombuffer(b"".join([signed[at[k]] for k in same]), np.uint8).reshape(len(same), -1)[:, 4:]
+        width = min(length, len(mine))
+        bits = np.bitwise_count(_folded(table, width) ^ _folded(mine, width)).sum(axis=1, dtype=np.int64)
+        out[same] = most_apart(n[same], own) - bits
+    return out
 
 
 class Pivots:
@@ -350,7 +363,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     keyed = regions.select(F.xxhash64(F.lit("pivot"), "pivot").alias("key"), "k1").unionByName(far)
     keys = keyed.join(row_of, "k1").select("key", "row")
     kept = sets.select("row", "signature", "content")
-    labels = linked_labels(keys, kept, agreement, alike, known=known)
+    labels = linked_labels(keys, kept, agreement, alike, known=known, screen=True)
 
     # every document takes the label of the first with its set; an empty one stands alone
     members = sets.select("row", "doc_id", "size", "k1", "k2").join(firsts.withColumnRenamed("row", "first"), ["k1", "k2"], "left")

@@ -113,6 +113,8 @@ def test_linked_sets_share_a_region(seed):
                 assert near[i] & near[j]
             assert agreement([sketch(sets[i]), sketch(sets[j])], 0, np.array([1]))[0] >= 0
     assert links > 20
+    large = [np.unique(np.random.default_rng(k).integers(0, 1 << 48, 900 + 300 * k, dtype=np.uint64)) for k in range(3)]
+    assert (agreement([sketch(x) for x in large], 0, np.array([1, 2])) < 0).all()  # unrelated ones are excluded
     assert max(len(r) for r in regions) <= 0.5 * max(map(len, sets)) + 4
 
 
