@@ -49,7 +49,8 @@ def descendants(tree: DataFrame, root: int, directories_only: bool = False) -> D
         above = level.select(
             F.col("id").alias("parent_id"), F.col("depth").alias("_d"), F.col("path").alias("_p")
         )
-        below = rows.join(above, "parent_id").select(
+        # merged: Spark takes the stored edges for as small as their compressed file and would send them to the driver at every level
+        below = rows.join(above.hint("merge"), "parent_id").select(
             "id", "parent_id", "name", (F.col("_d") + 1).alias("depth"),
             F.concat_ws("/", "_p", "name").alias("path"),
         )
