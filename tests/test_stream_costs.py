@@ -92,3 +92,14 @@ def test_absent_rows_of_a_bucket_are_one_file(spark, tmp_path):
     live.absent_writer(str(tmp_path), ["k"], buckets=4)(df, 0)
     assert sorted(len(list(p.glob("*.parquet"))) for p in tmp_path.glob("bucket=*/batch_id=0")) == [1] * 4
     assert spark.read.parquet(str(tmp_path)).count() == 100
+
+
+def test_new_events_settle_what_is_due_and_a_change_is_one_text():
+    store, keeper = Store(), run_state.RunKeeper(stuck_seconds=1, keep_minutes=1)
+    keeper.init(store)
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: 5_000)
+    out = pd.concat(keeper.handleInputRows((0,), iter([pd.DataFrame({"event": [event(1, "begin", 1_000_000)]})]), at))
+    # no timer is left that would read and write the group again in the same micro-batch
+    assert list(out["what"]) == ["late", "run", "stuck"] and not store.timers
+    assert list(out.columns) == ["what", "open", "change"]
+    assert json.loads(out["change"].iloc[2])["open"] is True
