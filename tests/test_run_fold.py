@@ -97,3 +97,10 @@ def test_null_keys_meet_nothing(spark, tmp_path):
 def test_before_the_first_batch_all_is_empty(spark, tmp_path):
     path = str(tmp_path / "none")
     assert not rows(run_fold.current_runs(spark, path)) and not rows(run_fold.changed_runs(spark, path)) and not rows(run_fold.error_rows(spark, path))
+
+
+def test_a_batch_without_rows_keeps_what_is_held(spark, tmp_path):
+    path, write = str(tmp_path), run_fold.tables_writer(str(tmp_path))
+    for i, batch in enumerate([make(spark).limit(0), make(spark, (0, "begin", "A")), make(spark).limit(0)]):
+        write(batch, i)
+    assert rows(run_fold.current_runs(spark, path), "instance_id", "status") == [("A", "running")]
