@@ -8,25 +8,31 @@ no more than a few vectors can still reach the k-th best lower bound, reading st
 scores are resolved. All queries of a block read in step, so one matrix product gives the bounds of
 all of them: the values of a list, raised to the last value read, are its upper bounds.
 
-Shards and query blocks have fixed sizes; a block meets every shard once. A shard keeps k results a
-query, which are merged by a last aggregation.
+Shards and query blocks have fixed sizes and are stored; a block meets every shard once. The blocks take turns
+of a bounded number of bytes, which are sent to every task of the shards, so no copy of a block or shard is ever written
+or sent for a single meeting. A shard keeps k results a query, which are merged turn by turn and by a last aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.session import work_dir
+
 from .common import prepare, saved
 
 SHARD = 4096  # vectors whose lists are read together
 BLOCK = 512  # queries of a block
 DEPTHS = (0.25, 0.5, 0.75, 1.0)  # shares of a list read at each step
 OPEN = 64  # candidates of a query whose final scores are resolved
+TURN = 16 << 20  # bytes of queries, eight a component, that meet the shards in one pass
+GROUP_BYTES = 8 << 20  # bytes of matrices that are read together
 
 
 def _product(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -88,6 +94,13 @@ def _packed(df: DataFrame, size: int, total: int) -> DataFrame:
     return keyed.groupBy("part", "dims").applyInArrow(pack, "part int, dims int, ids binary, matrix binary")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """As ``saved``, in row groups of few matrices: a reader takes a group of up to thousands of rows at once."""
+    path = work_dir(df.sparkSession, name)
+    df.write.option("parquet.block.size", GROUP_BYTES).option("parquet.block.size.row.check.min", 1).option("parquet.block.size.row.check.max", 1).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _matrix(ids: bytes, matrix: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
     ids = np.frombuffer(ids, "<i8")
     return ids, np.frombuffer(matrix, f"<i{len(matrix) // (len(ids) * dims)}").reshape(len(ids), dims)
@@ -111,14 +124,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     divisible by ``every``; ties go to the smaller vec_id. Rows that repeat a vec_id
     are candidates of their own, each with its rank; those with the query's vec_id are left out. Queries that
     repeat a vec_id share one ranking. Only vectors of equal length meet; vectors of no components score 0 with each other. Scores must fit into 64 bits. An empty table gives no rows."""
-    prepare(vectors.sparkSession)
+    spark = vectors.sparkSession
+    prepare(spark)
     rows = integers(vectors, scale)
-    total = rows.count()
-    shards = saved(_packed(rows, SHARD, total), "vector-shards")
-    blocks = _packed(rows.where(F.col("vec_id") % every == 0), BLOCK, -(-total // every))
-    parts = F.sequence(F.lit(0), F.lit(max(1, -(-total // SHARD)) - 1))
-    asked = blocks.select("dims", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.explode(parts).alias("part"))
-    meetings = asked.join(shards, ["part", "dims"])
+    asks = F.col("vec_id") % every == 0
+    held = F.sum(F.when(asks, 8 * (F.col("dims").cast("long") + 1)))
+    total, asked, size = rows.agg(F.count(F.lit(1)), F.count_if(asks), F.coalesce(held, F.lit(0))).first()
+    shards = _stored(_packed(rows, SHARD, total), "vector-shards")
+    blocks = _stored(_packed(rows.where(asks), BLOCK, asked), "query-blocks").select("part", "dims", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    tasks = min(max(1, -(-total // SHARD)), 8 * spark.sparkContext.defaultParallelism)
+    dealt = shards.repartitionById(tasks, F.col("part") % tasks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,6 +149,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                     cols = [np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
-    best = meetings.select("dims", "q_ids", "q_matrix", "ids", "matrix").mapInArrow(run, "query_id long, vec_id long, score long")
-    ranked = best.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int"))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def ranked(found: DataFrame) -> DataFrame:
+        placed = found.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)").cast("int"))
+        return placed.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def turn_of(turn: int) -> DataFrame:
+        # as large as a turn, whatever Spark makes of the files' sizes
+        meetings = dealt.join(F.broadcast(blocks.where(F.col("part") % turns == turn)), "dims")
+        return ranked(meetings.select("dims", "q_ids", "q_matrix", "ids", "matrix").mapInArrow(run, "query_id long, vec_id long, score long"))
+
+    turns = max(1, -(-size // TURN))
+    if turns == 1:
+        return turn_of(0)
+    found = [saved(turn_of(turn), "turn-results") for turn in range(turns)]  # one after the other, so that one turn is held at a time
+    return ranked(reduce(DataFrame.unionByName, found))

@@ -170,6 +170,41 @@ def test_top_k_keeps_rows_that_repeat_an_id(spark):
     assert sorted(tuple(r) for r in top_k(df, 5, 10).collect()) == want
 
 
+def test_top_k_sends_no_copy_of_a_block_for_each_shard(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 8)
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "TURN", 20_000)
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(0, 0.3, 64).astype(np.float32).tolist()) for i in range(800)]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<float>, label int, rank int")
+    sizes = []
+
+    def sent(node):  # bytes that broadcasts and shuffles of a finished plan held
+        name = node.getClass().getSimpleName()
+        if "QueryStageExec" in name:
+            return sent(node.plan())
+        if name == "AdaptiveSparkPlanExec":
+            return sent(node.executedPlan())
+        if name in ("BroadcastExchangeExec", "ShuffleExchangeExec"):
+            sizes.append(node.metrics().apply("dataSize").value())
+        for i in range(node.children().size()):
+            sent(node.children().apply(i))
+
+    write = topk.saved
+    monkeypatch.setattr(topk, "saved", lambda df, name: (write(df, name), df.collect(), sent(df._jdf.queryExecution().executedPlan()))[0])
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50k")  # the shards are larger, the queries smaller
+    try:
+        found = top_k(df, 5, 10)
+        got = sorted(tuple(r) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    sent(found._jdf.queryExecution().executedPlan())
+    # 80 queries in three turns: 800 vectors are 0.2 MB, shuffled in each; a hash table of the join is 1 MB at least; a block a shard made 2 MB
+    assert got == brute_top(vectors, 5, 10)
+    assert sizes and max(sizes) < 1_500_000
+
+
 def test_reading_stops_before_the_end():
     rng = np.random.default_rng(1)
     data = rng.integers(-5, 5, (4000, 3))
