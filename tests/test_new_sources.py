@@ -63,6 +63,25 @@ def test_each_file_lands_once(spark, tmp_path, files_per_batch):
     assert rows(registry.registry_with_landed(entries, found)) == [(1, "A.CSV", 7), (2, "other", 1)]
 
 
+def test_a_small_batch_of_files_is_one_job(spark, tmp_path):
+    folder, counts = tmp_path / "in", f"{tmp_path}/counts"
+    for i in range(480):
+        path = folder / f"job={i % 7}" / f"{i}.csv"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("1")
+    names = ["spark.sql.sources.parallelPartitionDiscovery.threshold", "spark.sql.streaming.fileSource.log.compactInterval"]
+    usual = [spark.conf.get(n) for n in names]
+    name = F.regexp_extract("path", "job=([^/]*)/", 1)
+    stream = live.start_available(registry.file_stream(spark, str(folder), files_per_batch=40), registry.landing_writer(counts, name, few=True), f"{tmp_path}/state")
+    assert [spark.conf.get(n) for n in names] == usual  # of this session
+    stream.awaitTermination()
+    assert sum(1 for _ in (tmp_path / "state/commits").glob("[0-9]*")) == 12
+    assert not list((tmp_path / "state/sources/0").glob("*.compact"))  # all files seen so far are not written every ten batches
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(str(stream.runId))
+    assert 12 <= len(jobs) <= 14  # one a batch, and the first listing
+    assert rows(registry.landed(spark, counts)) == sorted(((str(i), 480 // 7 + (i < 480 % 7)) for i in range(7)), key=repr)
+
+
 def test_columns_of_several_tables(spark):
     got = tables.describe_all(a=spark.range(1), b=spark.createDataFrame([("x", 1)], "s string, n int"))
     assert rows(got, "table_name", "position", "name", "type") == [("a", 0, "id", "bigint"), ("b", 0, "s", "string"), ("b", 1, "n", "int")]
